@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-import importlib.util
-
 from pyspark.sql import DataFrame, SparkSession
 
 from mailweave.llm.common import documents
 from mailweave.llm.exact_dedup import exact_groups
+from mailweave.llm.mixing import mix_sources
+from mailweave.llm.quality_rules import MIN_ROWS, RATIOS, REACH, apply_rules
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(documents(spark, sf_dir))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(documents(spark, sf_dir))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 #: Regular expression of one word, for DuckDB.
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -30,9 +39,73 @@ FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """
 
 
+def _op7() -> str:
+    """The rules over brute-force counts; thresholds by exact quantiles of the same grids."""
+    values = ", ".join(f"({i}, '{r}', {slack}, {str(low).lower()})" for i, (r, (slack, low)) in enumerate(RATIOS.items()))
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT rid, doc_id, lang, source, t,
+         list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls
+  FROM d),
+tri AS (
+  SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT rid, i FROM tri QUALIFY count(*) OVER (PARTITION BY rid, k) >= 2),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
+c AS (
+  SELECT w.rid, doc_id, lang, source, len(ws) AS n_words,
+         length(array_to_string(ws, '')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(cov.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN cov ON cov.rid = w.rid),
+r AS (
+  SELECT *, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS word_length,
+         CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS symbols,
+         CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_lines,
+         CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeats
+  FROM c),
+u AS (UNPIVOT (SELECT rid, lang, source, n_words, word_length::BIGINT AS word_length, symbols::BIGINT AS symbols,
+                      dup_lines::BIGINT AS dup_lines, repeats::BIGINT AS repeats FROM r)
+      ON word_length, symbols, dup_lines, repeats INTO NAME ratio VALUE step),
+g AS (
+  SELECT 0 AS wide, lang, source, ratio, step FROM u WHERE n_words > 0
+  UNION ALL SELECT 1, lang, NULL, ratio, step FROM u WHERE n_words > 0
+  UNION ALL SELECT 2, NULL, NULL, ratio, step FROM u WHERE n_words > 0),
+q AS (
+  SELECT wide, lang, source, ratio, count(*) AS n, quantile_disc(step, 0.5) AS mid,
+         quantile_disc(step, 0.75) AS upper, quantile_disc(step, 0.25) AS lower
+  FROM g GROUP BY ALL),
+f AS (
+  SELECT wide, lang, source, q.ratio, n, place, mid + {REACH} * (upper - mid) + slack AS high,
+         CASE WHEN low_too THEN mid - {REACH} * (mid - lower) - slack ELSE -1 END AS low
+  FROM q JOIN (VALUES {values}) AS x(place, ratio, slack, low_too) ON x.ratio = q.ratio),
+v AS (
+  SELECT u.rid, min(CASE WHEN step > h.high OR step < h.low THEN h.place END) AS broken
+  FROM u LEFT JOIN LATERAL (
+    SELECT place, high, low FROM f
+    WHERE f.ratio = u.ratio AND (wide = 2 OR n >= {MIN_ROWS})
+      AND (wide > 0 OR f.source IS NOT DISTINCT FROM u.source) AND (wide = 2 OR f.lang IS NOT DISTINCT FROM u.lang)
+    ORDER BY wide LIMIT 1) h ON true
+  GROUP BY u.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND broken IS NULL AS kept,
+       CASE broken {" ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RATIOS))} END AS rule_failed
+FROM r JOIN v USING (rid)
+"""
+
+
 def queries() -> dict:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op6_exact_dedup": op6_exact_dedup,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_source_mix": op9_source_mix,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": _OP6}
+    return {"op6_exact_dedup": _OP6, "op7_quality_rules": _op7()}
