@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from mailweave.llm.common import documents
 from mailweave.llm.exact_dedup import exact_groups
 from mailweave.llm.mixing import mix_sources
+from mailweave.llm.packing import pack
 from mailweave.llm.quality_rules import MIN_ROWS, RATIOS, REACH, apply_rules
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -47,7 +52,8 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT rid, doc_id, lang, source, t,
-         list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws,
+         list_filter(regexp_split_to_array(t, '[ 	-
+]+'), lambda x: x <> '') AS ws,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls
   FROM d),
 tri AS (
@@ -101,6 +107,7 @@ FROM r JOIN v USING (rid)
 
 def queries() -> dict:
     return {
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op9_source_mix": op9_source_mix,
