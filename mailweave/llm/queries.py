@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailweave.llm.common import documents
 from mailweave.llm.exact_dedup import exact_groups
+from mailweave.llm.language_id import identify
 from mailweave.llm.mixing import mix_sources
 from mailweave.llm.packing import pack
 from mailweave.llm.quality_rules import MIN_ROWS, RATIOS, REACH, apply_rules
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -107,6 +112,7 @@ FROM r JOIN v USING (rid)
 
 def queries() -> dict:
     return {
+        "op2_language_id": op2_language_id,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
