@@ -153,8 +153,11 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel
     if check:
         logits, _ = model.logits([texts[i] for i in check])
         wanted = y[check]
+        # smoothed targets: rows that are all right don't prove certainty
+        target = np.full(logits.shape, 1 / (len(check) + 2) / max(1, len(languages) - 1))
+        target[np.arange(len(check)), wanted] = 1 - 1 / (len(check) + 2)
         grid = np.geomspace(0.05, 5, 41)
-        loss = [-np.log(softmax(logits / t)[np.arange(len(check)), wanted] + 1e-12).mean() for t in grid]
+        loss = [-(target * np.log(softmax(logits / t) + 1e-12)).sum(1).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         confidence = softmax(logits / model.temperature).max(1)
         model.reject_below = float(min(np.quantile(confidence, REJECT_SHARE), 0.5))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailweave.llm.common import documents
 from mailweave.llm.exact_dedup import exact_groups
 from mailweave.llm.language_id import identify
 from mailweave.llm.mixing import mix_sources
 from mailweave.llm.packing import pack
+from mailweave.llm.secret_scan import scan_secrets
 from mailweave.llm.quality_rules import MIN_ROWS, RATIOS, REACH, apply_rules
 
 
@@ -20,6 +22,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(documents(spark, sf_dir))
+    base = F.filter("found", lambda x: x["kind"] != "crf")
+    of = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
+    line = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ","
+    )
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(line(base), 256).alias("base_sha256"),
+        line(F.col("found")).alias("spans"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -114,6 +133,7 @@ def queries() -> dict:
     return {
         "op2_language_id": op2_language_id,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_secret_scan": op5_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op9_source_mix": op9_source_mix,
