@@ -10,8 +10,9 @@ from mailweave.llm.exact_dedup import exact_groups
 from mailweave.llm.language_id import identify
 from mailweave.llm.mixing import mix_sources
 from mailweave.llm.packing import pack
-from mailweave.llm.secret_scan import scan_secrets
 from mailweave.llm.quality_rules import MIN_ROWS, RATIOS, REACH, apply_rules
+from mailweave.llm.secret_scan import scan_secrets
+from mailweave.llm.substring_dedup import remove_repeats
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(documents(spark, sf_dir))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -136,6 +142,7 @@ def queries() -> dict:
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_source_mix": op9_source_mix,
     }
 
