@@ -9,6 +9,7 @@ from mailweave.llm.common import documents
 from mailweave.llm.exact_dedup import exact_groups
 from mailweave.llm.language_id import identify
 from mailweave.llm.mixing import mix_sources
+from mailweave.llm.near_dedup import near_components
 from mailweave.llm.packing import pack
 from mailweave.llm.quality_rules import MIN_ROWS, RATIOS, REACH, apply_rules
 from mailweave.llm.secret_scan import scan_secrets
@@ -58,6 +59,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(documents(spark, sf_dir))
+
+
 #: Regular expression of one word, for DuckDB.
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -144,6 +149,7 @@ def queries() -> dict:
         "op7_quality_rules": op7_quality_rules,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_source_mix": op9_source_mix,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
