@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,3 +221,22 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     return docs.select("doc_id", held_out, "text").mapInPandas(
         scan, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean"
     )
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, unchanged and with all of their columns."""
+    model = model or fit(docs.select("doc_id", "lang", "text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x languages
+    at = docs.columns.index("text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                best, score = model.predict(encoded(texts))
+                letters = np.array([any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts], bool)
+                yield batch.filter(pa.array((best >= 0) & (score >= model.reject_below) & letters))
+
+    return docs.mapInArrow(scan, docs.schema)

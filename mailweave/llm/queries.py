@@ -63,6 +63,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: Regular expression of one word, for DuckDB.
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -150,6 +156,7 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_source_mix": op9_source_mix,
         "op10_near_dedup": op10_near_dedup,
+        "pipeline": pipeline,
     }
 
 
