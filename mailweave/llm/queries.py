@@ -11,11 +11,16 @@ from mailweave.llm.language_id import identify
 from mailweave.llm.mixing import mix_sources
 from mailweave.llm.near_dedup import near_components
 from mailweave.llm.packing import pack
+from mailweave.llm.quality_model import score_quality
 from mailweave.llm.quality_rules import MIN_ROWS, RATIOS, REACH, apply_rules
 from mailweave.llm.secret_scan import scan_secrets
 from mailweave.llm.substring_dedup import remove_repeats
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -148,6 +153,7 @@ FROM r JOIN v USING (rid)
 
 def queries() -> dict:
     return {
+        "op1_quality_model": op1_quality_model,
         "op2_language_id": op2_language_id,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_secret_scan": op5_secret_scan,
