@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailweave.llm.common import documents
 from mailweave.llm.exact_dedup import exact_groups
 from mailweave.llm.language_id import identify
+from mailweave.llm.license_scan import scan_licenses
 from mailweave.llm.mixing import mix_sources
 from mailweave.llm.near_dedup import near_components
 from mailweave.llm.packing import pack
@@ -25,6 +26,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(documents(spark, sf_dir))
+    best = F.array_max(F.transform("found", lambda x: F.struct(x["coverage"], x["end"] - x["start"], x["template"].alias("t"))))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_licenses"),
+        best["t"].alias("license"),
+        F.round(best["coverage"], 4).alias("coverage"),
+        F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["template"], x["start"], x["end"])), ",").alias("spans"),
+    )
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -155,6 +168,7 @@ def queries() -> dict:
     return {
         "op1_quality_model": op1_quality_model,
         "op2_language_id": op2_language_id,
+        "op3_license_scan": op3_license_scan,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
