@@ -37,6 +37,7 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met"
     ),
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
