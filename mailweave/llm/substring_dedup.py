@@ -45,8 +45,8 @@ WIDTH = LENGTH - CORE + 1
 PIECE = 1 << 18
 #: Hulls of a shard, and of one suffix sort: short texts sort faster, and cores don't share windows.
 SHARD_HULLS, SORT_HULLS = 4000, 256
-#: Rows that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1_200_000
+#: Texts whose removed spans are broadcast at most; more are joined by a shuffle, as all else is.
+BROADCAST_ROWS = 300_000
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -317,7 +317,7 @@ def repeated_spans(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame
         f"doc_id {kind}, text_hash long, core long, hull long, first int, windows short, left short",
     )
     cores = materialize(repeated_fingerprints(found.select(F.col("core").alias("fp"))).select(F.col("fp").alias("core")))
-    again = materialize(found.join(broadcast_if_small(cores, cores.count(), BROADCAST_ROWS), "core", "left_semi"))
+    again = materialize(found.join(cores, "core", "left_semi"))
     # All columns of first() come from one row of the hull.
     row = ["doc_id", "text_hash", "first", "windows", "left"]
     hulls = materialize(
@@ -327,7 +327,7 @@ def repeated_spans(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame
         hulls.groupBy("core").agg(F.count("*").alias("hulls")).filter("hulls > 1")
         .select("core", F.ceil(F.col("hulls") / shard_hulls).cast("int").alias("blocks"))
     )
-    to_sort = materialize(hulls.join(broadcast_if_small(mixed, mixed.count(), BROADCAST_ROWS), "core"))
+    to_sort = materialize(hulls.join(mixed, "core"))
     n_sort = to_sort.count()
     shards = max(1, -(-n_sort // shard_hulls))
     wanted = to_sort.groupBy("doc_id", "text_hash").agg(
@@ -335,7 +335,7 @@ def repeated_spans(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame
     )
     wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "hulls")
     texts = keyed.join(
-        broadcast_if_small(wanted, n_sort, BROADCAST_ROWS // 2),
+        wanted,
         F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")),
     )
     flanks = texts.select("doc_id", "text_hash", "text", "hulls").mapInPandas(
@@ -345,6 +345,7 @@ def repeated_spans(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame
     block = F.pmod(F.col("hull"), F.col("blocks").cast("long"))
     sorted_ = materialize(
         flanks.withColumn("shard", F.pmod(F.xxhash64("core", block), F.lit(shards)))
+        .repartition(min(shards, 4000), "shard")
         .groupBy("shard")
         .applyInPandas(_sort_shard, f"doc_id {kind}, text_hash long, first int, end int, window long, asks boolean")
     )
@@ -353,7 +354,7 @@ def repeated_spans(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame
     twice = cross.groupBy("window").agg(F.count("*").alias("k")).filter("k > 1").select("window")
     across = cross.filter("asks").join(twice, "window", "left_semi")
     single = hulls.filter("n = 1").select("hull", "core")
-    whole = again.join(broadcast_if_small(single, single.count(), BROADCAST_ROWS), ["core", "hull"], "left_anti")
+    whole = again.join(single, ["core", "hull"], "left_anti")
     pieces = (
         whole.select("doc_id", "text_hash", "first", (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end"))
         .unionByName(sorted_.filter("window = 0").select("doc_id", "text_hash", "first", "end"))
@@ -401,7 +402,7 @@ def remove_repeats(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return (
         keyed.join(
-            broadcast_if_small(bounds, bounds.count(), BROADCAST_ROWS // 4),
+            broadcast_if_small(bounds, bounds.count(), BROADCAST_ROWS),
             F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")),
             "left",
         )
