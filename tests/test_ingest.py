@@ -32,7 +32,7 @@ def folder(tmp_path):
     box.mkdir()
     (box / "a.eml").write_bytes(planted("m1", "Ann <ann@harbour.example>", ["bob@harbour.example"], "Quay PLAN-12", "Crane notes.\n-- \nAnn", attach=True))
     (box / "b.eml").write_bytes(planted("m2", "bob@harbour.example", ["ann@harbour.example"], "AW: Quay PLAN-12", "Fine.\n> Crane notes.", "m1"))
-    (box / "c.eml").write_bytes(b"")
+    (box / "c.eml").write_bytes(b"\n")  # Spark skips files of no bytes
     return box
 
 
