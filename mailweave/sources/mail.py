@@ -89,10 +89,9 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append({"path": path, "error": None, **parse_message(bytes(raw) if raw is not None else b"")})
             except (ValueError, LookupError, UnicodeError) as e:
                 rows.append({"path": path, "error": str(e)})
-        out = pd.DataFrame(rows, columns=names)
+        # as objects: a missing value would turn lists and 64-bit fingerprints into floats
+        out = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
         out["sent_at"] = pd.to_datetime(out["sent_at"])
-        for c in ("size_bytes", "simhash"):
-            out[c] = out[c].astype("Int64")
         yield out
 
 

@@ -44,6 +44,7 @@ def test_parse(spark, folder):
     assert set(by) == {"m1@harbour.example", "m2@harbour.example"}
     assert by["m1@harbour.example"]["body_clean"] == "Crane notes." and by["m1@harbour.example"]["has_attachments"]
     assert by["m2@harbour.example"]["body_clean"] == "Fine."
+    assert by["m1@harbour.example"]["simhash"] == text.simhash_text("Crane notes.")
     assert str(by["m1@harbour.example"]["sent_at"]) == "2024-01-02 08:00:00"
     assert [tuple(r) for r in t["replies"].select("child", "parent").collect()] == [("m2@harbour.example", "m1@harbour.example")]
     assert t["message_attachments"].count() == 1
