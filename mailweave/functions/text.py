@@ -8,6 +8,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ HASH_REF = r"(?<![\w#])#\d{2,8}(?!\d)"
 #: Characters of a stored body, of a preview.
 BODY_CAP, PREVIEW = 65_536, 160
 SHINGLE_WORDS = 3
+#: Shingles whose bits are summed at once.
+SHINGLE_BLOCK = 1 << 14
 
 # Where a quoted message, a signature or a disclaimer starts.
 GREETING = r"gr(?:ü|ue|u)(?:ß|ss|s)e"
@@ -138,13 +141,13 @@ def simhash_text(text: str | None, words: int = SHINGLE_WORDS) -> int:
     if not tokens:
         return 0
     shingles = [" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)] or tokens
-    sums = [0] * 64
-    for shingle, n in Counter(shingles).items():
-        value = int.from_bytes(hashlib.blake2b(shingle.encode(), digest_size=8).digest(), "big")
-        for bit in range(64):
-            sums[bit] += n if value >> bit & 1 else -n
-    out = sum(1 << bit for bit in range(64) if sums[bit] > 0)
-    return out - (1 << 64) if out >> 63 else out
+    counts = Counter(shingles)
+    digests = b"".join(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest() for s in counts)
+    rows, weights = np.frombuffer(digests, np.uint8).reshape(-1, 8), np.fromiter(counts.values(), np.int64, len(counts))
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(rows), SHINGLE_BLOCK):
+        ones += weights[at : at + SHINGLE_BLOCK] @ np.unpackbits(rows[at : at + SHINGLE_BLOCK], axis=1).astype(np.int64)
+    return int.from_bytes(np.packbits(2 * ones > weights.sum()).tobytes(), "big", signed=True)
 
 
 class _Text(html.parser.HTMLParser):
