@@ -19,7 +19,7 @@ WHITE = " \t\n\x0b\x0c\r"
 #: Java regular expression of one word.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Text bytes that one numpy block holds; longer texts make a block of their own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _ODD = 0x5851F42D4C957F2D
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)

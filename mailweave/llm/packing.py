@@ -38,7 +38,7 @@ WELL_FILLED = 0.985
 #: Levels of shards at most; the pieces that are open after the last stay in their bins.
 LEVELS = 3
 #: Distinct words, and distinct runs of letters, whose ids a Python worker remembers; bytes of a block.
-CACHE_WORDS, CACHE_RUNS, TOKEN_BLOCK = 2_000_000, 200_000, 4 << 20
+CACHE_WORDS, CACHE_RUNS, TOKEN_BLOCK = 400_000, 200_000, 1 << 20
 
 _TOKENIZERS: dict = {}
 
