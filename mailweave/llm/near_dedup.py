@@ -1,20 +1,23 @@
 """Near-duplicate documents: SetSketch registers, banding, joint likelihood, exact verification.
 
-A document is the set of its distinct 3-word shingles (64-bit hashes). Documents with equal
-sets are one class. A sketch holds ``REGISTERS`` truncated minima on an exponential scale:
+A document is the set of its distinct word shingles (64-bit hashes). How many words a shingle has
+and which similarity links are the rule: ``CONTRACT`` (3 words, 0.85) for the query op10,
+``STAGE`` (5 words, 0.8) for the pipeline's stage. Documents with equal sets are one class. A
+sketch holds ``Rule.registers`` truncated minima on an exponential scale:
 ``floor(1 - log_b(min of Exp(a) hashes))``, limited to [0, q + 1]. Sketches merge by maximum and
 are locality-sensitive: two registers are equal with a probability of at least the similarity.
 
 Bands of registers give buckets. Pairs of small buckets are kept if the joint likelihood of the
 register comparisons (smaller, equal, larger, given both set sizes) peaks at no less than
-``THRESHOLD - MARGIN``; members of large buckets are tied to the bucket's smallest class, with
+the threshold less ``Rule.margin``; members of large buckets are tied to the bucket's smallest class, with
 no pair left out. The connected components of these ties are candidate clusters; all
 documents that may be linked are in one cluster. A cluster's full sets are then compared: one
 task per shard of clusters, counting intersections exactly; a wide cluster is dealt into blocks,
 first inside each block, then what isn't in the largest component against all blocks.
 
-With 25 bands of 5 registers a pair at the threshold is missed with a probability under
-5e-7, one at 0.9 under 1e-9; every link that is returned is confirmed on the full sets.
+A rule has as many bands of 5 registers as it takes to miss a pair at its threshold with a
+probability under 5e-7 (25 at 0.85, 37 at 0.8); every link that is returned is confirmed on the
+full sets.
 
 Defined results: texts without words (null, empty) have an empty set, are linked with nothing
 and keep their own doc_id; rows with the same doc_id are one document; an empty table gives no
@@ -23,7 +26,9 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,14 +48,35 @@ from mailweave.llm.common import (
 )
 from mailweave.llm.exact_dedup import repeated_fingerprints
 
-#: Fixed by the contract of the query: words of a shingle, 100 * intersection >= 85 * union.
-WORDS, PERCENT = 3, 85
-BANDS, ROWS = 25, 5
-REGISTERS = BANDS * ROWS
+ROWS, MISSED = 5, 5e-7
 #: Base, rate and limit of the registers (2 bytes each).
 BASE, SCALE, LIMIT = 1.001, 20.0, 65534
-#: Six standard deviations of the estimate at the threshold.
-MARGIN = 6 * float(np.sqrt(0.85 * 0.15 / REGISTERS))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle and the least similarity of a link: 100 * intersection >= percent * union."""
+
+    words: int
+    percent: int
+
+    @property
+    def bands(self) -> int:
+        return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-min(self.percent / 100, 0.999) ** ROWS))))
+
+    @property
+    def registers(self) -> int:
+        return self.bands * ROWS
+
+    @property
+    def margin(self) -> float:
+        """Six standard deviations of the estimate at the threshold."""
+        share = self.percent / 100
+        return 6 * float(np.sqrt(share * (1 - share) / self.registers))
+
+
+#: Fixed by the contract of the query op10; the rule of a stage that drops near-duplicates.
+CONTRACT, STAGE = Rule(3, 85), Rule(5, 80)
 #: Largest bucket whose pairs are all estimated.
 SMALL_BUCKET = 8
 #: Documents and shingles of a block of a cluster; shingles of a shard of clusters.
@@ -58,12 +84,15 @@ BLOCK_DOCS, BLOCK_SHINGLES, SHARD_SHINGLES = 2048, 1_000_000, 2_000_000
 BROADCAST_ROWS = 1_200_000
 _LOWEST = -(2**63)
 
-_RNG = np.random.default_rng(20240229)
-_XOR = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
-_MULTIPLY = (_RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+
+@functools.lru_cache
+def _salts(registers: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229)
+    xor = rng.integers(0, 1 << 32, registers, dtype=np.uint64).astype(np.uint32)
+    return xor, (rng.integers(0, 1 << 32, registers, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
-def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int = CONTRACT.words) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
     for _, _, data, offsets in blocks(texts):
@@ -86,9 +115,10 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """SetSketch registers of non-empty sets: (sets, REGISTERS) of unsigned 16-bit numbers."""
-    out = np.empty((len(sets), REGISTERS), np.float64)
+def sketch(sets: list[np.ndarray], registers: int = CONTRACT.registers) -> np.ndarray:
+    """SetSketch registers of non-empty sets: (sets, registers) of unsigned 16-bit numbers."""
+    xor, multiply = _salts(registers)
+    out = np.empty((len(sets), registers), np.float64)
     at = 0
     while at < len(sets):
         last, total = at, 0
@@ -98,9 +128,9 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         flat = (np.concatenate(sets[at:last]) >> np.uint64(32)).astype(np.uint32)
         begin = np.cumsum([0, *[len(s) for s in sets[at : last - 1]]])
         work = np.empty_like(flat)
-        for r in range(REGISTERS):
-            np.bitwise_xor(flat, _XOR[r], out=work)
-            np.multiply(work, _MULTIPLY[r], out=work)
+        for r in range(registers):
+            np.bitwise_xor(flat, xor[r], out=work)
+            np.multiply(work, multiply[r], out=work)
             out[at:last, r] = np.minimum.reduceat(work, begin)
         at = last
     least = -np.log1p(-(out + 0.5) / 2**32) / SCALE
@@ -133,50 +163,59 @@ def _set_hash(sets: list[np.ndarray], salt: int) -> np.ndarray:
     return np.array([mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for whole in batches:
-        for at in range(0, len(whole), 1000):
-            part = whole.iloc[at : at + 1000]
-            sets = shingle_sets(encoded(part["text"]))
-            regs = np.full(len(sets), None, object)
-            full = [k for k, s in enumerate(sets) if len(s)]
-            if full:
-                rows = sketch([sets[k] for k in full])
-                for k, row in zip(full, rows, strict=True):
-                    regs[k] = row.astype("<u2").tobytes()
-            yield pd.DataFrame(
-                {
-                    "doc_id": part["doc_id"].array,
-                    "n_shingles": np.array([len(s) for s in sets], np.int64),
-                    "s1": _set_hash(sets, 0x5BD1E995),
-                    "s2": _set_hash(sets, 0x1B873593A5A5A5A5),
-                    "regs": regs,
-                }
-            )
-
-
-def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            regs = np.frombuffer(b"".join(pdf["regs"]), "<u2").reshape(len(pdf), BANDS, ROWS).astype(np.uint64)
-            h = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77)), regs.shape[:2])
-            for r in range(ROWS):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
-            yield pd.DataFrame({"fp": h.reshape(-1).view(np.int64), "cid": np.repeat(pdf["cid"].to_numpy(), BANDS)})
-
-
-def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            a, b = (np.frombuffer(b"".join(pdf[c]), "<u2").reshape(len(pdf), REGISTERS) for c in ("regs_a", "regs_b"))
-            j = np.concatenate(
-                [
-                    likely_similarity(a[k : k + 4096], b[k : k + 4096], *(pdf[c].to_numpy(float)[k : k + 4096] for c in ("n_a", "n_b")))
-                    for k in range(0, len(pdf), 4096)
-                ]
-            )
-            keep = j >= PERCENT / 100 - MARGIN - 0.01
-            yield pdf.loc[keep, ["a", "b"]]
+def _scan(rule: Rule):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                part = whole.iloc[at : at + 1000]
+                sets = shingle_sets(encoded(part["text"]), rule.words)
+                regs = np.full(len(sets), None, object)
+                full = [k for k, s in enumerate(sets) if len(s)]
+                if full:
+                    rows = sketch([sets[k] for k in full], rule.registers)
+                    for k, row in zip(full, rows, strict=True):
+                        regs[k] = row.astype("<u2").tobytes()
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"].array,
+                        "n_shingles": np.array([len(s) for s in sets], np.int64),
+                        "s1": _set_hash(sets, 0x5BD1E995),
+                        "s2": _set_hash(sets, 0x1B873593A5A5A5A5),
+                        "regs": regs,
+                    }
+                )
+
+    return scan
+
+
+def _band_rows(rule: Rule):
+    def band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                regs = np.frombuffer(b"".join(pdf["regs"]), "<u2").reshape(len(pdf), rule.bands, ROWS).astype(np.uint64)
+                h = np.broadcast_to(mix(np.arange(rule.bands, dtype=np.uint64) + np.uint64(77)), regs.shape[:2])
+                for r in range(ROWS):
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
+                yield pd.DataFrame({"fp": h.reshape(-1).view(np.int64), "cid": np.repeat(pdf["cid"].to_numpy(), rule.bands)})
+
+    return band_rows
+
+
+def _estimate(rule: Rule):
+    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                a, b = (np.frombuffer(b"".join(pdf[c]), "<u2").reshape(len(pdf), rule.registers) for c in ("regs_a", "regs_b"))
+                j = np.concatenate(
+                    [
+                        likely_similarity(a[k : k + 4096], b[k : k + 4096], *(pdf[c].to_numpy(float)[k : k + 4096] for c in ("n_a", "n_b")))
+                        for k in range(0, len(pdf), 4096)
+                    ]
+                )
+                keep = j >= rule.percent / 100 - rule.margin - 0.01
+                yield pdf.loc[keep, ["a", "b"]]
+
+    return estimate
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -224,7 +263,7 @@ class Union:
         return x != y
 
 
-def linked(sets: list[np.ndarray], known: list | None = None, left: int | None = None) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], known: list | None = None, left: int | None = None, percent: int = CONTRACT.percent) -> list[tuple[int, int]]:
     """Links that connect what the exact rule connects, as pairs of positions.
 
     Positions with the same ``known`` label count as connected. With ``left``, only pairs of one of
@@ -247,7 +286,7 @@ def linked(sets: list[np.ndarray], known: list | None = None, left: int | None =
         else:
             roots = np.fromiter((union.root(j) for j in range(i + 1, n)), np.int64, n - i - 1)
             others = i + 1 + np.flatnonzero(roots != own)
-        near = 100 * np.minimum(size[others], size[i]) >= PERCENT * np.maximum(size[others], size[i])
+        near = 100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])
         others = others[near]
         if not len(others):
             continue
@@ -258,50 +297,60 @@ def linked(sets: list[np.ndarray], known: list | None = None, left: int | None =
         at = np.repeat(begin[others] - cut, length) + np.arange(length.sum())
         shared = np.add.reduceat(mark[flat[at]], cut)
         mark[mine] = 0
-        hit = others[100 * shared >= PERCENT * (size[i] + length - shared)]
+        hit = others[100 * shared >= percent * (size[i] + length - shared)]
         for j in hit.tolist():
             if union.join(i, j):
                 found.append((i, j))
     return found
 
 
-def _sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for whole in batches:
-        for at in range(0, len(whole), 500):
-            part = whole.iloc[at : at + 500]
-            sets = shingle_sets(encoded(part["text"]))
-            right = (_set_hash(sets, 0x5BD1E995) == part["s1"].to_numpy()) & (_set_hash(sets, 0x1B873593A5A5A5A5) == part["s2"].to_numpy())
-            out = part.loc[right, ["cid", "cluster", "n_docs", "n_all"]].copy()
-            out["items"] = [s.tobytes() for s, ok in zip(sets, right, strict=True) if ok]
-            yield out
+def _sets_of(rule: Rule):
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                part = whole.iloc[at : at + 500]
+                sets = shingle_sets(encoded(part["text"]), rule.words)
+                right = (_set_hash(sets, 0x5BD1E995) == part["s1"].to_numpy()) & (_set_hash(sets, 0x1B873593A5A5A5A5) == part["s2"].to_numpy())
+                out = part.loc[right, ["cid", "cluster", "n_docs", "n_all"]].copy()
+                out["items"] = [s.tobytes() for s, ok in zip(sets, right, strict=True) if ok]
+                yield out
+
+    return sets_of
 
 
 def _read_sets(items) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in items]
 
 
-def _link_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["cluster", "cid"]).drop_duplicates("cid")
-    cid, cluster = pdf["cid"].to_numpy(), pdf["cluster"].to_numpy()
-    items = pdf["items"].tolist()
-    cuts = np.append(np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1)), len(cluster))
-    out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        out += [(cid[a + i], cid[a + j]) for i, j in linked(_read_sets(items[a:b]))]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _link_shard(rule: Rule):
+    def link_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cluster", "cid"]).drop_duplicates("cid")
+        cid, cluster = pdf["cid"].to_numpy(), pdf["cluster"].to_numpy()
+        items = pdf["items"].tolist()
+        cuts = np.append(np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1)), len(cluster))
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out += [(cid[a + i], cid[a + j]) for i, j in linked(_read_sets(items[a:b]), percent=rule.percent)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+    return link_shard
 
-def _link_across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _link_across(rule: Rule):
     """One block of rows outside the largest component (side 0) against one block of all (side 1)."""
-    pdf = pdf.sort_values(["side", "cid"]).drop_duplicates("cid")
-    cid = pdf["cid"].to_numpy()
-    links = linked(_read_sets(pdf["items"]), pdf["component"].tolist(), int((pdf["side"] == 0).sum()))
-    return pd.DataFrame([(cid[i], cid[j]) for i, j in links], columns=["a", "b"], dtype="int64")
+
+    def link_across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "cid"]).drop_duplicates("cid")
+        cid = pdf["cid"].to_numpy()
+        links = linked(_read_sets(pdf["items"]), pdf["component"].tolist(), int((pdf["side"] == 0).sum()), rule.percent)
+        return pd.DataFrame([(cid[i], cid[j]) for i, j in links], columns=["a", "b"], dtype="int64")
+
+    return link_across
 
 
-def _candidate_edges(classes: DataFrame) -> DataFrame:
+def _candidate_edges(classes: DataFrame, rule: Rule) -> DataFrame:
     """Ties (a, b) between classes; classes that may be linked are connected by them."""
-    bands = classes.select("cid", "regs").mapInPandas(_band_rows, "fp long, cid long")
+    bands = classes.select("cid", "regs").mapInPandas(_band_rows(rule), "fp long, cid long")
     shared = materialize(repeated_fingerprints(bands).withColumnRenamed("n", "members"))
     member = materialize(bands.join(broadcast_if_small(shared, shared.count(), BROADCAST_ROWS), "fp"))
     small = (
@@ -312,14 +361,14 @@ def _candidate_edges(classes: DataFrame) -> DataFrame:
     )
     left = classes.select(F.col("cid").alias("a"), F.col("regs").alias("regs_a"), F.col("n_shingles").alias("n_a"))
     right = classes.select(F.col("cid").alias("b"), F.col("regs").alias("regs_b"), F.col("n_shingles").alias("n_b"))
-    likely = small.join(left, "a").join(right, "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInPandas(_estimate, "a long, b long")
+    likely = small.join(left, "a").join(right, "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInPandas(_estimate(rule), "a long, b long")
     large = member.filter(F.col("members") > SMALL_BUCKET)
     leader = large.groupBy("fp").agg(F.min("cid").alias("a"))
     stars = large.join(leader, "fp").filter("cid != a").select("a", F.col("cid").alias("b")).distinct()
     return likely.unionByName(stars)
 
 
-def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
     """Confirmed links (a, b) between classes that connect each component."""
     sizes = (
         clusters.join(classes.select(F.col("cid").alias("node"), "n_shingles"), "node")
@@ -333,7 +382,7 @@ def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> Da
     sets = docs.select("doc_id", "text").join(
         broadcast_if_small(wanted, n, BROADCAST_ROWS // 4), F.coalesce("doc_id", F.lit(_LOWEST)) == F.col("low")
     ).select("cid", "cluster", "n_docs", "n_all", "s1", "s2", "text").mapInPandas(
-        _sets_of, "cid long, cluster long, n_docs long, n_all long, items binary"
+        _sets_of(rule), "cid long, cluster long, n_docs long, n_all long, items binary"
     )
     sets = materialize(sets)
     wide = (F.col("n_docs") > BLOCK_DOCS) | (F.col("n_all") > BLOCK_SHINGLES)
@@ -345,14 +394,14 @@ def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> Da
         sets.filter(~wide)
         .withColumn("shard", F.pmod(F.xxhash64("cluster"), F.lit(shards)))
         .select("shard", "cluster", "cid", "items")
-        .groupBy("shard").applyInPandas(_link_shard, "a long, b long")
+        .groupBy("shard").applyInPandas(_link_shard(rule), "a long, b long")
     )
     if not sets.filter(wide).limit(1).count():
         return materialize(narrow)
     broad = sets.filter(wide).withColumn("n_blocks", n_blocks).withColumn("block", block)
     inside = (
         broad.select("cluster", "block", "cid", "items")
-        .groupBy("cluster", "block").applyInPandas(_link_shard, "a long, b long")
+        .groupBy("cluster", "block").applyInPandas(_link_shard(rule), "a long, b long")
     )
     links = materialize(narrow.unionByName(inside))
     part = connected_components(links).withColumnRenamed("node", "cid")
@@ -370,16 +419,17 @@ def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> Da
     across = (
         one.select(*columns, "rest_block", "block", F.lit(0).alias("side"))
         .unionByName(labelled.join(used, "cluster").select(*columns, "rest_block", "block", F.lit(1).alias("side")))
-        .groupBy("cluster", "rest_block", "block").applyInPandas(_link_across, "a long, b long")
+        .groupBy("cluster", "rest_block", "block").applyInPandas(_link_across(rule), "a long, b long")
     )
     return materialize(links.unionByName(across))
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, words: int = CONTRACT.words, percent: int = CONTRACT.percent) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    rule = Rule(words, percent)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketched = materialize(
-        docs.select("doc_id", "text").mapInPandas(_scan, f"doc_id {kind}, n_shingles long, s1 long, s2 long, regs binary")
+        docs.select("doc_id", "text").mapInPandas(_scan(rule), f"doc_id {kind}, n_shingles long, s1 long, s2 long, regs binary")
     )
     low = F.coalesce("doc_id", F.lit(_LOWEST))
     classes = materialize(
@@ -387,8 +437,8 @@ def near_components(docs: DataFrame) -> DataFrame:
         .agg(F.min(low).alias("low"), F.first("n_shingles").alias("n_shingles"), F.min_by("regs", low).alias("regs"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    clusters = materialize(connected_components(_candidate_edges(classes))).withColumnRenamed("component", "cluster")
-    parts = materialize(connected_components(_exact_links(docs, classes, clusters)))
+    clusters = materialize(connected_components(_candidate_edges(classes, rule))).withColumnRenamed("component", "cluster")
+    parts = materialize(connected_components(_exact_links(docs, classes, clusters, rule)))
     of = parts.join(classes.select(F.col("cid").alias("node"), "low", "s1", "s2"), "node")
     least = of.groupBy("component").agg(F.min("low").alias("component_low"))
     moved = of.join(least, "component").select("s1", "s2", "component_low")
@@ -406,9 +456,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one_of_near(docs: DataFrame) -> DataFrame:
+def keep_one_of_near(docs: DataFrame, words: int = STAGE.words, percent: int = STAGE.percent) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each component, with all of their columns."""
-    kept = materialize(near_components(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__keep")).distinct())
+    kept = materialize(near_components(docs.select("doc_id", "text"), words, percent).filter("kept").select(F.col("doc_id").alias("__keep")).distinct())
     return docs.join(
         broadcast_if_small(kept, kept.count(), BROADCAST_ROWS), docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi"
     )

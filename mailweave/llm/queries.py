@@ -78,7 +78,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(documents(spark, sf_dir))
+    return near_components(documents(spark, sf_dir), words=3, percent=85)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
