@@ -264,6 +264,13 @@ def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")).filter("documents >= 5")
 
 
+@query(r"""SELECT term, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS occurrences FROM
+(SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL)
+GROUP BY term""", archive=False)
+def postings_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.postings(_texts(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+
+
 @query("SELECT address_id, count(DISTINCT message_id) AS messages FROM recipients WHERE role = 'FROM' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def facet_senders(a: Archive) -> DataFrame:
     return listing.facet_addresses(a, ("FROM",))
@@ -290,6 +297,12 @@ def conversations_of(a: Archive) -> DataFrame:
     return listing.conversations_of(a, a.messages.filter("id <= 500").select("id"))
 
 
+@query("""SELECT message_id AS id, min(thread_id) AS thread_id, any_value(n) AS size FROM message_threads JOIN
+(SELECT thread_id, count(DISTINCT message_id) AS n FROM message_threads GROUP BY 1) USING (thread_id) GROUP BY 1""")
+def conversations_of_all(a: Archive) -> DataFrame:
+    return listing.conversations_of(a, a.messages.select("id"))
+
+
 @query("""SELECT thread_id, id, CAST(place AS INTEGER) AS place FROM (SELECT thread_id, id, row_number() OVER (PARTITION BY thread_id ORDER BY sent_at DESC NULLS LAST, id) AS place
 FROM message_threads JOIN messages ON id = message_id) WHERE place <= 5""")
 def conversation_members(a: Archive) -> DataFrame:
@@ -370,9 +383,13 @@ def message_subgraph(a: Archive) -> DataFrame:
 
 
 def _thin(a: Archive) -> DataFrame:
-    """Pairs of customers' and suppliers' mail thin enough that ranks differ: the heaviest pairs."""
-    pairs = reports.addressed_pairs(a)
-    return pairs.filter("left < 's4' and right < 's4'").select(F.col("left").alias("src"), F.col("right").alias("dst"), F.col("count").alias("weight"))
+    """The pairs that the SQL of ``weighted_pagerank`` is fixed to, a subset by id; nothing else uses it."""
+    return _edges(a).filter("src < 's4' and dst < 's4'")
+
+
+def _edges(a: Archive) -> DataFrame:
+    """All addressed pairs as weighted edges."""
+    return reports.addressed_pairs(a).select(F.col("left").alias("src"), F.col("right").alias("dst"), F.col("count").alias("weight"))
 
 
 def _pagerank_sql(passes: int) -> str:
@@ -391,6 +408,11 @@ def weighted_pagerank(a: Archive) -> DataFrame:
     return graph.weighted_pagerank(_thin(a)).select("id", F.round("rank", 8).alias("rank"))
 
 
+@query()
+def weighted_pagerank_all(a: Archive) -> DataFrame:
+    return graph.weighted_pagerank(_edges(a)).select("id", F.round("rank", 8).alias("rank"))
+
+
 @query()
 def reply_pagerank(a: Archive) -> DataFrame:
     return graph.directed_pagerank(reports.parents(a).select(F.col("child").alias("src"), F.col("parent").alias("dst")))
@@ -409,7 +431,7 @@ def connected_components(a: Archive) -> DataFrame:
 
 @query()
 def label_propagation(a: Archive) -> DataFrame:
-    return graph.label_propagation(_thin(a))
+    return graph.label_propagation(_edges(a))
 
 
 @query(""", e AS (SELECT child AS s, parent AS t FROM replies), h1 AS (SELECT DISTINCT t AS id, 1 AS hop FROM e WHERE s = (SELECT max(child) FROM replies)),
@@ -422,13 +444,13 @@ def neighbourhood(a: Archive) -> DataFrame:
 
 @query()
 def shortest_paths(a: Archive) -> DataFrame:
-    return graph.shortest_paths(_thin(a), "s1", "s10", 8, 3).withColumns(joined("nodes"))
+    return graph.shortest_paths(_edges(a), "s1", "s10", 8, 3).withColumns(joined("nodes"))
 
 
 @query()
 def betweenness(a: Archive) -> DataFrame:
-    thin = _thin(a).filter("weight >= 5")
-    return graph.betweenness(thin, thin.select(F.col("src").alias("id")).distinct()).select("id", F.round("betweenness", 6).alias("betweenness"))
+    edges = _edges(a)
+    return graph.betweenness(edges, edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 # --- derived layer -------------------------------------------------------------------------
@@ -482,8 +504,8 @@ def template_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def communities(a: Archive) -> DataFrame:
-    thin = _thin(a)
-    return derived.communities(graph.label_propagation(thin), graph.weighted_pagerank(thin), a.addresses)[0]
+    edges = _edges(a)
+    return derived.communities(graph.label_propagation(edges), graph.weighted_pagerank(edges), a.addresses)[0]
 
 
 @query("""SELECT message_id AS id, 'community:' || any_value(domain) AS community_id, round(max(k * 1.0 / size), 6) AS score FROM (
@@ -565,6 +587,16 @@ def semantic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.neighbours(a.vectors, first["vector"], first["model"], 10)
 
 
+@query("""SELECT l.vec_id AS query, r.vec_id AS id, round(1 - list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 4) AS distance
+FROM embeddings l JOIN embeddings r ON l.label = r.label WHERE l.vec_id % 100 = 0
+QUALIFY row_number() OVER (PARTITION BY l.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 9), r.vec_id) <= 10""", archive=False)
+def semantic_neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search from every id divisible by 100."""
+    vectors = driver_archive(spark, sf_dir).vectors
+    found = semantic.nearest_of_all(vectors, 10, queries=vectors.filter("id % 100 = 0"), own=True)
+    return found.select(F.col("left").alias("query"), F.col("right").alias("id"), F.round("distance", 4).alias("distance"))
+
+
 @query("""SELECT l.vec_id AS "left", r.vec_id AS "right", round(1 - list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 4) AS distance
 FROM embeddings l JOIN embeddings r ON l.label = r.label AND l.vec_id <> r.vec_id
 QUALIFY row_number() OVER (PARTITION BY l.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 9), r.vec_id) <= 5""", archive=False)

@@ -37,18 +37,21 @@ def neighbours(vectors: DataFrame, query: list[float], model: str, limit: int =
     return top(rows.select("id", F.round(d, 4).alias("distance")), F.asc("distance"), F.asc("id"), limit=limit)
 
 
-def nearest_of_all(vectors: DataFrame, k: int = NEIGHBOURS, blocks: int | None = None) -> DataFrame:
-    """(left, right, distance): the ``k`` nearest of every vector within its model, exact.
+def nearest_of_all(vectors: DataFrame, k: int = NEIGHBOURS, blocks: int | None = None, queries: DataFrame | None = None, own: bool = False) -> DataFrame:
+    """(left, right, distance): the ``k`` nearest of every vector (or of ``queries``) within its model, exact.
+
+    With ``own`` a vector is among its own nearest.
 
     Vectors are dealt into blocks; a task compares one block of queries with one of candidates
     and keeps ``k`` of each query, so rows grow with queries times blocks, not with pairs.
     """
     rows = vectors.filter(F.col("vector").isNotNull())
     n = blocks or max(1, -(-rows.count() // BLOCK))
-    dealt = rows.select("id", "model", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+    deal = lambda df: df.select("id", "model", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+    dealt, asked = deal(rows), deal(rows if queries is None else queries.filter(F.col("vector").isNotNull()))
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sides = (
-        dealt.select("*", F.lit(0).alias("side"), every.alias("other")).select("model", F.col("block").alias("q"), F.col("other").alias("c"), "side", "id", "vector")
+        asked.select("*", F.lit(0).alias("side"), every.alias("other")).select("model", F.col("block").alias("q"), F.col("other").alias("c"), "side", "id", "vector")
         .unionByName(dealt.select("*", F.lit(1).alias("side"), every.alias("other")).select("model", F.col("other").alias("q"), F.col("block").alias("c"), "side", "id", "vector"))
     )
     kind = vectors.schema["id"].dataType.simpleString()
@@ -60,7 +63,8 @@ def nearest_of_all(vectors: DataFrame, k: int = NEIGHBOURS, blocks: int | None =
         unit = lambda x: (m := np.stack(x["vector"].to_numpy()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         d = np.round(1 - unit(left) @ unit(right).T, 9)
         same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-        d[same] = np.inf
+        if not own:
+            d[same] = np.inf
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
         at = np.repeat(np.arange(len(left)), order.shape[1])
         out = pd.DataFrame({"left": left["id"].to_numpy()[at], "right": right["id"].to_numpy()[order.reshape(-1)], "distance": d[at, order.reshape(-1)]})
