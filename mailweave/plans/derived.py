@@ -176,7 +176,8 @@ def templates(facts: DataFrame, distance: int = DISTANCE, least: int = OCCURRENC
     placed = cut(rows.withColumn("node", node("simhash")).join(part.withColumnRenamed("id", "node"), "node"))
     sizes = placed.groupBy("component").agg(F.count("*").alias("occurrences"), F.min_by("simhash", "id").alias("model")).filter(F.col("occurrences") >= least)
     members = cut(placed.join(sizes, "component"))
-    gap = (F.col("sent_at").cast("double") - F.lag(F.col("sent_at").cast("double")).over(W.partitionBy("component").orderBy("sent_at", "id")))
+    seconds = F.col("sent_at").cast("timestamp").cast("double")
+    gap = (seconds - F.lag(seconds).over(W.partitionBy("component").orderBy("sent_at", "id")))
     gaps = members.filter("sent_at is not null").withColumn("gap", gap)
     regular = gaps.groupBy("component").agg(
         F.when((F.count("*") >= 3) & (F.avg("gap") > 0), 1 / (1 + F.stddev_pop("gap") / F.avg("gap"))).otherwise(0.0).alias("regularity")
@@ -199,6 +200,12 @@ def templates(facts: DataFrame, distance: int = DISTANCE, least: int = OCCURRENC
     return found.drop("component"), of.select("template_id", "id", hamming(F.col("simhash"), F.col("model")).alias("distance"))
 
 
+def automation(found: DataFrame, instances: DataFrame) -> DataFrame:
+    """(id, score): how automated the templates of a message look, from what ``templates`` returns."""
+    scored = found.select(F.col("id").alias("template_id"), "automation_score")
+    return instances.join(scored, "template_id").groupBy("id").agg(F.max("automation_score").alias("score"))
+
+
 def communities(labels: DataFrame, ranks: DataFrame, addresses: DataFrame, least: int = COMMUNITY_SIZE) -> tuple[DataFrame, DataFrame]:
     """Communities (id, size, label) and members (community_id, id, rank) from a partition (id, label)."""
     known = labels.join(ranks, "id", "left").join(addresses.select("id", "domain"), "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))

@@ -87,7 +87,10 @@ def rebuild(
         found, instances = derived.templates(lines)
         out.put("templates", found)
         out.put("template_members", instances)
-        automation = instances.join(found.select(F.col("id").alias("template_id"), "automation_score"), "template_id").groupBy("id").agg(F.max("automation_score").alias("score"))
+        automation = derived.automation(found, instances)
+        out.counts["templates"] = found.count()
+        out.counts["keywords"] = words.count()
+        out.counts["automated"] = automation.filter("score > 0").count()
     else:
         automation = facts.select("id", F.lit(0.0).alias("score")).limit(0)
     out.put("message_importance", cut(derived.importance(facts, reports.message_signals(a), a.accounts, ranks, reply_rank, automation)))

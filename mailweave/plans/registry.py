@@ -456,14 +456,31 @@ def betweenness(a: Archive) -> DataFrame:
 # --- derived layer -------------------------------------------------------------------------
 
 
+def _similar(a: Archive) -> DataFrame:
+    """Pairs of messages with similar vectors."""
+    known = lambda c: a.messages.select(F.col("id").alias(c))
+    return semantic.topic_pairs(a.vectors).join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi")
+
+
+def _topics(a: Archive) -> tuple[DataFrame, DataFrame]:
+    """Topics with the links of conversations and of similar messages."""
+    facts = reports.facts(a)
+    return derived.topics(facts, derived.conversation_edges(facts, a.replies).unionByName(_similar(a)))
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as bodies of the messages with the same id."""
+    return _body_facts(spark, sf_dir).select("id", F.col("body_clean").alias("text"), "body_clean", "simhash")
+
+
 @query()
 def topics(a: Archive) -> DataFrame:
-    return derived.topics(reports.facts(a))[0]
+    return _topics(a)[0]
 
 
 @query()
 def topic_members(a: Archive) -> DataFrame:
-    return derived.topics(reports.facts(a))[1]
+    return _topics(a)[1]
 
 
 @query("""SELECT signal, key, id FROM (
@@ -531,6 +548,20 @@ def importance(a: Archive) -> DataFrame:
     return derived.importance(reports.facts(a), reports.message_signals(a), a.accounts, sender, none, auto).withColumns(joined("reasons"))
 
 
+@query(archive=False)
+def importance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With ranks of senders and replies, and templates."""
+    a = driver_archive(spark, sf_dir)
+    facts = reports.facts(a)
+    lines = facts.select("id", "sent_at", "outbound").join(_bodies(spark, sf_dir).drop("text"), "id")
+    replies = reports.parents(a).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    found = derived.importance(
+        facts, reports.message_signals(a), a.accounts, graph.weighted_pagerank(_edges(a)), graph.directed_pagerank(replies),
+        derived.automation(*derived.templates(lines)),
+    )
+    return found.withColumns(joined("reasons"))
+
+
 @query(""", g AS (SELECT thread_id AS g, message_id AS id, count(*) OVER (PARTITION BY thread_id) AS size FROM message_threads),
 o AS (SELECT g, tag_id, any_value(size) AS size, count(*) AS n FROM g JOIN message_tags t ON t.message_id = g.id WHERE size > 1 GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) * 1.0 / any_value(size) >= 0.3)
 SELECT tag_id, id, round(max(0.9 * n / o.size), 6) AS score, 'thread' AS method FROM o JOIN g USING (g)
@@ -544,7 +575,8 @@ def tag_suggestions(a: Archive) -> DataFrame:
 def rebuild_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mailweave.plans.rebuild import rebuild
 
-    done = rebuild(driver_archive(spark, sf_dir))
+    a = driver_archive(spark, sf_dir)
+    done = rebuild(a, _bodies(spark, sf_dir), lambda: _similar(a))
     return spark.createDataFrame(sorted(done.counts.items()), "name string, n long")
 
 

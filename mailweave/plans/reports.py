@@ -160,13 +160,15 @@ def facts(a: Archive) -> DataFrame:
     own = a.accounts.select(F.lower(F.trim("address")).alias("sender")).distinct().withColumn("outbound", F.lit(True))
     rel = message_relations(a.identified())
     keyed = participants(a).select(F.col("message_id").alias("id"), F.col("people").alias("participants"), "participant_key")
-    base = a.identified().messages.select("id", "sent_at", "subject_norm")
+    messages = a.identified().messages
+    refs = F.coalesce("refs", F.array().cast("array<string>")) if "refs" in messages.columns else F.array().cast("array<string>")
+    base = messages.select("id", "sent_at", "subject_norm", refs.alias("refs"))
     return (
         base.join(rel, "id").join(keyed, "id", "left")
         .withColumn("sender", F.array_min("senders")).withColumn("thread_id", F.array_min("threads"))
         .join(own, "sender", "left")
         .select(
-            "id", "sent_at", "subject_norm", "sender", "addressed", "blind_copied", "attachments", "thread_id",
+            "id", "sent_at", "subject_norm", "refs", "sender", "addressed", "blind_copied", "attachments", "thread_id",
             F.coalesce("participants", F.array().cast("array<string>")).alias("participants"),
             F.coalesce("participant_key", F.lit("")).alias("participant_key"), F.coalesce("outbound", F.lit(False)).alias("outbound"),
         )

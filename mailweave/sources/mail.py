@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.functions.text import BODY_CAP, canonical_id, clean_text, html_text, normalise_address, normalise_message_id, simhash_text
+from mailweave.functions.text import BODY_CAP, canonical_id, clean_text, extract_refs, html_text, normalise_address, normalise_message_id, simhash_text
 
 FATAL = ("StartBoundaryNotFoundDefect", "MultipartInvariantViolationDefect")
 PARSED = (
@@ -139,7 +139,7 @@ def ground_truth(parsed: DataFrame) -> dict[str, DataFrame]:
     people = good.select(F.col("id").alias("message_id"), F.explode("recipients").alias("r")).select("message_id", "r.role", F.col("r.address").alias("address_id"), "r.name")
     links = good.select(F.col("id").alias("child"), F.coalesce(normalise_message_id(F.col("in_reply_to")), parent).alias("parent")).filter("parent is not null")
     return {
-        "messages": good.select("id", "subject", "sent_at_raw", "sent_at", "body_text", "body_clean", "simhash", "size_bytes", "eml_sha256", F.exists("attachments", lambda x: x["filename"].isNotNull() | x["content_id"].isNull()).alias("has_attachments")),
+        "messages": good.select("id", "subject", "sent_at_raw", "sent_at", "body_text", "body_clean", "simhash", extract_refs(F.col("subject"), F.col("body_clean")).alias("refs"), "size_bytes", "eml_sha256", F.exists("attachments", lambda x: x["filename"].isNotNull() | x["content_id"].isNull()).alias("has_attachments")),
         "recipients": people.select("message_id", "address_id", "role").distinct(),
         "addresses": people.groupBy(normalise_address(F.col("address_id")).alias("id")).agg(F.sort_array(F.collect_set(F.when(F.col("name") != "", F.col("name")))).alias("display_names")),
         "replies": links.join(good.select(F.col("id").alias("parent")), "parent", "left_semi").distinct(),
