@@ -139,7 +139,10 @@ class Scanner:
         self.automaton.make_automaton()
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """Found licenses as (template, coverage, start, end) in code points, best region of each template."""
+        """Found licenses as (template, coverage, start, end) in code points, every occurrence of each template.
+
+        A stretch of text that holds an occurrence is searched again on both sides of it.
+        """
         if next(self.automaton.iter(text.lower()), None) is None:
             return []
         spans = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
@@ -152,19 +155,34 @@ class Scanner:
         out = []
         for name, template in self.templates.items():
             hits = sorted(i for w in self.keys[name] for i in places.get(w, ()))
-            reach, best, k = len(template), None, 0
+            reach, found, k = len(template), [], 0
             while k < len(hits):
                 last = k
                 while last + 1 < len(hits) and hits[last + 1] - hits[k] < reach:
                     last += 1
-                a, b = max(0, hits[k] - reach), min(len(words), hits[last] + reach + 1)
-                pairs = align(words[a:b], template)
-                share = len(pairs) / len(template)
-                if share >= self.coverage and (best is None or share > best[1]):
-                    best = (name, share, spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1])
+                todo = [(max(0, hits[k] - reach), min(len(words), hits[last] + reach + 1))]
+                while todo:
+                    a, b = todo.pop()
+                    pairs = align(words[a:b], template)
+                    share = len(pairs) / len(template)
+                    if share >= self.coverage:
+                        first, end = a + pairs[0][0], a + pairs[-1][0] + 1
+                        found.append((share, first, end))
+                        todo += [(a, first), (end, b)]
                 k = last + 1
-            if best:
-                out.append(best)
+            # a stretch can mix copies: each place where a key word puts the template is tried by itself
+            starts = {i - j for i in hits for j, w in enumerate(template) if w == words[i]}
+            for a in sorted(x for x in starts if -reach < x):
+                b, a = min(len(words), a + reach), max(0, a)
+                pairs = align(words[a:b], template)
+                if pairs and len(pairs) / len(template) >= self.coverage:
+                    found.append((len(pairs) / len(template), a + pairs[0][0], a + pairs[-1][0] + 1))
+            # regions of neighbouring stretches overlap: the higher share stays, then the shorter, then the first
+            kept: list[tuple[int, int, float]] = []
+            for share, first, end in sorted(set(found), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                if all(end <= f or first >= e for f, e, _ in kept):
+                    kept.append((first, end, share))
+            out += [(name, share, spans[f][0], spans[e - 1][1]) for f, e, share in sorted(kept)]
         return out
 
 
