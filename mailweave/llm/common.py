@@ -6,11 +6,14 @@ bytes other than the six ASCII white-space characters. Nothing here gathers rows
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Text bytes that one numpy block holds; longer texts make a block of their own.
 BLOCK_BYTES = 1 << 18
+#: Characters of the rows that a task handles at once; a longer text is handled alone.
+PART_CHARS = 1 << 21
 
 _ODD = 0x5851F42D4C957F2D
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
@@ -73,6 +78,48 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+# --- memory of Python workers ---------------------------------------------------------------
+
+_HELD: dict = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give what was freed back to the system: Spark keeps Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """What a worker keeps between the tasks of one operator; the next operator's takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def parts(batches: Iterator[pd.DataFrame], column: str = "text", size: int = PART_CHARS, keeps: object = None) -> Iterator[pd.DataFrame]:
+    """Runs of rows with at most about ``size`` characters (or bytes) in ``column``.
+
+    Drops what another operator held in this worker, unless it is ``keeps``, and releases freed
+    memory after each batch.
+    """
+    if _HELD and keeps not in _HELD:
+        _HELD.clear()
+    for pdf in batches:
+        ends = np.cumsum([len(x) if isinstance(x, (str, bytes)) else 0 for x in pdf[column]])
+        first = 0
+        while first < len(pdf):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield pdf.iloc[first:last]
+            first = last
+        del pdf
+        release()
+
+
 # --- numpy blocks -------------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ an empty table gives no rows; other columns of the input, whatever their names,
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -102,7 +102,7 @@ def merge_filters(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return values[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def _filters(shard_bits: int):
+def _filters(shard_bits: int, of: Callable | None):
     low_bits = 64 - shard_bits
 
     def emit(values: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -120,7 +120,7 @@ def _filters(shard_bits: int):
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
-        for batch in batches:
+        for batch in batches if of is None else of(batches):
             held.append(batch["fp"].to_numpy(np.int64).view(np.uint64))
             size += len(held[-1])
             if size >= FLUSH_ROWS:
@@ -132,12 +132,16 @@ def _filters(shard_bits: int):
     return scan
 
 
-def repeated_fingerprints(fingerprints: DataFrame, shards: int | None = None) -> DataFrame:
-    """Fingerprints (column ``fp``, long, not null) that occur more than once, with their counts."""
+def repeated_fingerprints(fingerprints: DataFrame, shards: int | None = None, of: Callable | None = None) -> DataFrame:
+    """Fingerprints (column ``fp``, long, not null) that occur more than once, with their counts.
+
+    With ``of``, the tasks make the fingerprints: it turns batches of the rows into batches with ``fp``.
+    """
     shards = shards or shuffle_partitions(fingerprints.sparkSession)
     shard_bits = max(0, int(np.ceil(np.log2(shards))))
     low_bits = 64 - shard_bits
-    filters = fingerprints.select("fp").mapInPandas(_filters(shard_bits), "shard int, filter binary")
+    rows = fingerprints.select("fp") if of is None else fingerprints
+    filters = rows.mapInPandas(_filters(shard_bits, of), "shard int, filter binary")
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values, counts = merge_filters(pdf["filter"].tolist())

@@ -5,18 +5,20 @@ anchor inside it: the position of the smallest hash of ``CORE`` bytes, which dep
 window's bytes alone, so equal windows have equal anchors. Neighbouring windows with one anchor
 make a hull. Four steps decide which windows start in another place too:
 
-1. Counting quotient filters, one per scan task and merged by sorted remainders, give the cores
-   that occur more than once. Everything else is settled.
-2. Equal hulls are counted with map-side aggregation, so copies collapse before any shuffle.
-   All windows of a hull that occurs twice repeat.
-3. A hull that occurs once, beside other hulls of its core, needs sorting. Such hulls are dealt
-   to shards; a shard writes each as its left flank, one symbol for its core and its right
-   flank, and sorts all suffixes by linear grouping: groups of suffixes with one Lyndon prefix
-   are processed in descending order, where previous-smaller pointers refine lower groups,
-   and the order inside the groups is emitted in one ascending pass without recursive renaming.
-   Neighbours in the suffix array that share a window's symbols repeat.
+1. Counting quotient filters, one per scan task and merged by sorted remainders, give the hashes
+   of cores that occur more than once. Everything else is settled: no window of it repeats.
+2. Hulls are counted by their bytes with map-side aggregation, so copies collapse before any
+   shuffle. All windows of a hull that occurs twice repeat.
+3. A hull that occurs once, beside other hulls of its core, needs sorting. All distinct hulls are
+   dealt to shards by core; a shard writes each hull as its left flank, one symbol for the bytes
+   of its core and its right flank, and sorts all suffixes by linear grouping: groups of suffixes
+   with one Lyndon prefix are processed in descending order, where previous-smaller pointers
+   refine lower groups, and the order inside the groups is emitted in one ascending pass without
+   recursive renaming. Neighbours in the suffix array that share a window's symbols repeat.
 4. A core with more hulls than a shard holds is dealt to many shards by hull; windows that are
-   alone in their shard are then counted over the shards of that core.
+   alone in their shard are then counted by their bytes over the shards of that core.
+
+Hashes choose anchors and deal work; that two strings are equal is decided on their bytes.
 
 Matches never cross documents, and windows are judged on the input, not on what is left.
 
@@ -27,7 +29,6 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import broadcast_if_small, encoded, materialize, mix, prefix_hash, span_hash
+from mailweave.llm.common import broadcast_if_small, encoded, materialize, parts, prefix_hash, release, span_hash
 from mailweave.llm.exact_dedup import repeated_fingerprints
 
 #: Bytes of a window (fixed by the contract of the query) and of an anchor's core.
@@ -45,6 +46,8 @@ WIDTH = LENGTH - CORE + 1
 PIECE = 1 << 18
 #: Hulls of a shard, and of one suffix sort: short texts sort faster, and cores don't share windows.
 SHARD_HULLS, SORT_HULLS = 4000, 256
+#: Windows that are compared with their neighbours at once.
+COMPARED = 1 << 13
 #: Texts whose removed spans are broadcast at most; more are joined by a shuffle, as all else is.
 BROADCAST_ROWS = 300_000
 _PLACE = np.uint64((1 << 20) - 1)
@@ -58,8 +61,8 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - k)], m[w - k :]) if k < w else m
 
 
-def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per piece of a text: core hash, hull hash, first window, windows and core place of each hull."""
+def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per piece of a text: core hash, first window, windows and core place of each hull."""
     for a in range(0, len(text) - LENGTH + 1, PIECE):
         data = np.frombuffer(text, np.uint8)[a : a + PIECE + LENGTH - 1]
         prefix = prefix_hash(data)
@@ -69,34 +72,37 @@ def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         first = np.ones(len(best), bool)
         np.not_equal(best[1:], best[:-1], out=first[1:])
         start = np.flatnonzero(first)
-        windows = np.diff(start, append=len(best))
         core = len(h) - 1 - (best[start] & _PLACE).astype(np.int64)
-        yield h[core], span_hash(prefix, start, start + windows - 1 + LENGTH), start + a, windows, core + a
+        yield h[core], start + a, np.diff(start, append=len(best)), core + a
+
+
+def _core_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts(batches):
+        found = [piece[0] for text in encoded(part["text"]) for piece in anchors(text)]
+        if found:
+            yield pd.DataFrame({"fp": np.concatenate(found).view(np.int64)})
 
 
 def _scan_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for whole in batches:
-        for lo in range(0, len(whole), 500):
-            part = whole.iloc[lo : lo + 500]
-            found, row = [], []
-            for k, text in enumerate(encoded(part["text"])):
-                for piece in anchors(text):
-                    found.append(piece)
-                    row.append(np.full(len(piece[0]), k))
-            if found:
-                core, hull, start, windows, place = (np.concatenate(x) for x in zip(*found, strict=True))
-                at = np.concatenate(row)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].iloc[at].array,
-                        "text_hash": part["text_hash"].to_numpy()[at],
-                        "core": core.view(np.int64),
-                        "hull": hull.view(np.int64),
-                        "first": start.astype(np.int32),
-                        "windows": windows.astype(np.int16),
-                        "left": (place - start).astype(np.int16),
-                    }
-                )
+    for part in parts(batches):
+        found, row = [], []
+        for k, text in enumerate(encoded(part["text"])):
+            for piece in anchors(text):
+                found.append(piece)
+                row.append(np.full(len(piece[0]), k))
+        if found:
+            core, start, windows, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            at = np.concatenate(row)
+            yield pd.DataFrame(
+                {
+                    "doc_id": part["doc_id"].iloc[at].array,
+                    "text_hash": part["text_hash"].to_numpy()[at],
+                    "core": core.view(np.int64),
+                    "first": start.astype(np.int32),
+                    "windows": windows.astype(np.int16),
+                    "left": (place - start).astype(np.int16),
+                }
+            )
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -195,7 +201,7 @@ def suffix_array(text: list[int]) -> list[int]:
     return order
 
 
-def repeated_windows(strings: list[bytes], cores: np.ndarray, lefts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(hulls: list[bytes], cores: np.ndarray, lefts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`_sorted_windows` of runs of about ``SORT_HULLS`` hulls; all hulls of a core are in one run."""
     order = np.argsort(cores, kind="stable")
     changes = np.flatnonzero(np.diff(cores[order])) + 1
@@ -204,22 +210,24 @@ def repeated_windows(strings: list[bytes], cores: np.ndarray, lefts: np.ndarray,
         if c - last >= SORT_HULLS or c == len(order):
             cuts.append(c)
             last = c
-    parts = []
+    found = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         some = order[a:b]
-        hull, place, count = _sorted_windows([strings[i] for i in some], cores[some], lefts[some], windows[some])
-        parts.append((some[hull], place, count))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        hull, place, count = _sorted_windows([hulls[i] for i in some], lefts[some], windows[some])
+        found.append((some[hull], place, count))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _sorted_windows(strings: list[bytes], cores: np.ndarray, lefts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which windows of some hulls are equal to one of another hull.
+def _sorted_windows(hulls: list[bytes], lefts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows of some distinct hulls are equal to one of another hull.
 
-    ``strings`` are both flanks of each hull, ``lefts`` the bytes of the left one. Returns the
-    hull of each window, its place in the hull, and the size of its class of equal windows
-    with the sign changed for all but the first of a class.
+    ``lefts`` are the bytes before the core of each hull. Returns the hull of each window, its
+    place in the hull, and the size of its class of equal windows with the sign changed for all
+    but the first of a class.
     """
-    symbols = np.unique(cores, return_inverse=True)[1] + 258
+    names: dict[bytes, int] = {}
+    symbols = np.array([names.setdefault(h[x : x + CORE], 258 + len(names)) for h, x in zip(hulls, lefts.tolist(), strict=True)])
+    strings = [h[:x] + h[x + CORE :] for h, x in zip(hulls, lefts.tolist(), strict=True)]
     size = np.array([len(s) + 2 for s in strings])
     begin = np.cumsum(size) - size
     total = int(size.sum()) + 1
@@ -239,9 +247,10 @@ def _sorted_windows(strings: list[bytes], cores: np.ndarray, lefts: np.ndarray,
     order = order[starts[order]]
     same = np.zeros(len(order), bool)
     span = np.arange(LENGTH - CORE + 1)
-    for a in range(0, len(order), 1 << 16):
-        b = min(len(order), a + (1 << 16))
-        cells = text[order[max(0, a - 1) : b, None] + span]
+    short = text.astype(np.int32)
+    for a in range(0, len(order), COMPARED):
+        b = min(len(order), a + COMPARED)
+        cells = short[order[max(0, a - 1) : b, None] + span]
         equal = (cells[1:] == cells[:-1]).all(1)
         same[a + (a == 0) : b] = equal
     klass = np.cumsum(~same) - 1
@@ -249,19 +258,6 @@ def _sorted_windows(strings: list[bytes], cores: np.ndarray, lefts: np.ndarray,
     return hull_of[order], within[order], np.where(same, -count, count)
 
 
-def _flanks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for text, hulls, doc_id, text_hash in zip(encoded(pdf["text"]), pdf["hulls"], pdf["doc_id"], pdf["text_hash"], strict=True):
-            for h in hulls:
-                core = h["first"] + h["left"]
-                flank = text[h["first"] : core] + text[core + CORE : h["first"] + h["windows"] - 1 + LENGTH]
-                rows.append((doc_id, text_hash, h["core"], h["hull"], h["n"], h["blocks"], h["first"], h["windows"], h["left"], flank))
-        yield pd.DataFrame(
-            rows, columns=["doc_id", "text_hash", "core", "hull", "n", "blocks", "first", "windows", "left", "flank"]
-        )
-
-
 def _runs(hull: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive places of each hull: hull, first and last place."""
     order = np.lexsort((place, hull))
@@ -273,25 +269,29 @@ def _runs(hull: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _sort_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spans of repeated windows (window 0), and windows of cores that have other shards."""
+    """Spans of repeated windows (window null), and windows of cores that have other shards."""
+    core = pdf["core"].to_numpy()
+    # a core without a hull that occurs once, or with one hull in all, has nothing to find
+    order, at, many = np.unique(core, return_inverse=True, return_counts=True)
+    asks = np.zeros(len(order), bool)
+    asks[at[pdf["n"].to_numpy() == 1]] = True
+    pdf = pdf[(asks & (many > 1))[at] | (pdf["blocks"].to_numpy() > 1)]
+    if pdf.empty:
+        return pd.DataFrame({c: pdf[c] for c in ("doc_id", "text_hash", "first")} | {c: [] for c in ("end", "window", "asks")})
     columns = {c: pdf[c].to_numpy() for c in ("core", "left", "windows", "first", "n", "blocks")}
-    strings = pdf["flank"].tolist()
-    hull, place, count = repeated_windows(strings, columns["core"], columns["left"].astype(np.int64), columns["windows"].astype(np.int64))
+    hulls = pdf["bytes"].tolist()
+    hull, place, count = repeated_windows(hulls, columns["core"], columns["left"].astype(np.int64), columns["windows"].astype(np.int64))
     alone = columns["n"] == 1
     hit = (np.abs(count) > 1) & alone[hull]
     h, a, b = _runs(hull[hit], place[hit])
-    out = [(h, columns["first"][h] + a, columns["first"][h] + b + LENGTH, np.zeros(len(h), np.int64), np.zeros(len(h), bool))]
+    out = [(h, columns["first"][h] + a, columns["first"][h] + b + LENGTH, np.full(len(h), None, object), np.zeros(len(h), bool))]
     cross = (columns["blocks"][hull] > 1) & (count > 0)
     if cross.any():
         h, p = hull[cross], place[cross]
-        named = np.array(
-            [
-                int.from_bytes(hashlib.blake2b(strings[i][j : j + LENGTH - CORE] + bytes([int(columns["left"][i] - j)]) + int(columns["core"][i]).to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
-                for i, j in zip(h.tolist(), p.tolist(), strict=True)
-            ]
-        )
+        window = np.empty(len(h), object)
+        window[:] = [hulls[i][j : j + LENGTH] for i, j in zip(h.tolist(), p.tolist(), strict=True)]
         first = columns["first"][h] + p
-        out.append((h, first, first + LENGTH, np.where(named == 0, 1, named), alone[h] & (count[cross] == 1)))
+        out.append((h, first, first + LENGTH, window, alone[h] & (count[cross] == 1)))
     h, s, e, window, asks = (np.concatenate(x) for x in zip(*out, strict=True))
     return pd.DataFrame(
         {
@@ -310,54 +310,53 @@ def repeated_spans(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame
 
     The spans of a text may overlap; their union is what repeats.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(F.col("text").isNotNull())
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(F.octet_length("text") >= LENGTH)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = keyed.mapInPandas(
-        _scan_anchors,
-        f"doc_id {kind}, text_hash long, core long, hull long, first int, windows short, left short",
-    )
-    cores = materialize(repeated_fingerprints(found.select(F.col("core").alias("fp"))).select(F.col("fp").alias("core")))
-    again = materialize(found.join(cores, "core", "left_semi"))
-    # All columns of first() come from one row of the hull.
-    row = ["doc_id", "text_hash", "first", "windows", "left"]
-    hulls = materialize(
-        again.groupBy("core", "hull").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in row])
-    )
-    mixed = materialize(
-        hulls.groupBy("core").agg(F.count("*").alias("hulls")).filter("hulls > 1")
-        .select("core", F.ceil(F.col("hulls") / shard_hulls).cast("int").alias("blocks"))
+    found = keyed.mapInPandas(_scan_anchors, f"doc_id {kind}, text_hash long, core long, first int, windows short, left short")
+    cores = repeated_fingerprints(keyed.select("text"), of=_core_hashes).select(F.col("fp").alias("core"))
+    # places of cores that occur more than once, by text; a text's places are bounded by its length
+    held = materialize(
+        found.join(materialize(cores), "core", "left_semi").groupBy("doc_id", "text_hash")
+        .agg(F.collect_set(F.struct("core", "first", "windows", "left")).alias("places"))
+        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "places")
     )
-    to_sort = materialize(hulls.join(mixed, "core"))
-    n_sort = to_sort.count()
-    shards = max(1, -(-n_sort // shard_hulls))
-    wanted = to_sort.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("core", "hull", "n", "blocks", "first", "windows", "left")).alias("hulls")
+    raw = F.col("text").cast("binary")
+    place = lambda x: F.struct(
+        x["core"].alias("core"), x["first"].alias("first"), x["windows"].alias("windows"), x["left"].alias("left"),
+        F.substring(raw, x["first"] + 1, x["windows"].cast("int") + (LENGTH - 1)).alias("bytes"),
     )
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "hulls")
-    texts = keyed.join(
-        wanted,
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")),
+    placed = (
+        keyed.join(held, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+        .select("doc_id", "text_hash", F.explode(F.transform("places", place)).alias("x")).select("doc_id", "text_hash", "x.*")
     )
-    flanks = texts.select("doc_id", "text_hash", "text", "hulls").mapInPandas(
-        _flanks,
-        f"doc_id {kind}, text_hash long, core long, hull long, n long, blocks int, first int, windows short, left short, flank binary",
+    # Columns of first() are used where one place is all that there is.
+    row = ["doc_id", "text_hash", "first"]
+    hulls = materialize(
+        placed.groupBy("core", "windows", "left", "bytes").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in row])
     )
-    block = F.pmod(F.col("hull"), F.col("blocks").cast("long"))
+    shards = max(1, -(-hulls.count() // shard_hulls))
+    wide = materialize(hulls.groupBy("core").agg(F.count("*").alias("hulls")).filter(F.col("hulls") > shard_hulls))
+    blocks = wide.select("core", F.ceil(F.col("hulls") / shard_hulls).cast("int").alias("blocks"))
+    dealt = hulls.join(broadcast_if_small(blocks, wide.count(), BROADCAST_ROWS), "core", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("bytes"), F.col("blocks").cast("long"))
     sorted_ = materialize(
-        flanks.withColumn("shard", F.pmod(F.xxhash64("core", block), F.lit(shards)))
+        dealt.withColumn("shard", F.pmod(F.xxhash64("core", block), F.lit(shards)))
         .repartition(min(shards, 4000), "shard")
         .groupBy("shard")
-        .applyInPandas(_sort_shard, f"doc_id {kind}, text_hash long, first int, end int, window long, asks boolean")
+        .applyInPandas(_sort_shard, f"doc_id {kind}, text_hash long, first int, end int, window binary, asks boolean")
     )
     # windows alone in their shard whose core has more shards: counted over the shards
-    cross = sorted_.filter("window != 0")
+    cross = sorted_.filter("window is not null")
     twice = cross.groupBy("window").agg(F.count("*").alias("k")).filter("k > 1").select("window")
     across = cross.filter("asks").join(twice, "window", "left_semi")
-    single = hulls.filter("n = 1").select("hull", "core")
-    whole = again.join(single, ["core", "hull"], "left_anti")
+    single = hulls.filter("n = 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("first").alias("__first"))
+    again = held.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), F.explode("places").alias("x")).select("doc_id", "text_hash", "x.first", "x.windows")
+    whole = again.join(
+        single, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("first") == F.col("__first")), "left_anti"
+    )
     pieces = (
         whole.select("doc_id", "text_hash", "first", (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end"))
-        .unionByName(sorted_.filter("window = 0").select("doc_id", "text_hash", "first", "end"))
+        .unionByName(sorted_.filter("window is null").select("doc_id", "text_hash", "first", "end"))
         .unionByName(across.select("doc_id", "text_hash", "first", "end"))
     )
     return pieces.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
@@ -377,10 +376,11 @@ def _merge(spans) -> list[int]:
 def _merge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf[["doc_id", "text_hash"]].assign(bounds=[_merge(x) for x in pdf["spans"]])
+        release()
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in parts(batches):
         size, removed, spans, kept = [], [], [], []
         for text, bounds in zip(encoded(pdf["text"]), pdf["bounds"], strict=True):
             b = [] if bounds is None else [int(x) for x in bounds]
