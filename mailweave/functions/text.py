@@ -19,8 +19,8 @@ SUBJECT_PREFIX = r"(?i)^(?:\s*(?:re|aw|fwd?|wg|antw)\s*(?:\[\d+\])?\s*:\s*)+"
 NOT_TICKET_KEYS = ("AES", "ASCII", "COVID", "DIN", "EN", "IEC", "ISBN", "ISO", "MD", "MP", "RFC", "RGB", "SHA", "UTF")
 TICKET = rf"\b(?!(?:{'|'.join(NOT_TICKET_KEYS)})-)[A-Z][A-Z0-9]{{1,9}}-\d{{1,8}}\b"
 HASH_REF = r"(?<![\w#])#\d{2,8}(?!\d)"
-#: Characters of a stored body, of a preview.
-BODY_CAP, PREVIEW = 65_536, 160
+#: Characters of a preview.
+PREVIEW = 160
 SHINGLE_WORDS = 3
 #: Shingles whose bits are summed at once.
 SHINGLE_BLOCK = 1 << 14

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailweave.session import cut
+from mailweave.session import cut, measured
 
 DAMPING, PASSES = 0.85, 20
 LABEL_ROUNDS = 20
@@ -26,26 +25,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; about log(n) rounds, and no neighbourhood is
     gathered in one row or task.
     """
-    now = cut(
+    # the number of edges and the sum of their hashes, taken while they are written, tell whether anything changed
+    state = {"n": F.count("*"), "h": F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))}
+    pairs = cut(
         edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
         .filter("a is not null and b is not null").distinct()
     )
-    alone = now.filter("a = b").select("a", "b")
-    now = now.filter("a != b")
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first())
-
-    last = None
-    while (new := state(now)) != last:
+    alone = pairs.filter("a = b").select("a", "b")
+    now, new, last = pairs.filter("a != b"), {}, None
+    while new != last:
         last = new
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         pairs = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        now = cut(
+        now, new = measured(
             pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).union(pairs.select("a", F.col("m").alias("b")))
-            .filter("a != b").distinct()
+            .filter("a != b").distinct(), **state,
         )
     return now.union(now.select("b", "b")).union(alone).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
@@ -57,8 +53,10 @@ def weighted_pagerank(pairs: DataFrame, damping: float = DAMPING, passes: int =
     an edge, so no rank is lost.
     """
     both = undirected(pairs.filter("src != dst").select("src", "dst", F.greatest(F.col("weight"), F.lit(1)).cast("double").alias("w")))
-    both = cut(both.withColumn("share", F.col("w") / F.sum("w").over(W.partitionBy("src"))).select("src", "dst", "share"))
-    nodes = cut(both.select(F.col("src").alias("id")).distinct())
+    # sums with map-side combine, so that a hub's edges needn't meet in one task
+    whole = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("all"))
+    both = cut(both.join(whole, both["src"] == whole["id"]).select("src", "dst", (F.col("w") / F.col("all")).alias("share")))
+    nodes = cut(whole.select("id"))
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
@@ -78,7 +76,8 @@ def directed_pagerank(edges: DataFrame, damping: float = DAMPING, passes: int =
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    share = edges.withColumn("share", 1.0 / F.count("*").over(W.partitionBy("src")))
+    out = edges.groupBy(F.col("src").alias("of")).agg(F.count("*").alias("n"))
+    share = cut(edges.join(out, edges["src"] == out["of"]).select("src", "dst", (1.0 / F.col("n")).alias("share")))
     ends = nodes.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("end", F.lit(True))
     nodes = cut(nodes.join(ends, "id", "left"))
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
@@ -96,7 +95,7 @@ def directed_pagerank(edges: DataFrame, damping: float = DAMPING, passes: int =
 def label_propagation(edges: DataFrame, rounds: int = LABEL_ROUNDS) -> DataFrame:
     """(id, label): each node takes the most frequent label around it, the smallest of equals.
 
-    Half of the nodes (by hash) move in each half-round, so two nodes can't swap forever.
+    Half of the nodes (by a digit of their digest) move in each half-round, so two nodes can't swap forever.
     """
     both = cut(undirected(edges.select("src", "dst").filter("src != dst").distinct()).distinct())
     labels = cut(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
@@ -105,7 +104,7 @@ def label_propagation(edges: DataFrame, rounds: int = LABEL_ROUNDS) -> DataFrame
         for half in (0, 1):
             votes = both.join(labels, both["dst"] == labels["id"]).groupBy("src", "label").agg(F.count("*").alias("n"))
             best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("new"))
-            moves = F.pmod(F.xxhash64("id"), F.lit(2)) == half
+            moves = (F.left(F.md5(F.col("id").cast("string")), F.lit(1)) < "8") == (half == 0)
             labels = labels.join(best, labels["id"] == best["src"]).select("id", F.when(moves, F.col("new")).otherwise(F.col("label")).alias("label"))
         labels = cut(labels)
         if not labels.join(before.withColumnRenamed("label", "old"), "id").filter("label != old").limit(1).count():
@@ -146,10 +145,10 @@ def paths(edges: DataFrame, start, longest: int) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, left, right, longest: int = 8, count: int = 1) -> DataFrame:
-    """(nodes, length): up to ``count`` shortest undirected simple paths between two nodes.
+    """(nodes, length): the ``count`` shortest undirected simple paths between two nodes, of at most ``longest`` hops.
 
-    Frontiers grow hop by hop; the search ends at the first length with a path. ``longest`` bounds the
-    hops, and the frontier keeps nodes that are on a path without repeats.
+    Lengths are tried upwards from the distance of the two until there are enough paths. For one
+    length, partial paths grow hop by hop and only by nodes that can still arrive in time.
     """
     both = cut(undirected(edges.select("src", "dst").filter("src != dst").distinct()).distinct())
     reach = breadth_first(both, right, longest).select(F.col("id").alias("dst"), F.col("hop").alias("left_hops"))
@@ -157,27 +156,36 @@ def shortest_paths(edges: DataFrame, left, right, longest: int = 8, count: int =
     need = reach.filter(F.col("dst") == left).first()
     if need is None:
         return both.select(F.array("src").alias("nodes"), F.lit(0).alias("length")).limit(0)
-    length = need["left_hops"]
-    now = both.sparkSession.range(1).select(F.array(F.lit(left)).alias("nodes"))
-    for hop in range(length):
-        at = now.withColumn("src", F.element_at("nodes", -1))
-        # only steps that come one hop nearer
-        now = (
-            at.join(both, "src").join(reach.filter(F.col("left_hops") == length - hop - 1), "dst")
-            .select(F.concat("nodes", F.array("dst")).alias("nodes"))
-        )
-    return now.withColumn("length", F.lit(length)).orderBy("nodes").limit(count)
+    found = None
+    for length in range(need["left_hops"], longest + 1):
+        now = both.sparkSession.range(1).select(F.array(F.lit(left)).alias("nodes"))
+        for hop in range(1, length + 1):
+            at = now.withColumn("src", F.element_at("nodes", -1))
+            near = F.col("left_hops") <= length - hop
+            # the end is reached with the last hop only
+            near &= F.col("left_hops") == 0 if hop == length else F.col("left_hops") > 0
+            now = (
+                at.join(both, "src").join(reach.filter(near), "dst").filter(~F.array_contains("nodes", F.col("dst")))
+                .select(F.concat("nodes", F.array("dst")).alias("nodes"))
+            )
+        now = now.withColumn("length", F.lit(length))
+        found = now if found is None else found.unionByName(now)
+        found = cut(found.orderBy("length", "nodes").limit(count))
+        if found.count() >= count:
+            break
+    return found.orderBy("length", "nodes")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, longest: int = 20) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, betweenness): Brandes' dependencies summed over the given sources (id), all at once.
 
-    Levels go forward with path counts per (source, node), then back with dependencies.
+    Levels go forward with path counts per (source, node) until nothing new is reached, then back
+    with dependencies. Rows grow with sources times nodes: on a large graph give a sample.
     """
     both = cut(undirected(edges.select("src", "dst").filter("src != dst").distinct()).distinct())
     level = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "v")
-    for _ in range(longest):
+    while True:
         level = cut(
             level.join(both, level["v"] == both["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
             .join(seen, ["s", "v"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailweave.functions.text import bands, hamming
+from mailweave.functions.text import hamming
 from mailweave.operators import graph
 from mailweave.operators.algebra import combinations
 from mailweave.session import cut
@@ -15,9 +15,9 @@ from mailweave.session import cut
 # What a shared value is worth, where joining starts, and the bounds of the work.
 SIGNALS = {"ref": 1.0, "conversation": 0.9, "thread": 0.8, "subject": 0.5, "attachment": 0.4, "participants": 0.2}
 TOPIC_SCORE, BUCKET_CAP, WEAK_PAIRS = 0.5, 200, 2_000_000
-DISTANCE, BAND_BITS, OCCURRENCES, COMPARISONS = 5, 16, 3, 10_000_000
+DISTANCE, BAND_BITS, OCCURRENCES = 5, 16, 3
 COMMUNITY_SIZE, CIRCLE_SHARE = 3, 0.5
-KEYWORDS, KEYWORD_MEMBERS, KEYWORD_CHARS = 8, 20, 2000
+KEYWORDS = 8
 TAGGED, TAG_SHARE = 2, 0.3
 GROUPING = {"thread": 0.9, "topic": 0.7, "community": 0.5}
 IMPORTANCE = {
@@ -33,10 +33,14 @@ IMPORTANCE = {
 FLAGS = ("IMPORTANT", "STARRED")
 
 
-def digest_id(kind: str, members: Column) -> Column:
-    """Id of a finding: a digest of its sorted members."""
-    text = F.array_join(F.array_sort(F.transform(members, lambda m: m.cast("string"))), "\n")
-    return F.concat(F.lit(f"{kind}:"), F.left(F.sha2(text, 256), F.lit(32)))
+def digest_id(kind: str, member: Column) -> Column:
+    """Id of a finding, an aggregate over its members: a digest of what their hashes add up to.
+
+    Sums and extremes merge, so no member list is gathered in a row, and the order doesn't matter.
+    """
+    text = member.cast("string")
+    sums = [F.sum(F.xxhash64(text, F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))) for k in range(3)]
+    return F.concat(F.lit(f"{kind}:"), F.left(F.sha2(F.concat_ws("|", F.count("*"), F.min(text), F.max(text), *sums), 256), F.lit(32)))
 
 
 def signal_buckets(facts: DataFrame) -> DataFrame:
@@ -121,11 +125,11 @@ def topics(facts: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame,
     subject = named.filter("subject_norm is not null and subject_norm != ''").groupBy("component", "subject_norm").agg(F.count("*").alias("n"))
     label = subject.groupBy("component").agg(F.min_by("subject_norm", F.struct(-F.col("n"), F.col("subject_norm"))).alias("label"))
     found = named.groupBy("component").agg(
-        F.collect_list("id").alias("ids"), F.round(F.avg("score"), 6).alias("score"), F.count("*").alias("message_count"),
+        digest_id("topic", F.col("id")).alias("id"), F.round(F.avg("score"), 6).alias("score"), F.count("*").alias("message_count"),
         F.min_by("method", F.struct(~known, -F.col("score"), F.col("method"))).alias("method"),
         F.min("sent_at").alias("first_seen"), F.max("sent_at").alias("last_seen"),
     )
-    found = cut(found.join(label, "component", "left").withColumn("id", digest_id("topic", F.col("ids"))))
+    found = cut(found.join(label, "component", "left"))
     ids = found.select("component", F.col("id").alias("topic_id"))
     return (
         found.select("id", F.coalesce("label", F.lit("")).alias("label"), "method", "score", "message_count", "first_seen", "last_seen"),
@@ -139,11 +143,10 @@ def stop_words() -> list[str]:
 
 
 def keywords(members: DataFrame, texts: DataFrame, stop: list[str] | None = None, count: int = KEYWORDS) -> DataFrame:
-    """(topic_id, term, tf, score, place): TF-IDF over topics, from their first members' texts (id, text)."""
-    first = members.withColumn("k", F.row_number().over(W.partitionBy("topic_id").orderBy("id"))).filter(F.col("k") <= KEYWORD_MEMBERS)
-    bare = F.regexp_replace(F.lower(F.left("text", F.lit(KEYWORD_CHARS))), r"[a-z][a-z0-9]{1,9}-\d{1,8}|#\d{2,8}", " ")
+    """(topic_id, term, tf, score, place): TF-IDF over topics, from the whole texts (id, text) of all their members."""
+    bare = F.regexp_replace(F.lower("text"), r"[a-z][a-z0-9]{1,9}-\d{1,8}|#\d{2,8}", " ")
     terms = (
-        first.join(texts, "id").select("topic_id", F.explode(F.regexp_extract_all(bare, F.lit(r"(?U)([\p{L}]{3,})"), F.lit(1))).alias("term"))
+        members.select("topic_id", "id").distinct().join(texts, "id").select("topic_id", F.explode(F.regexp_extract_all(bare, F.lit(r"(?U)([\p{L}]{3,})"), F.lit(1))).alias("term"))
         .filter(~F.col("term").isin(stop_words() if stop is None else stop))
     )
     tf = terms.groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
@@ -155,6 +158,22 @@ def keywords(members: DataFrame, texts: DataFrame, stop: list[str] | None = None
     return scored.withColumn("place", place).filter(F.col("place") <= count).select("topic_id", "term", "tf", "score", "place")
 
 
+def near_keys(simhash: Column, distance: int) -> Column:
+    """Keys of which two fingerprints share one if they share a band and differ in at most ``distance`` bits.
+
+    What is outside the shared band is cut into ``distance`` + 1 blocks, of which one has to be
+    equal too. A band alone has 2^16 values, so its buckets would grow with the archive.
+    """
+    keys = []
+    for band, value in enumerate(range(0, 64, BAND_BITS)):
+        rest = [i for i in range(64) if not value <= i < value + BAND_BITS]
+        size = -(-len(rest) // (distance + 1))
+        for at in range(0, len(rest), size):
+            mask = sum(1 << i for i in [*range(value, value + BAND_BITS), *rest[at : at + size]])
+            keys.append(F.struct(F.lit(band * 64 + at).alias("k"), simhash.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("v")))
+    return F.array(*keys)
+
+
 def templates(facts: DataFrame, distance: int = DISTANCE, least: int = OCCURRENCES) -> tuple[DataFrame, DataFrame]:
     """Near-identical bodies by direction. facts: id, sent_at, simhash, outbound, body_clean.
 
@@ -162,11 +181,12 @@ def templates(facts: DataFrame, distance: int = DISTANCE, least: int = OCCURRENC
     linked, and the linked components are templates.
     """
     rows = facts.filter("simhash != 0").select("id", "sent_at", "simhash", "body_clean", F.when(F.col("outbound"), "sent").otherwise("received").alias("direction"))
+    rows = cut(rows)
     leaders = cut(rows.select("direction", "simhash").distinct())
-    banded = leaders.select("direction", "simhash", F.posexplode(bands(F.col("simhash"), BAND_BITS)).alias("band", "value"))
-    other = banded.select("direction", "band", "value", F.col("simhash").alias("other"))
+    banded = leaders.select("direction", "simhash", F.explode(near_keys(F.col("simhash"), distance)).alias("key"))
+    other = banded.select("direction", "key", F.col("simhash").alias("other"))
     near = (
-        banded.join(other, ["direction", "band", "value"]).filter("simhash < other")
+        banded.join(other, ["direction", "key"]).filter("simhash < other")
         .filter(hamming(F.col("simhash"), F.col("other")) <= distance).select("direction", "simhash", "other").distinct()
     )
     # nodes of both directions in one job: a node is (direction, fingerprint)
@@ -209,8 +229,7 @@ def automation(found: DataFrame, instances: DataFrame) -> DataFrame:
 def communities(labels: DataFrame, ranks: DataFrame, addresses: DataFrame, least: int = COMMUNITY_SIZE) -> tuple[DataFrame, DataFrame]:
     """Communities (id, size, label) and members (community_id, id, rank) from a partition (id, label)."""
     known = labels.join(ranks, "id", "left").join(addresses.select("id", "domain"), "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
-    group = known.groupBy("label").agg(F.collect_list("id").alias("ids"), F.count("*").alias("size")).filter(F.col("size") >= least)
-    group = cut(group.withColumn("community_id", digest_id("community", F.col("ids"))))
+    group = cut(known.groupBy("label").agg(digest_id("community", F.col("id")).alias("community_id"), F.count("*").alias("size")).filter(F.col("size") >= least))
     members = known.join(group.select("label", "community_id"), "label")
     domains = members.filter("domain is not null").groupBy("community_id", "domain").agg(F.count("*").alias("n"), F.max("rank").alias("best"))
     named = domains.groupBy("community_id").agg(F.min_by("domain", F.struct(-F.col("n"), -F.col("best"), F.col("domain"))).alias("label"))

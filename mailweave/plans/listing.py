@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mailweave.functions.files import SHRUG_TYPES, file_family
 from mailweave.functions.text import searchable_terms
 from mailweave.operators.algebra import top
 from mailweave.tables import Archive
 
-# Types that say nothing about a file; BM25 parameters; messages of a thread shown.
-SHRUG_TYPES = ("application/octet-stream", "application/binary", "application/unknown", "binary/octet-stream")
+# BM25 parameters; messages of a thread shown.
 K1, B = 1.2, 0.75
 THREAD_CAP = 200
 
@@ -34,10 +36,14 @@ class Filters:
     has_attachments: bool | None = None
     content_types: list = field(default_factory=list)
     filenames: list = field(default_factory=list)
+    families: list = field(default_factory=list)
 
     @property
     def structured(self) -> bool:
-        return any((self.senders, self.recipients, self.account is not None, self.sent_from, self.sent_until, self.has_attachments is not None, self.content_types, self.filenames))
+        return any((
+            self.senders, self.recipients, self.account is not None, self.sent_from, self.sent_until, self.has_attachments is not None,
+            self.content_types, self.filenames, self.families,
+        ))
 
 
 def apply_filters(a: Archive, rows: DataFrame, f: Filters) -> DataFrame:
@@ -60,8 +66,13 @@ def apply_filters(a: Archive, rows: DataFrame, f: Filters) -> DataFrame:
     carried = a.message_attachments.filter("filename is not null or content_id is null")
     if f.has_attachments is not None:
         rows = rows.join(ids(carried), "id", "left_semi" if f.has_attachments else "left_anti")
-    if f.content_types or f.filenames:
-        rows = rows.join(ids(carried.filter(F.col("content_type").isin(f.content_types) | F.col("filename").isin(f.filenames))), "id", "left_semi")
+    if f.content_types or f.filenames or f.families:
+        # a type with % is a pattern
+        plain, patterns = [t for t in f.content_types if "%" not in t], [t for t in f.content_types if "%" in t]
+        hit = [F.col("content_type").isin(plain), F.col("filename").isin(f.filenames), *[F.col("content_type").like(p) for p in patterns]]
+        if f.families:
+            hit.append(file_family(F.col("content_type"), F.col("filename")).isin(f.families))
+        rows = rows.join(ids(carried.filter(reduce(lambda x, y: x | y, hit))), "id", "left_semi")
     return rows
 
 
@@ -92,7 +103,7 @@ def postings(texts: DataFrame) -> DataFrame:
 
 def full_text(index: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
     """(id, score): BM25 of texts that hold every word of the query, best first."""
-    words = sorted(set(x.lower() for x in __import__("re").findall(r"[^\W_]+", query)))
+    words = sorted({x.lower() for x in re.findall(r"[^\W_]+", query)})
     if not words:
         raise NothingToSearch(query)
     stats = index.select("id", "n").distinct().agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
@@ -135,6 +146,18 @@ def facet_untyped_names(a: Archive, limit: int = 50) -> DataFrame:
     return top(rows, F.desc("messages"), F.asc("filename"), limit=limit)
 
 
+def facet_families(a: Archive) -> DataFrame:
+    """Messages by family of what they carry, commonest first."""
+    family = file_family(F.col("content_type"), F.col("filename")).alias("family")
+    return a.message_attachments.groupBy(family).agg(F.count_distinct("message_id").alias("messages")).orderBy(F.desc("messages"), "family")
+
+
+def recipients_of(a: Archive, ids: DataFrame) -> DataFrame:
+    """(id, address_id): who each message of a page is to; copies don't count."""
+    rows = a.recipients.filter("role = 'TO'").join(ids.select(F.col("id").alias("message_id")).distinct(), "message_id", "left_semi")
+    return rows.select(F.col("message_id").alias("id"), "address_id").distinct()
+
+
 def labels_of(a: Archive, ids: DataFrame) -> DataFrame:
     """(id, labels): user labels before folders before system ones, then by name."""
     rank = F.when(F.col("kind") == "user", 0).when(F.col("kind") == "folder", 1).otherwise(2) if "kind" in a.message_labels.columns else F.lit(2)
@@ -163,6 +186,33 @@ def thread_reading(a: Archive, thread, limit: int = THREAD_CAP) -> tuple[DataFra
     return page.limit(limit), page.count() > limit
 
 
+def memberships(a: Archive, page: DataFrame, mode: str, **found: DataFrame) -> DataFrame:
+    """(id, group) of the rows of a page under one of the groupings; a row that no group holds is absent.
+
+    ``topic`` reads topic_members (topic_id, id), ``recurring`` group_members (participant_key, id).
+    Of several groups the smallest is taken.
+    """
+    ids = page.select("id").distinct()
+    of = lambda df, key, group: df.select(F.col(key).alias("id"), F.col(group).cast("string").alias("group"))
+    rows = {
+        "none": lambda: of(ids, "id", "id"),
+        "conversation": lambda: of(a.message_threads, "message_id", "thread_id"),
+        "topic": lambda: of(found["topic_members"], "id", "topic_id"),
+        "tag": lambda: of(a.message_tags, "message_id", "tag_id"),
+        "recurring": lambda: of(found["group_members"], "id", "participant_key"),
+        "subject": lambda: of(a.messages, "id", "subject_norm"),
+        "sender": lambda: of(a.recipients.filter("role = 'FROM'"), "message_id", "address_id"),
+        "receiver": lambda: of(recipients_of(a, ids), "id", "address_id"),
+    }[mode]()
+    return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min("group").alias("group"))
+
+
+def grouped_page(a: Archive, page: DataFrame, mode: str, **found: DataFrame) -> DataFrame:
+    """A page (id, position, …) under one of the eight groupings; rows without a group share the empty one."""
+    filed = memberships(a, page, mode, **found).withColumnRenamed("group", "filed")
+    return grouped(page.join(filed, "id", "left"), F.col("filed")).drop("filed")
+
+
 def grouped(page: DataFrame, group: Column) -> DataFrame:
     """Page rows (position, …) under groups; a group stands where its first member stood."""
     g = F.coalesce(group, F.lit("")).alias("group")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 
 from mailweave.operators import graph
 from mailweave.plans import derived, reports
+from mailweave.plans.semantic import SemanticError
 from mailweave.plans.tags import writable
 from mailweave.session import cut
 from mailweave.tables import Archive
 
 
+logger = logging.getLogger(__name__)
+
+
 @dataclass
 class Derived:
     """Tables of the derived layer by name, and what each stage read, found and left out."""
@@ -72,7 +77,8 @@ def rebuild(
         try:
             extra = extra.unionByName(cut(similar()))
             out.counts["similar_skipped"] = 0
-        except Exception:  # an optional feed: any failure of it leaves topics without these edges
+        except SemanticError as e:  # nothing to search by: topics do without these edges
+            logger.warning("similar messages are left out: %s", e)
             out.counts["similar_skipped"] = 1
     topics, topic_members = derived.topics(facts, extra)
     topic_members = out.put("topic_members", cut(topic_members))

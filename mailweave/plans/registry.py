@@ -12,6 +12,7 @@ from mailweave.operators import algebra, graph
 from mailweave.plans import derived, explorer, listing, reports, semantic, tags
 from mailweave.plans.listing import Filters
 from mailweave.sources import mail
+from mailweave.session import spread
 from mailweave.tables import Archive, driver_archive, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,7 +199,7 @@ def find_recent(a: Archive) -> DataFrame:
 
 _FILTERS = Filters(senders=[f"c{i}" for i in range(1, 200)], recipients=["s1", "s2", "s3", "s4", "s5"], sent_from="1993-01-01", sent_until="1997-06-30", has_attachments=True)
 _FILTER_SQL = """FROM messages m WHERE
-  EXISTS (SELECT 1 FROM recipients r WHERE r.message_id = m.id AND role = 'FROM' AND CAST(substr(address_id, 2) AS BIGINT) < 200)
+  EXISTS (SELECT 1 FROM recipients r WHERE r.message_id = m.id AND role = 'FROM' AND CAST(substr(address_id, 2) AS BIGINT) BETWEEN 1 AND 199)
   AND EXISTS (SELECT 1 FROM recipients r WHERE r.message_id = m.id AND role IN ('TO', 'CC') AND address_id IN ('s1', 's2', 's3', 's4', 's5'))
   AND strftime(sent_at, '%Y-%m-%dT%H:%M:%S') >= '1993-01-01' AND strftime(sent_at, '%Y-%m-%dT%H:%M:%S') <= '1997-06-30T23:59:59'
   AND EXISTS (SELECT 1 FROM message_attachments f WHERE f.message_id = m.id)"""
@@ -228,8 +229,7 @@ def account_filter(a: Archive) -> DataFrame:
 @query("""SELECT count(DISTINCT message_id) AS total FROM message_attachments WHERE content_type LIKE 'PROMO%' OR filename = 'none'""")
 def file_filter(a: Archive) -> DataFrame:
     kinds = [f"{x} {y} {z}" for x in ("PROMO",) for y in ("ANODIZED", "BRUSHED", "BURNISHED", "PLATED", "POLISHED") for z in ("BRASS", "COPPER", "NICKEL", "STEEL", "TIN")]
-    found = [r[0] for r in a.message_attachments.filter("content_type like 'PROMO%'").select("content_type").distinct().collect()]  # part types
-    return listing.count_filtered(a, Filters(content_types=sorted({*kinds, *found}), filenames=["none"]))
+    return listing.count_filtered(a, Filters(content_types=[*kinds, "PROMO%"], filenames=["none"]))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,18 +256,10 @@ def full_text_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.scaled(listing.full_text(listing.postings(_texts(spark, sf_dir)), "the for with", 50))
 
 
-@query(r"""SELECT term, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS occurrences FROM
-(SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL)
-GROUP BY term HAVING count(*) >= 5""", archive=False)
-def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = listing.postings(_texts(spark, sf_dir))
-    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")).filter("documents >= 5")
-
-
 @query(r"""SELECT term, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS occurrences FROM
 (SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL)
 GROUP BY term""", archive=False)
-def postings_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.postings(_texts(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
@@ -291,15 +283,9 @@ def facet_content_types(a: Archive) -> DataFrame:
     return listing.facet_content_types(a)
 
 
-@query("""SELECT message_id AS id, min(thread_id) AS thread_id, any_value(n) AS size FROM message_threads JOIN
-(SELECT thread_id, count(DISTINCT message_id) AS n FROM message_threads GROUP BY 1) USING (thread_id) WHERE message_id <= 500 GROUP BY 1""")
-def conversations_of(a: Archive) -> DataFrame:
-    return listing.conversations_of(a, a.messages.filter("id <= 500").select("id"))
-
-
 @query("""SELECT message_id AS id, min(thread_id) AS thread_id, any_value(n) AS size FROM message_threads JOIN
 (SELECT thread_id, count(DISTINCT message_id) AS n FROM message_threads GROUP BY 1) USING (thread_id) GROUP BY 1""")
-def conversations_of_all(a: Archive) -> DataFrame:
+def conversations_of(a: Archive) -> DataFrame:
     return listing.conversations_of(a, a.messages.select("id"))
 
 
@@ -382,11 +368,6 @@ def message_subgraph(a: Archive) -> DataFrame:
 # --- graph algorithms ----------------------------------------------------------------------
 
 
-def _thin(a: Archive) -> DataFrame:
-    """The pairs that the SQL of ``weighted_pagerank`` is fixed to, a subset by id; nothing else uses it."""
-    return _edges(a).filter("src < 's4' and dst < 's4'")
-
-
 def _edges(a: Archive) -> DataFrame:
     """All addressed pairs as weighted edges."""
     return reports.addressed_pairs(a).select(F.col("left").alias("src"), F.col("right").alias("dst"), F.col("count").alias("weight"))
@@ -397,7 +378,7 @@ def _pagerank_sql(passes: int) -> str:
     for k in range(1, passes + 1):
         steps += f""", r{k} AS MATERIALIZED (SELECT e.d AS id, any_value(n) * 0 + 0.15 / any_value(n) + 0.85 * sum(r.r * e.w / o.w) AS r
 FROM e JOIN r{k - 1} r ON r.id = e.s JOIN o ON o.s = e.s, c GROUP BY e.d)"""
-    return f""", thin AS (SELECT "left" AS a, "right" AS b, greatest(n, 1) AS w FROM pairs WHERE "left" < 's4' AND "right" < 's4'),
+    return f""", thin AS (SELECT "left" AS a, "right" AS b, greatest(n, 1) AS w FROM pairs),
 e AS MATERIALIZED (SELECT a AS s, b AS d, w FROM thin UNION ALL SELECT b, a, w FROM thin), o AS MATERIALIZED (SELECT s, sum(w) AS w FROM e GROUP BY s),
 c AS (SELECT count(*) AS n FROM o), r0 AS (SELECT s AS id, 1.0 / n AS r FROM o, c){steps}
 SELECT id, round(r, 8) AS rank FROM r{passes}"""
@@ -405,17 +386,23 @@ SELECT id, round(r, 8) AS rank FROM r{passes}"""
 
 @query(_pagerank_sql(20))
 def weighted_pagerank(a: Archive) -> DataFrame:
-    return graph.weighted_pagerank(_thin(a)).select("id", F.round("rank", 8).alias("rank"))
+    return graph.weighted_pagerank(_edges(a)).select("id", F.round("rank", 8).alias("rank"))
 
 
-@query()
-def weighted_pagerank_all(a: Archive) -> DataFrame:
-    return graph.weighted_pagerank(_edges(a)).select("id", F.round("rank", 8).alias("rank"))
+def _reply_rank_sql(passes: int) -> str:
+    steps = ""
+    for k in range(1, passes + 1):
+        steps += f""", r{k} AS MATERIALIZED (SELECT v.id, 0.15 / c.n + 0.85 * (coalesce(g.r, 0) + l.lost / c.n) AS r FROM v LEFT JOIN
+(SELECT e.t AS id, sum(p.r / o.k) AS r FROM e JOIN r{k - 1} p ON p.id = e.s JOIN o ON o.s = e.s GROUP BY 1) g ON g.id = v.id, c,
+(SELECT coalesce(sum(r), 0) AS lost FROM r{k - 1} WHERE id NOT IN (SELECT s FROM o)) l)"""
+    return f""", e AS MATERIALIZED (SELECT child AS s, min(parent) AS t FROM replies GROUP BY 1), v AS MATERIALIZED (SELECT s AS id FROM e UNION SELECT t FROM e),
+o AS (SELECT s, count(*) AS k FROM e GROUP BY 1), c AS (SELECT count(*) AS n FROM v), r0 AS (SELECT id, 1.0 / n AS r FROM v, c){steps} SELECT id, round(r, 9) AS rank FROM r{passes}"""
 
 
-@query()
+@query(_reply_rank_sql(20))
 def reply_pagerank(a: Archive) -> DataFrame:
-    return graph.directed_pagerank(reports.parents(a).select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+    found = graph.directed_pagerank(reports.parents(a).select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+    return found.select("id", F.round("rank", 9).alias("rank"))
 
 
 @query("""SELECT message_id AS id, min(message_id) OVER (PARTITION BY thread_id) AS component FROM message_threads
@@ -429,7 +416,17 @@ def connected_components(a: Archive) -> DataFrame:
     return graph.connected_components(edges)
 
 
-@query()
+def _label_sql(rounds: int) -> str:
+    steps = ""
+    for k in range(1, 2 * rounds + 1):
+        half = "<" if k % 2 else ">="
+        steps += f""", l{k} AS MATERIALIZED (SELECT l.id, CASE WHEN left(md5(l.id), 1) {half} '8' THEN b.label ELSE l.label END AS label FROM l{k - 1} l JOIN (
+SELECT s, label FROM (SELECT e.s, l.label, count(*) AS n FROM e JOIN l{k - 1} l ON l.id = e.t GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, label) = 1) b ON b.s = l.id)"""
+    return f""", e AS MATERIALIZED (SELECT "left" AS s, "right" AS t FROM pairs UNION ALL SELECT "right", "left" FROM pairs),
+l0 AS (SELECT DISTINCT s AS id, s AS label FROM e){steps} SELECT id, label FROM l{2 * rounds}"""
+
+
+@query(_label_sql(20))
 def label_propagation(a: Archive) -> DataFrame:
     return graph.label_propagation(_edges(a))
 
@@ -442,12 +439,28 @@ def neighbourhood(a: Archive) -> DataFrame:
     return graph.breadth_first(a.replies.select(F.col("child").alias("src"), F.col("parent").alias("dst")), start, 3)
 
 
-@query()
+@query(""", e AS (SELECT "left" AS s, "right" AS t FROM pairs UNION ALL SELECT "right", "left" FROM pairs), p1 AS (SELECT ['s1', t] AS n FROM e WHERE s = 's1'),
+p2 AS (SELECT list_append(n, t) AS n FROM p1 JOIN e ON s = n[-1] WHERE n[-1] <> 's10' AND NOT list_contains(n, t)),
+p3 AS (SELECT list_append(n, t) AS n FROM p2 JOIN e ON s = n[-1] WHERE n[-1] <> 's10' AND NOT list_contains(n, t) AND t = 's10')
+SELECT array_to_string(n, ',') AS nodes, CAST(len(n) - 1 AS INTEGER) AS length FROM (SELECT n FROM p1 UNION ALL SELECT n FROM p2 UNION ALL SELECT n FROM p3) WHERE n[-1] = 's10' ORDER BY len(n), n LIMIT 3""")
 def shortest_paths(a: Archive) -> DataFrame:
     return graph.shortest_paths(_edges(a), "s1", "s10", 8, 3).withColumns(joined("nodes"))
 
 
-@query()
+def _between_sql(levels: int) -> str:
+    """Distances and path counts of all ordered pairs, level by level; a node between a pair gets its share."""
+    steps, seen = "", "SELECT s, t, d, k FROM d0"
+    for k in range(1, levels + 1):
+        steps += f""", d{k} AS MATERIALIZED (SELECT x.s, e.t, {k} AS d, sum(x.k) AS k FROM d{k - 1} x JOIN e ON e.s = x.t
+WHERE NOT EXISTS (SELECT 1 FROM ({seen}) y WHERE y.s = x.s AND y.t = e.t) GROUP BY 1, 2)"""
+        seen += f" UNION ALL SELECT s, t, d, k FROM d{k}"
+    return f""", e AS MATERIALIZED (SELECT "left" AS s, "right" AS t FROM pairs UNION ALL SELECT "right", "left" FROM pairs), v AS (SELECT DISTINCT s AS id FROM e),
+d0 AS (SELECT id AS s, id AS t, 0 AS d, 1 AS k FROM v){steps}, d AS MATERIALIZED ({seen})
+SELECT id, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN (SELECT a.t AS id, sum(a.k * b.k * 1.0 / c.k) AS b FROM d a JOIN d b ON a.t = b.s JOIN d c ON c.s = a.s AND c.t = b.t
+WHERE a.d > 0 AND b.d > 0 AND c.d = a.d + b.d GROUP BY 1) USING (id)"""
+
+
+@query(_between_sql(6))
 def betweenness(a: Archive) -> DataFrame:
     edges = _edges(a)
     return graph.betweenness(edges, edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()).select("id", F.round("betweenness", 6).alias("betweenness"))
@@ -493,19 +506,18 @@ def topic_buckets(a: Archive) -> DataFrame:
     return derived.signal_buckets(reports.facts(a)).select("signal", "key", "id")
 
 
-@query()
-def topic_keywords(a: Archive) -> DataFrame:
-    spark = a.messages.sparkSession
+@query(archive=False)
+def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = driver_archive(spark, sf_dir)
     members = a.message_tags.select(F.col("tag_id").alias("topic_id"), F.col("message_id").alias("id"))
-    folder = a.messages.inputFiles()[0].rsplit("/orders.parquet", 1)[0]
-    texts = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    return derived.keywords(members, texts)
+    return derived.keywords(members, _texts(spark, sf_dir))
 
 
 def _body_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     day = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 86_400)
     body = F.coalesce("text", F.lit(""))
+    docs = spread(docs.select("doc_id", "text", "lang"))
     return docs.select(F.col("doc_id").alias("id"), day.alias("sent_at"), text.simhash(body).alias("simhash"), body.alias("body_clean"), (F.col("lang") == "en").alias("outbound"))
 
 
@@ -608,21 +620,10 @@ def purge_account(a: Archive) -> DataFrame:
 
 # --- vectors -------------------------------------------------------------------------------
 
-_COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[]))"
-
-
-@query(f"""SELECT vec_id AS id, round(1 - {_COSINE}, 4) AS distance FROM embeddings, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q
-WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0) ORDER BY 2, 1 LIMIT 10""", archive=False)
-def semantic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = driver_archive(spark, sf_dir)
-    first = a.vectors.filter("id = 0").first()
-    return semantic.neighbours(a.vectors, first["vector"], first["model"], 10)
-
-
 @query("""SELECT l.vec_id AS query, r.vec_id AS id, round(1 - list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 4) AS distance
 FROM embeddings l JOIN embeddings r ON l.label = r.label WHERE l.vec_id % 100 = 0
 QUALIFY row_number() OVER (PARTITION BY l.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 9), r.vec_id) <= 10""", archive=False)
-def semantic_neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def semantic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search from every id divisible by 100."""
     vectors = driver_archive(spark, sf_dir).vectors
     found = semantic.nearest_of_all(vectors, 10, queries=vectors.filter("id % 100 = 0"), own=True)
@@ -642,7 +643,7 @@ def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.coverage(_texts(spark, sf_dir), driver_archive(spark, sf_dir).vectors, "m1")
 
 
-@query("""SELECT doc_id AS id, sha256(left(lang || chr(10) || chr(10) || text, 8000)) AS digest FROM documents
+@query("""SELECT doc_id AS id, sha256(lang || chr(10) || chr(10) || text) AS digest FROM documents
 WHERE trim(text) <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 1)""", archive=False)
 def needing_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), "text")
@@ -736,11 +737,12 @@ def find_by_ids(a: Archive) -> DataFrame:
     return algebra.pick(a.messages.select("id", "subject_norm"), "id", [300, 5, 77])
 
 
-@query("""SELECT id, coalesce(new, subject_norm) AS subject_norm FROM messages LEFT JOIN (SELECT doc_id, 'tagged' AS new FROM labels GROUP BY 1) ON doc_id = id""")
-def set_existing(a: Archive) -> DataFrame:
+@query("""SELECT o_orderkey AS id, coalesce(new, o_orderpriority) AS subject_norm FROM orders LEFT JOIN (SELECT doc_id, 'tagged' AS new FROM labels GROUP BY 1) ON doc_id = o_orderkey""", archive=False)
+def set_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = driver_archive(spark, sf_dir)
     values = a.message_tags.select(F.col("message_id").alias("id")).distinct().withColumn("subject_norm", F.lit("tagged"))
-    extra = a.messages.sparkSession.createDataFrame([(-1, "nobody")], "id long, subject_norm string")
-    labelled = load(a.messages.sparkSession, a.messages.inputFiles()[0].rsplit("/orders.parquet", 1)[0], "labels").select(F.col("doc_id").alias("id"), F.lit("tagged").alias("subject_norm"))
+    extra = spark.createDataFrame([(-1, "nobody")], "id long, subject_norm string")
+    labelled = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("tagged").alias("subject_norm"))
     return algebra.set_existing(a.messages.select("id", "subject_norm"), labelled.unionByName(values).unionByName(extra), "id")
 
 
@@ -749,3 +751,7 @@ def copies_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mailweave.streaming.ingest import copies_per_window as windows
 
     return windows(driver_archive(spark, sf_dir).copies)
+
+
+# More queries register themselves; they import this module's ``query``.
+from mailweave.plans import archive_queries, findings_queries  # noqa: E402, F401

@@ -23,7 +23,9 @@ def addressed(a: Archive) -> DataFrame:
 
 def co_recipients(a: Archive, limit: int = DEFAULT_ROWS) -> DataFrame:
     """Pairs addressed together, by number of messages; one per message however often it names them."""
-    pairs = addressed(a).select(F.explode(combinations(F.col("people"))).alias("p")).groupBy("p.left", "p.right")
+    # a join, not arrays of pairs: a message may be addressed to any number of people
+    on = a.recipients.filter(F.col("role").isin("TO", "CC")).select("message_id", F.col("address_id").alias("left")).distinct()
+    pairs = on.join(on.withColumnRenamed("left", "right"), "message_id").filter("left < right").groupBy("left", "right")
     return top(pairs.agg(F.count("*").alias("messages")), F.desc("messages"), F.asc("left"), F.asc("right"), limit=clamp(limit))
 
 
@@ -146,6 +148,16 @@ def message_signals(a: Archive) -> DataFrame:
     )
 
 
+def message_bodies(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, body_clean) of some messages."""
+    return messages.join(ids.select("id").distinct(), "id", "left_semi").select("id", "body_clean")
+
+
+def message_texts(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of some messages, whole: subject and body as analyses read them."""
+    return messages.join(ids.select("id").distinct(), "id", "left_semi").select("id", F.concat_ws("\n\n", F.col("subject_norm"), F.col("body_clean")).alias("text"))
+
+
 def unidentified(a: Archive) -> DataFrame:
     return a.messages.agg(F.count_if(~has_id(F.col("id"))).alias("unidentified"), F.count("*").alias("messages"))
 

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailweave.operators.algebra import top
+from mailweave.operators.algebra import merge, top
+from mailweave.plans.listing import full_text
 
-SIMILAR, NEIGHBOURS, BODY_CHARS, BATCH = 0.82, 5, 8000, 32
+SIMILAR, NEIGHBOURS, BATCH = 0.82, 5, 32
 #: Rows of a block of the all-pairs search.
 BLOCK = 2048
 
@@ -92,10 +93,11 @@ def coverage(messages: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     )
 
 
-def needing(messages: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
-    """(id, text) of messages without a vector of the model that have a body."""
+def needing(messages: DataFrame, vectors: DataFrame, model: str, chars: int | None = None) -> DataFrame:
+    """(id, text) of messages without a vector of the model that have a body: whole, or as much as an embedder takes."""
     have = vectors.filter(F.col("model") == model).select("id")
-    text = F.left(F.concat_ws("\n\n", F.col("subject"), F.col("text")), F.lit(BODY_CHARS))
+    text = F.concat_ws("\n\n", F.col("subject"), F.col("text"))
+    text = text if chars is None else F.left(text, F.lit(chars))
     return messages.filter(F.trim("text") != "").join(have, "id", "left_anti").select("id", text.alias("text"))
 
 
@@ -132,6 +134,27 @@ def hashing_embedder(dimension: int = 64) -> Callable[[list[str]], list[list[flo
     return run
 
 
+def write_embeddings(vectors: DataFrame, rows: DataFrame, messages: DataFrame, model: str) -> DataFrame:
+    """Attach vectors (id, vector) to messages that exist; a message has one vector, the newest."""
+    fresh = rows.filter("vector is not null").join(messages.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return merge(vectors, fresh.select("id", F.lit(model).alias("model"), "vector"), ["id"])
+
+
+def clear_embeddings(vectors: DataFrame, model: str | None = None) -> DataFrame:
+    """Without the vectors of a model, or without any."""
+    return vectors.limit(0) if model is None else vectors.filter(F.col("model") != model)
+
+
+def search(kind: str, text: str, index: DataFrame, vectors: DataFrame, model: str = "", embedder: Callable | None = None, limit: int = 10) -> DataFrame:
+    """(id, score): by words over postings, or by meaning over vectors; a similarity is a score."""
+    if kind == "fulltext":
+        return full_text(index, text, limit)
+    if kind != "semantic":
+        raise ValueError(f"{kind} isn't a kind of search")
+    near = search_checked(vectors, None if embedder is None else embedder([text])[0], model, limit)
+    return near.select("id", similarity_of(F.col("distance")).alias("score")).orderBy(F.desc("score"), "id")
+
+
 def search_checked(vectors: DataFrame, query: list[float] | None, model: str, limit: int = 10) -> DataFrame:
     """Search that says why it can't answer instead of answering nothing."""
     if query is None:

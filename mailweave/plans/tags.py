@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.operators.algebra import append_new, delete, top
+from mailweave.functions.text import tag_id
+from mailweave.operators.algebra import append_new, delete, set_existing, top
 from mailweave.tables import Archive
 
 #: Tables that the rebuild may overwrite; nothing else may be deleted by it.
@@ -43,6 +44,35 @@ def untag(memberships: DataFrame, tag: str, ids: DataFrame) -> DataFrame:
     return memberships.join(gone, ["message_id", "tag_id"], "left_anti")
 
 
+def create_tag(tags: DataFrame, name: str, color: str | None = None, origin: str = "manual") -> DataFrame:
+    """Add a tag under the id of its name; one that exists keeps its properties."""
+    if not name.strip():
+        raise ValueError("a tag needs a name")
+    row = tags.sparkSession.range(1).select(F.lit(name.strip()).alias("name"), F.lit(color).cast("string").alias("color"), F.lit(origin).alias("origin"))
+    return append_new(tags, row.withColumn("tag_id", tag_id("name")), ["tag_id"])
+
+
+def promote(tags: DataFrame, memberships: DataFrame, name: str, members: DataFrame, origin: str = "topic") -> tuple[DataFrame, DataFrame]:
+    """A cluster (members: id) becomes a tag: the tag with its origin, and its members as accepted ones."""
+    tag = tags.sparkSession.range(1).select(F.lit(name.strip()).alias("name")).select(tag_id("name")).first()[0]
+    return create_tag(tags, name, origin=origin), tag_messages(memberships, tag, members.select("id").distinct(), "accepted")
+
+
+def is_remote_trusted(addresses: DataFrame, address: str) -> bool:
+    """Whether remote content of a sender may load; an unknown sender isn't trusted."""
+    mine = addresses.filter(F.col("id") == address.strip().lower())
+    if "remote_trusted" not in addresses.columns:
+        return False
+    return bool(mine.filter("remote_trusted").limit(1).count())
+
+
+def trust_remote(addresses: DataFrame, address: str) -> DataFrame:
+    """Record the decision on an address that exists; others stay as they are."""
+    known = addresses if "remote_trusted" in addresses.columns else addresses.withColumn("remote_trusted", F.lit(False))
+    value = known.sparkSession.range(1).select(F.lit(address.strip().lower()).alias("id"), F.lit(True).alias("remote_trusted"))
+    return set_existing(known, value, "id")
+
+
 def rename_tag(tags: DataFrame, tag: str, name: str) -> DataFrame:
     return tags.withColumn("name", F.when(F.col("tag_id") == tag, name).otherwise(F.col("name")))
 

@@ -8,18 +8,18 @@ import email.utils
 import hashlib
 import re
 from collections.abc import Iterator
-from datetime import timezone
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.functions.text import BODY_CAP, canonical_id, clean_text, extract_refs, html_text, normalise_address, normalise_message_id, simhash_text
+from mailweave.functions.text import canonical_id, clean_text, extract_refs, html_text, normalise_address, normalise_message_id, simhash_text
 
 FATAL = ("StartBoundaryNotFoundDefect", "MultipartInvariantViolationDefect")
 PARSED = (
     "path string, error string, message_id string, in_reply_to string, references array<string>, subject string, sent_at_raw string, "
-    "sent_at timestamp, sender string, recipients array<struct<role: string, address: string, name: string>>, body_text string, "
+    "sent_us long, sender string, recipients array<struct<role: string, address: string, name: string>>, body_text string, "
     "body_clean string, simhash long, size_bytes long, eml_sha256 string, "
     "attachments array<struct<sha: string, filename: string, content_type: string, content_id: string, size: long>>"
 )
@@ -31,9 +31,66 @@ def eml_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content")
 
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _header(message, name: str) -> str:
+    """A header as text; one that can't be decoded is empty."""
+    try:
+        return str(message[name] or "").strip()
+    except Exception:  # the header parser raises what it likes on mangled input
+        return ""
+
+
+def _date(text: str) -> tuple[str | None, int | None]:
+    """The Date header as ISO text with its own offset, and as microseconds of UTC; none if it isn't one."""
+    try:
+        when = email.utils.parsedate_to_datetime(text)
+        when = when if when.tzinfo else when.replace(tzinfo=timezone.utc)
+        return when.isoformat(), (when.astimezone(timezone.utc) - EPOCH) // timedelta(microseconds=1)
+    except (TypeError, ValueError, IndexError, OverflowError):
+        return None, None
+
+
+def _content(part) -> str:
+    """Decoded text of a part; an unknown charset is read as UTF-8."""
+    try:
+        text = part.get_content()
+    except Exception:  # unknown charsets and broken encodings alike
+        data = part.get_payload(decode=True)
+        text = data.decode("utf-8", "replace") if isinstance(data, bytes) else ""
+    return text if isinstance(text, str) else ""
+
+
+def _attached(message) -> list[dict]:
+    """Attachments; a part whose bytes can't be read counts as empty, a message that can't list them has none."""
+    out = []
+    try:
+        found = list(message.iter_attachments())
+    except Exception:  # raised by messages whose structure contradicts their type
+        return out
+    for part in found:
+        data = part.get_payload(decode=True) or b""
+        out.append({"sha": hashlib.sha256(data).hexdigest(), "filename": part.get_filename(), "content_type": part.get_content_type(), "content_id": _header(part, "Content-ID") or None, "size": len(data)})
+    return out
+
+
+def _storable(value):
+    """Text without lone surrogates, which tables can't hold, throughout a record."""
+    if isinstance(value, str):
+        return value.encode("utf-8", "replace").decode("utf-8")
+    if isinstance(value, list):
+        return [_storable(v) for v in value]
+    return {k: _storable(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
 def _addresses(message, header: str) -> list[tuple[str, str]]:
     out: dict[str, str] = {}
-    for name, address in email.utils.getaddresses([str(x) for x in message.get_all(header, [])]):
+    try:
+        lines = [str(x) for x in message.get_all(header, [])]
+    except Exception:  # a mangled header costs its addresses, not the message
+        return []
+    for name, address in email.utils.getaddresses(lines):
         a = address.strip().strip("<>").lower()
         if "@" in a:
             out.setdefault(a, name)
@@ -48,35 +105,25 @@ def parse_message(raw: bytes) -> dict:
     broken = [d for part in m.walk() for d in part.defects if type(d).__name__ in FATAL]
     if broken or not m.keys():
         raise ValueError(f"broken message: {type(broken[0]).__name__ if broken else 'no headers'}")
-    when_raw, when = None, None
+    when_raw, when = _date(_header(m, "Date"))
     try:
-        when = email.utils.parsedate_to_datetime(str(m["Date"])) if m["Date"] else None
-        if when is not None:
-            when = when if when.tzinfo else when.replace(tzinfo=timezone.utc)
-            when_raw, when = when.isoformat(), when.astimezone(timezone.utc).replace(tzinfo=None)
-    except (TypeError, ValueError, IndexError):
-        when_raw, when = None, None
-    body = m.get_body(("plain", "html"))
-    text = ""
-    if body is not None:
-        text = body.get_content()
-        text = html_text(text) if body.get_content_subtype() == "html" else text
-    files = []
-    for part in m.iter_attachments():
-        data = part.get_payload(decode=True) or b""
-        files.append({"sha": hashlib.sha256(data).hexdigest(), "filename": part.get_filename(), "content_type": part.get_content_type(), "content_id": part["Content-ID"], "size": len(data)})
-    text = text.replace("\r\n", "\n")
+        body = m.get_body(("plain", "html"))
+    except Exception:  # a structure without a body that the parser can walk
+        body = None
+    text = "" if body is None else _content(body)
+    text = html_text(text) if body is not None and body.get_content_subtype() == "html" else text
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
     clean = clean_text(text)
     sender = _addresses(m, "From")
-    refs = re.findall(r"<[^<>\s]+>", str(m.get("References", "")))
+    refs = re.findall(r"<[^<>\s]+>", _header(m, "References"))
     return {
-        "message_id": str(m["Message-ID"]).strip() if m["Message-ID"] else None,
-        "in_reply_to": str(m["In-Reply-To"]).strip() if m["In-Reply-To"] else None,
-        "references": refs, "subject": str(m.get("Subject", "")), "sent_at_raw": when_raw, "sent_at": when,
+        "message_id": _header(m, "Message-ID") or None,
+        "in_reply_to": _header(m, "In-Reply-To") or None,
+        "references": refs, "subject": _header(m, "Subject"), "sent_at_raw": when_raw, "sent_us": when,
         "sender": sender[0][0] if sender else None,
         "recipients": [{"role": r, "address": a, "name": n} for r, h in (("FROM", "From"), ("TO", "To"), ("CC", "Cc"), ("BCC", "Bcc")) for a, n in (_addresses(m, h)[:1] if r == "FROM" else _addresses(m, h))],
-        "body_text": text[:BODY_CAP], "body_clean": clean, "simhash": simhash_text(clean), "size_bytes": len(raw),
-        "eml_sha256": hashlib.sha256(raw).hexdigest(), "attachments": files,
+        "body_text": text, "body_clean": clean, "simhash": simhash_text(clean), "size_bytes": len(raw),
+        "eml_sha256": hashlib.sha256(raw).hexdigest(), "attachments": _attached(m),
     }
 
 
@@ -86,13 +133,11 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path, raw in zip(pdf["path"], pdf["content"], strict=True):
             try:
-                rows.append({"path": path, "error": None, **parse_message(bytes(raw) if raw is not None else b"")})
-            except (ValueError, LookupError, UnicodeError) as e:
-                rows.append({"path": path, "error": str(e)})
+                rows.append({"path": path, "error": None, **_storable(parse_message(bytes(raw) if raw is not None else b""))})
+            except Exception as e:  # whatever one message raises, it is a dead letter and the job goes on
+                rows.append({"path": path, "error": _storable(f"{type(e).__name__}: {e}")})
         # as objects: a missing value would turn lists and 64-bit fingerprints into floats
-        out = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
-        out["sent_at"] = pd.to_datetime(out["sent_at"])
-        yield out
+        yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
 
 def parsed_messages(raw: DataFrame) -> DataFrame:
@@ -100,7 +145,7 @@ def parsed_messages(raw: DataFrame) -> DataFrame:
 
     Adds the canonical ``id``, the same wherever a message is read.
     """
-    rows = raw.select("path", "content").mapInPandas(_parse, PARSED)
+    rows = raw.select("path", "content").mapInPandas(_parse, PARSED).withColumn("sent_at", F.timestamp_micros("sent_us")).drop("sent_us")
     mid = normalise_message_id(F.col("message_id"))
     return rows.withColumn("id", F.when(F.col("error").isNull(), canonical_id(mid, F.col("sent_at_raw"), F.col("sender"), F.col("subject"), F.col("body_text"))))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweave.sources.mail import ground_truth, parsed_messages
+from mailweave.sources.mail import blobs, ground_truth, parsed_messages
 
 RAW = "path string, modificationTime timestamp, length long, content binary"
 
@@ -19,28 +20,29 @@ def eml_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) ->
 
 
 def archive_batch(out: str):
-    """Sink of a micro-batch: rows whose id is new are appended, so replays change nothing."""
+    """Sink of a micro-batch. Each table has one folder per batch, which a replay overwrites.
+
+    Messages whose id an earlier batch holds are left out, so at-least-once delivery archives once.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         parsed = parsed_messages(batch).persist()
+        put = lambda name, df: df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         try:
-            parsed.filter("error is not null").select("path", "error").write.mode("append").parquet(f"{out}/dead_letters")
             tables = ground_truth(parsed)
-            try:
-                known = spark.read.parquet(f"{out}/messages").select("id")
-            except Exception as e:  # the first batch finds no table
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                known = tables["messages"].select("id").limit(0)
-            fresh = tables["messages"].join(known, "id", "left_anti").persist()
+            fresh = _unseen(spark, out, number, tables["messages"]).persist()
             try:
                 ids = fresh.select(F.col("id").alias("message_id"))
+                put("dead_letters", parsed.filter("error is not null").select("path", "error"))
                 for name in ("recipients", "message_threads", "message_attachments"):
-                    tables[name].join(ids, "message_id", "left_semi").write.mode("append").parquet(f"{out}/{name}")
+                    put(name, tables[name].join(ids, "message_id", "left_semi"))
                 # replies hold the raw parent; they are resolved on reading, so order of arrival doesn't matter
-                parsed.filter("error is null").select(F.col("id").alias("child"), "in_reply_to").filter("in_reply_to is not null").join(ids.withColumnRenamed("message_id", "child"), "child", "left_semi").write.mode("append").parquet(f"{out}/reply_links")
-                fresh.write.mode("append").parquet(f"{out}/messages")
+                answers = parsed.filter("error is null and in_reply_to is not null").select(F.col("id").alias("child"), "in_reply_to").distinct()
+                put("reply_links", answers.join(ids.withColumnRenamed("message_id", "child"), "child", "left_semi"))
+                put("addresses", tables["addresses"])
+                put("blobs", blobs(batch))
+                put("messages", fresh)
             finally:
                 fresh.unpersist()
         finally:
@@ -49,6 +51,23 @@ def archive_batch(out: str):
     return write
 
 
+def _unseen(spark: SparkSession, out: str, number: int, messages: DataFrame) -> DataFrame:
+    """The messages whose id no other batch holds; only the id column is read."""
+    try:
+        known = spark.read.parquet(f"{out}/messages").filter(F.col("batch") != number).select("id")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return messages  # nothing is archived yet
+    return messages.join(known, "id", "left_anti")
+
+
+def archived_addresses(spark: SparkSession, out: str) -> DataFrame:
+    """(id, display_names) over all batches."""
+    rows = spark.read.parquet(f"{out}/addresses").select("id", F.explode_outer("display_names").alias("name"))
+    return rows.groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("display_names"))
+
+
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 1000) -> None:
     """Take everything that arrived since the last call, then stop."""
     query = (

@@ -15,7 +15,7 @@ TABLES = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables
 
 
 @TABLES
-@pytest.mark.parametrize("name", ["weighted_pagerank_all", "label_propagation", "betweenness"])
+@pytest.mark.parametrize("name", ["weighted_pagerank", "label_propagation", "betweenness"])
 def test_graph_queries_cover_all_addressed(spark, name):
     pairs = reports.addressed_pairs(driver_archive(spark, DATA))
     nodes = {r[0] for r in pairs.select("left").union(pairs.select("right")).distinct().collect()}
@@ -27,7 +27,7 @@ def test_graph_queries_cover_all_addressed(spark, name):
 def test_searches_from_every_hundredth(spark):
     vectors = driver_archive(spark, DATA).vectors
     want = {r[0] for r in vectors.filter("id % 100 = 0 and vector is not null").select("id").collect()}
-    got = registry.queries()["semantic_neighbours_all"](spark, DATA)
+    got = registry.queries()["semantic_neighbours"](spark, DATA)
     assert {r[0] for r in got.select("query").distinct().collect()} == want and len(want) > 1
     assert got.filter(F.col("query") == F.col("id")).count() == len(want)
 
