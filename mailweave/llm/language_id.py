@@ -14,7 +14,7 @@ without letters are rejected always.
 
 Defined results: null, empty and letterless texts get ``und`` with score 0 and are rejected;
 null lang is never learned from; repeated rows are predicted each; without any labelled row
-every text gets ``und``; an empty table gives no rows; other columns are ignored.
+every text gets ``und`` and only letterless ones are rejected; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import blocks, encoded
+from mailweave.llm.common import PART_CHARS, blocks, encoded, parts, release
 
 #: Labelled rows that training uses at most for each language; languages at most.
 SAMPLE_ROWS, MAX_LANGUAGES = 1200, 400
@@ -199,22 +199,20 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         names = np.array([*model.languages, UNKNOWN], object)
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                part = whole.iloc[at : at + 1000]
-                texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                best, score = model.predict(encoded(texts))
-                letters = np.array([any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts], bool)
-                best, score = np.where(letters, best, -1), np.where(letters, score, 0.0)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].array,
-                        "held_out": part["held_out"].array,
-                        "lang_pred": names[best],
-                        "score": score.astype(float),
-                        "rejected": (best < 0) | (score < model.reject_below),
-                    }
-                )
+        for part in parts(batches):
+            texts = [t if isinstance(t, str) else "" for t in part["text"]]
+            best, score = model.predict(encoded(texts))
+            letters = np.array([any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts], bool)
+            best, score = np.where(letters, best, -1), np.where(letters, score, 0.0)
+            yield pd.DataFrame(
+                {
+                    "doc_id": part["doc_id"].array,
+                    "held_out": part["held_out"].array,
+                    "lang_pred": names[best],
+                    "score": score.astype(float),
+                    "rejected": (best < 0) | (score < model.reject_below),
+                }
+            )
 
     held_out = F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -232,11 +230,14 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> Data
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch = whole.slice(first, 1000)
+            step = max(1, int(whole.num_rows * PART_CHARS / max(1, whole.nbytes)))
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 best, score = model.predict(encoded(texts))
                 letters = np.array([any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts], bool)
                 yield batch.filter(pa.array((best >= 0) & (score >= model.reject_below) & letters))
+            del whole, batch
+            release()
 
     return docs.mapInArrow(scan, docs.schema)

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from mailweave.llm.common import held, parts
+
 #: Share of a template's words that must be aligned.
 COVERAGE = 0.85
 #: Notices of well-known public licenses.
@@ -186,8 +188,6 @@ class Scanner:
         return out
 
 
-_SCANNERS: dict = {}
-
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id and ``found``, the array of (template, coverage, start, end), of every row of ``docs``."""
@@ -195,10 +195,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     key = (tuple(sorted(templates.items())), coverage)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _SCANNERS:
-            _SCANNERS[key] = Scanner(templates, coverage)
-        scanner = _SCANNERS[key]
-        for pdf in batches:
+        scanner = held(key, lambda: Scanner(templates, coverage))
+        for pdf in parts(batches, keeps=key):
             found = [
                 [{"template": n, "coverage": c, "start": s, "end": e} for n, c, s, e in scanner.scan(t)] if isinstance(t, str) else []
                 for t in pdf["text"]

@@ -12,8 +12,9 @@ register comparisons (smaller, equal, larger, given both set sizes) peaks at no
 the threshold less ``Rule.margin``; members of large buckets are tied to the bucket's smallest class, with
 no pair left out. The connected components of these ties are candidate clusters; all
 documents that may be linked are in one cluster. A cluster's full sets are then compared: one
-task per shard of clusters, counting intersections exactly; a wide cluster is dealt into blocks,
-first inside each block, then what isn't in the largest component against all blocks.
+task per shard of clusters, counting intersections exactly. A wide cluster is dealt into blocks;
+a few pivots of the cluster join every block, so that the parts that the blocks find grow
+together, and what is still outside the largest component is then compared with all blocks.
 
 A rule has as many bands of 5 registers as it takes to miss a pair at its threshold with a
 probability under 5e-7 (25 at 0.85, 37 at 0.8); every link that is returned is confirmed on the
@@ -42,6 +43,7 @@ from mailweave.llm.common import (
     lower_ascii,
     materialize,
     mix,
+    parts,
     prefix_hash,
     span_hash,
     word_spans,
@@ -79,8 +81,10 @@ class Rule:
 CONTRACT, STAGE = Rule(3, 85), Rule(5, 80)
 #: Largest bucket whose pairs are all estimated.
 SMALL_BUCKET = 8
-#: Documents and shingles of a block of a cluster; shingles of a shard of clusters.
-BLOCK_DOCS, BLOCK_SHINGLES, SHARD_SHINGLES = 2048, 1_000_000, 2_000_000
+#: Documents and shingles of a block of a cluster; pivots in each block; shingles of a shard of clusters.
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, SHARD_SHINGLES = 512, 250_000, 8, 250_000
+#: Bytes of sets or sketches, and characters of text, that a task handles at once.
+PART_BYTES, PART_TEXT = 1 << 22, 1 << 20
 BROADCAST_ROWS = 1_200_000
 _LOWEST = -(2**63)
 
@@ -165,55 +169,46 @@ def _set_hash(sets: list[np.ndarray], salt: int) -> np.ndarray:
 
 def _scan(rule: Rule):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                part = whole.iloc[at : at + 1000]
-                sets = shingle_sets(encoded(part["text"]), rule.words)
-                regs = np.full(len(sets), None, object)
-                full = [k for k, s in enumerate(sets) if len(s)]
-                if full:
-                    rows = sketch([sets[k] for k in full], rule.registers)
-                    for k, row in zip(full, rows, strict=True):
-                        regs[k] = row.astype("<u2").tobytes()
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].array,
-                        "n_shingles": np.array([len(s) for s in sets], np.int64),
-                        "s1": _set_hash(sets, 0x5BD1E995),
-                        "s2": _set_hash(sets, 0x1B873593A5A5A5A5),
-                        "regs": regs,
-                    }
-                )
+        for part in parts(batches, size=PART_TEXT):
+            sets = shingle_sets(encoded(part["text"]), rule.words)
+            regs = np.full(len(sets), None, object)
+            full = [k for k, s in enumerate(sets) if len(s)]
+            if full:
+                rows = sketch([sets[k] for k in full], rule.registers)
+                for k, row in zip(full, rows, strict=True):
+                    regs[k] = row.astype("<u2").tobytes()
+            yield pd.DataFrame(
+                {
+                    "doc_id": part["doc_id"].array,
+                    "n_shingles": np.array([len(s) for s in sets], np.int64),
+                    "s1": _set_hash(sets, 0x5BD1E995),
+                    "s2": _set_hash(sets, 0x1B873593A5A5A5A5),
+                    "regs": regs,
+                }
+            )
 
     return scan
 
 
 def _band_rows(rule: Rule):
     def band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                regs = np.frombuffer(b"".join(pdf["regs"]), "<u2").reshape(len(pdf), rule.bands, ROWS).astype(np.uint64)
-                h = np.broadcast_to(mix(np.arange(rule.bands, dtype=np.uint64) + np.uint64(77)), regs.shape[:2])
-                for r in range(ROWS):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
-                yield pd.DataFrame({"fp": h.reshape(-1).view(np.int64), "cid": np.repeat(pdf["cid"].to_numpy(), rule.bands)})
+        for pdf in parts(batches, "regs", PART_BYTES // 16):
+            regs = np.frombuffer(b"".join(pdf["regs"]), "<u2").reshape(len(pdf), rule.bands, ROWS)
+            h = np.broadcast_to(mix(np.arange(rule.bands, dtype=np.uint64) + np.uint64(77)), regs.shape[:2])
+            for r in range(ROWS):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r].astype(np.uint64))
+            yield pd.DataFrame({"fp": h.reshape(-1).view(np.int64), "cid": np.repeat(pdf["cid"].to_numpy(), rule.bands)})
 
     return band_rows
 
 
 def _estimate(rule: Rule):
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                a, b = (np.frombuffer(b"".join(pdf[c]), "<u2").reshape(len(pdf), rule.registers) for c in ("regs_a", "regs_b"))
-                j = np.concatenate(
-                    [
-                        likely_similarity(a[k : k + 4096], b[k : k + 4096], *(pdf[c].to_numpy(float)[k : k + 4096] for c in ("n_a", "n_b")))
-                        for k in range(0, len(pdf), 4096)
-                    ]
-                )
-                keep = j >= rule.percent / 100 - rule.margin - 0.01
-                yield pdf.loc[keep, ["a", "b"]]
+        for pdf in parts(batches, "regs_a", PART_BYTES // 16):
+            a, b = (np.frombuffer(b"".join(pdf[c]), "<u2").reshape(len(pdf), rule.registers) for c in ("regs_a", "regs_b"))
+            j = likely_similarity(a, b, pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float))
+            keep = j >= rule.percent / 100 - rule.margin - 0.01
+            yield pdf.loc[keep, ["a", "b"]]
 
     return estimate
 
@@ -306,14 +301,12 @@ def linked(sets: list[np.ndarray], known: list | None = None, left: int | None =
 
 def _sets_of(rule: Rule):
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                part = whole.iloc[at : at + 500]
-                sets = shingle_sets(encoded(part["text"]), rule.words)
-                right = (_set_hash(sets, 0x5BD1E995) == part["s1"].to_numpy()) & (_set_hash(sets, 0x1B873593A5A5A5A5) == part["s2"].to_numpy())
-                out = part.loc[right, ["cid", "cluster", "n_docs", "n_all"]].copy()
-                out["items"] = [s.tobytes() for s, ok in zip(sets, right, strict=True) if ok]
-                yield out
+        for part in parts(batches, size=PART_TEXT):
+            sets = shingle_sets(encoded(part["text"]), rule.words)
+            right = (_set_hash(sets, 0x5BD1E995) == part["s1"].to_numpy()) & (_set_hash(sets, 0x1B873593A5A5A5A5) == part["s2"].to_numpy())
+            out = part.loc[right, ["cid", "cluster", "n_docs", "n_all"]].copy()
+            out["items"] = [s.tobytes() for s, ok in zip(sets, right, strict=True) if ok]
+            yield out
 
     return sets_of
 
@@ -350,8 +343,9 @@ def _link_across(rule: Rule):
 
 def _candidate_edges(classes: DataFrame, rule: Rule) -> DataFrame:
     """Ties (a, b) between classes; classes that may be linked are connected by them."""
-    bands = classes.select("cid", "regs").mapInPandas(_band_rows(rule), "fp long, cid long")
-    shared = materialize(repeated_fingerprints(bands).withColumnRenamed("n", "members"))
+    sketches = classes.select("cid", "regs")
+    bands = sketches.mapInPandas(_band_rows(rule), "fp long, cid long")
+    shared = materialize(repeated_fingerprints(sketches, of=_band_rows(rule)).withColumnRenamed("n", "members"))
     member = materialize(bands.join(broadcast_if_small(shared, shared.count(), BROADCAST_ROWS), "fp"))
     small = (
         member.filter(F.col("members") <= SMALL_BUCKET)
@@ -399,8 +393,13 @@ def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule:
     if not sets.filter(wide).limit(1).count():
         return materialize(narrow)
     broad = sets.filter(wide).withColumn("n_blocks", n_blocks).withColumn("block", block)
+    # Of each block's first document by hash, the first PIVOTS of the cluster join all of its blocks.
+    place = F.struct(F.xxhash64("cid", F.lit(9)).alias("h"), "cid")
+    first = broad.groupBy("cluster", "block").agg(F.min(place).alias("p")).groupBy("cluster").agg(F.slice(F.array_sort(F.collect_list("p")), 1, PIVOTS).alias("p"))
+    pivots = broad.join(first.select(F.explode("p.cid").alias("cid")), "cid", "left_semi")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
     inside = (
-        broad.select("cluster", "block", "cid", "items")
+        broad.select("cluster", "block", "cid", "items").unionByName(pivots.withColumn("block", every).select("cluster", "block", "cid", "items"))
         .groupBy("cluster", "block").applyInPandas(_link_shard(rule), "a long, b long")
     )
     links = materialize(narrow.unionByName(inside))
@@ -412,7 +411,13 @@ def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule:
         .groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
     )
     rest = labelled.join(most, "cluster").filter("component != largest")
-    rest = rest.withColumn("rest_block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("n_blocks")))
+    # as many blocks of the rest as its own size asks for
+    weight = rest.groupBy("cluster").agg(F.count("*").alias("k"), F.sum(F.length("items") / 8).alias("s"))
+    n_rest = F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
+    rest = materialize(
+        rest.join(weight.select("cluster", n_rest.alias("n_rest")), "cluster")
+        .withColumn("rest_block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("n_rest")))
+    )
     columns = ["cluster", "cid", "component", "items"]
     used = rest.select("cluster", "rest_block").distinct()
     one = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))

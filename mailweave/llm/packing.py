@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import blocks, encoded, materialize, prefix_hash, span_hash, word_spans
+from mailweave.llm.common import blocks, encoded, held, materialize, parts, prefix_hash, span_hash, word_spans
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -40,8 +40,6 @@ LEVELS = 3
 #: Distinct words, and distinct runs of letters, whose ids a Python worker remembers; bytes of a block.
 CACHE_WORDS, CACHE_RUNS, TOKEN_BLOCK = 400_000, 200_000, 1 << 20
 
-_TOKENIZERS: dict = {}
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -131,35 +129,27 @@ class WordTokenizer:
         return out
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _tokenizer(tokenizer)
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                part = whole.iloc[at : at + 1000]
-                ids = coder.batch(encoded(part["text"]))
-                total = np.array([len(x) for x in ids], np.int64)
-                pieces = -(-total // capacity)
-                row = np.repeat(np.arange(len(part)), pieces)
-                number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = number * capacity
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].iloc[row].array,
-                        "piece": number.astype(np.int32),
-                        "start": start,
-                        "length": np.minimum(total[row] - start, capacity),
-                        "ids_crc32": [zlib.crc32(ids[r][s : s + capacity].astype("<u4")) for r, s in zip(row, start, strict=True)],
-                    }
-                )
+        coder = held(tokenizer, lambda: WordTokenizer(tokenizer))
+        for part in parts(batches, keeps=tokenizer):
+            ids = coder.batch(encoded(part["text"]))
+            total = np.array([len(x) for x in ids], np.int64)
+            pieces = -(-total // capacity)
+            row = np.repeat(np.arange(len(part)), pieces)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = number * capacity
+            yield pd.DataFrame(
+                {
+                    "doc_id": part["doc_id"].iloc[row].array,
+                    "piece": number.astype(np.int32),
+                    "start": start,
+                    "length": np.minimum(total[row] - start, capacity),
+                    "ids_crc32": [zlib.crc32(ids[r][s : s + capacity].astype("<u4")) for r, s in zip(row, start, strict=True)],
+                }
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from mailweave.llm.common import blocks, encoded, mix
+from mailweave.llm.common import blocks, encoded, mix, parts
 
 # Fixed values of the contract of the query.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -324,7 +324,7 @@ def scan_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = shared.value
-        for pdf in batches:
+        for pdf in parts(batches):
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             raws, out = encoded(texts), []
             for first, last, data, offsets in blocks(raws):
