@@ -7,8 +7,6 @@ bytes other than the six ASCII white-space characters. Nothing here gathers rows
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailweave.session import cut, measured
+
 #: The six characters that separate words (fixed by the contract of the operators).
 WHITE = " \t\n\x0b\x0c\r"
 #: Java regular expression of one word.
@@ -30,34 +30,19 @@ _ODD = 0x5851F42D4C957F2D
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (local tests) a temporary folder is set as the checkpoint folder;
-    on a cluster the setting has to be there.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="mailweave-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
     Cuts lineage, keeps later scans to the columns that they need, and survives lost executors.
+    The folder goes when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/mailweave-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`materialize`, and the number of rows, counted while they were written."""
+    out, seen = measured(df, rows=F.count(F.lit(1)))
+    return out, seen["rows"]
 
 
 def broadcast_if_small(df: DataFrame, rows: int, bound: int) -> DataFrame:
@@ -65,6 +50,26 @@ def broadcast_if_small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def keep_rows(docs: DataFrame, chosen: DataFrame, bound: int) -> DataFrame:
+    """The rows of ``docs`` that ``chosen`` names, with all of their columns.
+
+    chosen: __id, __hash (of the text) and __rows, how many rows have both; 1 lets each of them
+    stay, a higher number one of them. Only rows that do repeat are shuffled.
+    """
+    chosen, seen = measured(chosen, rows=F.count(F.lit(1)), repeated=F.count_if(F.col("__rows") > 1))
+
+    def named(some: DataFrame, rows: int) -> DataFrame:
+        match = docs["doc_id"].eqNullSafe(some["__id"]) & (F.xxhash64(docs["text"]) == some["__hash"])
+        return docs.join(broadcast_if_small(some, rows, bound), match, "left_semi")
+
+    once = named(chosen.filter("__rows = 1"), seen["rows"])
+    if not seen["repeated"]:
+        return once
+    many = named(chosen.filter("__rows > 1"), seen["repeated"])
+    one = many.groupBy("doc_id", F.xxhash64("text")).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(one)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

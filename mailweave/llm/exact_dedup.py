@@ -23,13 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import broadcast_if_small, materialize, shuffle_partitions
+from mailweave.llm.common import broadcast_if_small, counted, keep_rows, materialize, shuffle_partitions
 
 #: Fingerprints that a task holds before it emits its filters.
 FLUSH_ROWS = 1 << 20
 #: Fingerprints that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _HEAD = struct.Struct("<BBQQ")
+_LOWEST = -(2**63)
 
 
 def build_filter(fingerprints: np.ndarray, counts: np.ndarray, low_bits: int) -> bytes:
@@ -157,24 +158,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", "")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``.
-
-    Of the texts that are equal without white space, the row with the most code points, then
-    the smallest doc_id is kept.
-    """
+def _judged(docs: DataFrame) -> DataFrame:
+    """Every row with its group: doc_id, text_hash, n_points, sha, keep_id, group_size (nulls of doc_id as the smallest long)."""
     spread = docs.select(
-        "doc_id",
+        F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc_id"),
         normalised(F.col("text")).alias("norm"),
         F.coalesce(F.length("text"), F.lit(0)).alias("n_points"),
+        F.xxhash64("text").alias("text_hash"),
     )
     keyed = materialize(
-        spread.select(
-            "doc_id", "n_points", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")
-        )
+        spread.select("doc_id", "text_hash", "n_points", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"))
     )
-    repeated = materialize(repeated_fingerprints(keyed))
-    n_repeated = repeated.count()
+    repeated, n_repeated = counted(repeated_fingerprints(keyed))
     # Byte verification: only texts whose fingerprint repeats are grouped, by all of their bytes.
     # The partial aggregation collapses a hot text in each task before the shuffle.
     suspects = spread.withColumn("fp", F.xxhash64("norm")).join(
@@ -182,30 +177,38 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
     verified = (
         suspects.groupBy("fp", "norm", "n_points")
-        .agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("low"), F.count("*").alias("rows"))
+        .agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
         .groupBy("fp", "norm")
         .agg(F.max_by("low", "n_points").alias("keep_id"), F.sum("rows").alias("group_size"))
         .select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     )
-    groups = materialize(verified)
-    n_groups = groups.count()
+    groups, n_groups = counted(verified)
     out = keyed.join(broadcast_if_small(groups, n_groups, BROADCAST_ROWS // 4), ["fp", "sha"], "left")
-    doc_id = F.coalesce("doc_id", F.lit(-(2**63)))
-    keep = F.coalesce("keep_id", doc_id)
     return out.select(
-        "doc_id",
-        F.when(keep != -(2**63), keep).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (keep == doc_id).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        "doc_id", "text_hash", "n_points", "sha", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")
     )
 
 
-def keep_one_of_equals(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact deduplication keeps, with all of their columns."""
-    kept = materialize(exact_groups(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__keep")))
-    rows = kept.count()
-    kept = kept.distinct()
-    return docs.join(
-        broadcast_if_small(kept, rows, BROADCAST_ROWS), docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi"
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``.
+
+    Of the texts that are equal without white space, the row with the most code points, then
+    the smallest doc_id is kept.
+    """
+    known = lambda c: F.when(F.col(c) != _LOWEST, F.col(c)).alias(c)
+    return _judged(docs).select(
+        known("doc_id"), known("keep_id"), "group_size", (F.col("keep_id") == F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
+
+
+def keep_one_of_equals(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, the one that :func:`exact_groups` keeps, with all of its columns.
+
+    Where rows share its doc_id (or have none), the one with the most code points, then the
+    largest hash of the text stays, and one of rows that are equal in both.
+    """
+    rows = _judged(docs.select("doc_id", "text")).filter("keep_id = doc_id")
+    texts = rows.groupBy("sha", "doc_id", "text_hash").agg(F.max("n_points").alias("n"), F.count("*").alias("rows"))
+    best = texts.groupBy("sha").agg(F.max_by(F.struct("doc_id", "text_hash", "rows"), F.struct("n", "text_hash")).alias("x"))
+    chosen = best.select(F.when(F.col("x.doc_id") != _LOWEST, F.col("x.doc_id")).alias("__id"), F.col("x.text_hash").alias("__hash"), F.col("x.rows").alias("__rows"))
+    return keep_rows(docs, chosen, BROADCAST_ROWS // 2)

@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 from mailweave.llm.common import (
     blocks,
     broadcast_if_small,
+    counted,
     encoded,
+    keep_rows,
     lower_ascii,
     materialize,
     mix,
@@ -49,6 +51,7 @@ from mailweave.llm.common import (
     word_spans,
 )
 from mailweave.llm.exact_dedup import repeated_fingerprints
+from mailweave.operators import graph
 
 ROWS, MISSED = 5, 5e-7
 #: Base, rate and limit of the registers (2 bytes each).
@@ -180,6 +183,7 @@ def _scan(rule: Rule):
             yield pd.DataFrame(
                 {
                     "doc_id": part["doc_id"].array,
+                    "text_hash": part["text_hash"].array,
                     "n_shingles": np.array([len(s) for s in sets], np.int64),
                     "s1": _set_hash(sets, 0x5BD1E995),
                     "s2": _set_hash(sets, 0x1B873593A5A5A5A5),
@@ -214,30 +218,9 @@ def _estimate(rule: Rule):
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of all nodes of the undirected edges (a, b); component is the smallest node.
-
-    Alternating large-star and small-star steps: each node hands its neighbours its smallest
-    one, until nothing changes. No neighbourhood is gathered in a row or a task.
-    """
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first())
-
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    last = state(now)
-    while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(small_least, "a")
-        small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).union(pairs.select("a", F.col("m").alias("b")))
-        now = materialize(small.filter("a != b").distinct())
-        new = state(now)
-        if new == last:
-            break
-        last = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    """(node, component) of all nodes of the undirected edges (a, b); component is the smallest node."""
+    found = graph.connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return found.withColumnRenamed("id", "node")
 
 
 class Union:
@@ -345,8 +328,8 @@ def _candidate_edges(classes: DataFrame, rule: Rule) -> DataFrame:
     """Ties (a, b) between classes; classes that may be linked are connected by them."""
     sketches = classes.select("cid", "regs")
     bands = sketches.mapInPandas(_band_rows(rule), "fp long, cid long")
-    shared = materialize(repeated_fingerprints(sketches, of=_band_rows(rule)).withColumnRenamed("n", "members"))
-    member = materialize(bands.join(broadcast_if_small(shared, shared.count(), BROADCAST_ROWS), "fp"))
+    shared, n = counted(repeated_fingerprints(sketches, of=_band_rows(rule)).withColumnRenamed("n", "members"))
+    member = materialize(bands.join(broadcast_if_small(shared, n, BROADCAST_ROWS), "fp"))
     small = (
         member.filter(F.col("members") <= SMALL_BUCKET)
         .groupBy("fp").agg(F.sort_array(F.collect_list("cid")).alias("c"))
@@ -368,11 +351,10 @@ def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule:
         clusters.join(classes.select(F.col("cid").alias("node"), "n_shingles"), "node")
         .groupBy("cluster").agg(F.count("*").alias("n_docs"), F.sum("n_shingles").alias("n_all"))
     )
-    wanted = materialize(
+    wanted, n = counted(
         clusters.join(sizes, "cluster").join(classes.select(F.col("cid").alias("node"), "low", "s1", "s2"), "node")
         .select(F.col("node").alias("cid"), "cluster", "n_docs", "n_all", "low", "s1", "s2")
     )
-    n = wanted.count()
     sets = docs.select("doc_id", "text").join(
         broadcast_if_small(wanted, n, BROADCAST_ROWS // 4), F.coalesce("doc_id", F.lit(_LOWEST)) == F.col("low")
     ).select("cid", "cluster", "n_docs", "n_all", "s1", "s2", "text").mapInPandas(
@@ -429,41 +411,55 @@ def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule:
     return materialize(links.unionByName(across))
 
 
-def near_components(docs: DataFrame, words: int = CONTRACT.words, percent: int = CONTRACT.percent) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
-    rule = Rule(words, percent)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _judged(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Every row with its component: doc_id, n_shingles, text_hash, part (a number of the component, null without words), component_low.
+
+    Nulls of doc_id are the smallest long.
+    """
+    low = F.coalesce("doc_id", F.lit(_LOWEST)).cast("long").alias("doc_id")
     sketched = materialize(
-        docs.select("doc_id", "text").mapInPandas(_scan(rule), f"doc_id {kind}, n_shingles long, s1 long, s2 long, regs binary")
+        docs.select(low, F.xxhash64("text").alias("text_hash"), "text")
+        .mapInPandas(_scan(rule), "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, regs binary")
     )
-    low = F.coalesce("doc_id", F.lit(_LOWEST))
     classes = materialize(
         sketched.filter("n_shingles > 0").groupBy("s1", "s2")
-        .agg(F.min(low).alias("low"), F.first("n_shingles").alias("n_shingles"), F.min_by("regs", low).alias("regs"))
+        .agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.min_by("regs", "doc_id").alias("regs"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
     clusters = materialize(connected_components(_candidate_edges(classes, rule))).withColumnRenamed("component", "cluster")
     parts = materialize(connected_components(_exact_links(docs, classes, clusters, rule)))
     of = parts.join(classes.select(F.col("cid").alias("node"), "low", "s1", "s2"), "node")
     least = of.groupBy("component").agg(F.min("low").alias("component_low"))
-    moved = of.join(least, "component").select("s1", "s2", "component_low")
-    best = classes.select("s1", "s2", "low").join(moved, ["s1", "s2"], "left")
-    best = materialize(best.select("s1", "s2", F.coalesce("component_low", "low").alias("component_low")))
-    out = sketched.select("doc_id", "n_shingles", "s1", "s2").join(
-        broadcast_if_small(best, best.count(), BROADCAST_ROWS // 2), ["s1", "s2"], "left"
+    moved = of.join(least, "component").select("s1", "s2", "component", "component_low")
+    best = classes.select("s1", "s2", "low", "cid").join(moved, ["s1", "s2"], "left")
+    best, n = counted(best.select("s1", "s2", F.coalesce("component", "cid").alias("part"), F.coalesce("component_low", "low").alias("component_low")))
+    out = sketched.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(
+        broadcast_if_small(best, n, BROADCAST_ROWS // 2), ["s1", "s2"], "left"
     )
-    component = F.when(F.col("n_shingles") > 0, F.col("component_low")).otherwise(low)
+    some = F.col("n_shingles") > 0
     return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(component != _LOWEST, component).alias("component_id"),
-        (component == low).alias("kept"),
+        "doc_id", "text_hash", "n_shingles", F.when(some, F.col("part")).alias("part"),
+        F.when(some, F.col("component_low")).otherwise(F.col("doc_id")).alias("component_low"),
     )
 
 
-def keep_one_of_near(docs: DataFrame, words: int = STAGE.words, percent: int = STAGE.percent) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each component, with all of their columns."""
-    kept = materialize(near_components(docs.select("doc_id", "text"), words, percent).filter("kept").select(F.col("doc_id").alias("__keep")).distinct())
-    return docs.join(
-        broadcast_if_small(kept, kept.count(), BROADCAST_ROWS), docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi"
+def near_components(docs: DataFrame, words: int = CONTRACT.words, percent: int = CONTRACT.percent) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    known = lambda c, name: F.when(F.col(c) != _LOWEST, F.col(c)).alias(name)
+    return _judged(docs, Rule(words, percent)).select(
+        known("doc_id", "doc_id"), "n_shingles", known("component_low", "component_id"), (F.col("component_low") == F.col("doc_id")).alias("kept")
     )
+
+
+def keep_one_of_near(docs: DataFrame, words: int = STAGE.words, percent: int = STAGE.percent) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id, with all of its columns.
+
+    Where several rows of a component have that doc_id (or none), the one whose text has the
+    smallest hash stays, and one of rows that are equal in both. Texts without words all stay.
+    """
+    rows = _judged(docs.select("doc_id", "text"), Rule(words, percent)).filter("component_low = doc_id")
+    texts = rows.groupBy("part", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    one = texts.filter("part is not null").groupBy("part").agg(F.min_by(F.struct("doc_id", "text_hash", "rows"), "text_hash").alias("x")).select("x.*")
+    chosen = one.unionByName(texts.filter("part is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("rows")))
+    chosen = chosen.select(F.when(F.col("doc_id") != _LOWEST, F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__hash"), F.col("rows").alias("__rows"))
+    return keep_rows(docs, chosen, BROADCAST_ROWS // 2)
