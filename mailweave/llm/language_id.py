@@ -4,12 +4,15 @@ The subwords of a text are its byte n-grams within words (a blank stands for eac
 letters are lower case, everything that is not a letter is a border), hashed into buckets. A
 text is the average of its buckets' embeddings; a linear softmax turns it into language
 probabilities. Both layers are trained by stochastic gradient descent in numpy on a bounded,
-documented sample of labelled rows. Since the output is linear in the embeddings, the product
-of both layers is a table (bucket, language), of fixed size, that goes to the tasks; prediction
-is one gather and one sum per text, over whole texts.
+documented sample of labelled rows: ``SAMPLE_ROWS`` of each language, less where all languages
+together would pass ``SAMPLE_TOTAL``. Tasks count the subwords of the sampled rows; only the
+counts, of at most ``BUCKETS`` subwords a row, reach the driver. For few languages the product of
+both layers is a table (bucket, language); for more the tasks take both layers, so the model
+stays small with any number of languages. Prediction reads whole texts.
 
 Rejection is calibrated on rows that the training did not see: a temperature that maximises
-their likelihood, and the confidence that only ``REJECT_SHARE`` of them stay under. Texts
+their likelihood, and the confidence that only ``REJECT_SHARE`` of them stay under, but never more
+than ``SURE``: a text with a language that is likelier than all others together stays. Texts
 without letters are rejected always.
 
 Defined results: null, empty and letterless texts get ``und`` with score 0 and are rejected;
@@ -19,8 +22,9 @@ every text gets ``und`` and only letterless ones are rejected; an empty table gi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,15 +32,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import PART_CHARS, blocks, encoded, parts, release
+from mailweave.llm.common import PART_CHARS, blocks, broadcast_if_small, counted, encoded, parts, release
 
-#: Labelled rows that training uses at most for each language; languages at most.
-SAMPLE_ROWS, MAX_LANGUAGES = 1200, 400
+#: Labelled rows that training uses at most for each language, and in all.
+SAMPLE_ROWS, SAMPLE_TOTAL = 1200, 12_000
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (2, 3, 4)
 EPOCHS, RATE, BATCH = 12, 4.0, 32
 #: Share of unseen labelled rows that calibrated rejection may turn away.
 REJECT_SHARE = 0.001
+#: Confidence that is never rejected.
+SURE = 0.5
 UNKNOWN = "und"
+#: Languages whose counts are broadcast at most.
+BROADCAST_LANGUAGES = 100_000
 
 
 def is_letter_table() -> np.ndarray:
@@ -89,22 +97,29 @@ def buckets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # (BUCKETS, languages): embeddings times output layer
+    inner: np.ndarray  # (BUCKETS, WIDTH) embeddings, or (BUCKETS, languages) with the output layer multiplied in
+    outer: np.ndarray | None  # (WIDTH, languages) output layer
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
 
+    def folded(self) -> LanguageModel:
+        """The same model with one table, where that is narrower than the embeddings."""
+        if self.outer is None or len(self.languages) > WIDTH:
+            return self
+        return replace(self, inner=self.inner @ self.outer, outer=None)
+
     def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Logits of each text, and whether it has a subword at all."""
-        out, has = np.zeros((len(texts), len(self.languages)), np.float32), np.zeros(len(texts), bool)
+        out, has = np.zeros((len(texts), self.inner.shape[1]), np.float32), np.zeros(len(texts), bool)
         for first, last, data, offsets in blocks(texts):
             bucket, upto = buckets_of(data, offsets)
             n = np.diff(upto)
             has[first:last] = n > 0
             if len(bucket):
-                sums = np.add.reduceat(self.table[bucket], np.minimum(upto[:-1], len(bucket) - 1), axis=0)
+                sums = np.add.reduceat(self.inner[bucket], np.minimum(upto[:-1], len(bucket) - 1), axis=0)
                 out[first:last] = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], 0)
-        return out + self.bias, has
+        return (out if self.outer is None else out @ self.outer) + self.bias, has
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         logits, has = self.logits(texts)
@@ -119,15 +134,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel:
-    """Fit both layers on four fifths of the rows, calibrate on the rest."""
+def subword_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and how often each occurs."""
+    return np.unique(buckets_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0], return_counts=True)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> LanguageModel:
+    """Fit both layers on four fifths of the rows (:func:`subword_counts` of texts), calibrate on the rest."""
     languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels], np.int64)
-    held = np.arange(len(texts)) % 5 == 4
-    rows = []
-    for t in texts:
-        b, _ = buckets_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        rows.append(np.unique(b, return_counts=True))
+    place = {x: i for i, x in enumerate(languages)}
+    y = np.array([place[x] for x in labels], np.int64)
+    held = np.arange(len(rows)) % 5 == 4
     rng = np.random.default_rng(seed)
     inner = rng.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
     outer, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -149,10 +166,10 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel
                 bucket, n = rows[i]
                 inner[bucket] -= (rate / len(some) * BATCH / 4) * (n / n.sum())[:, None].astype(np.float32) * g
             done += 1
-    model = LanguageModel(languages, inner @ outer, bias)
+    model = LanguageModel(languages, inner, outer, bias)
     check = [i for i in np.flatnonzero(held) if len(rows[i][0])]
     if check:
-        logits, _ = model.logits([texts[i] for i in check])
+        logits = np.stack([(rows[i][1] @ inner[rows[i][0]]) / rows[i][1].sum() for i in check]) @ outer + bias
         wanted = y[check]
         # smoothed targets: rows that are all right don't prove certainty
         target = np.full(logits.shape, 1 / (len(check) + 2) / max(1, len(languages) - 1))
@@ -161,8 +178,8 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel
         loss = [-(target * np.log(softmax(logits / t) + 1e-12)).sum(1).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         confidence = softmax(logits / model.temperature).max(1)
-        model.reject_below = float(min(np.quantile(confidence, REJECT_SHARE), 0.5))
-    return model
+        model.reject_below = float(min(np.quantile(confidence, REJECT_SHARE), SURE))
+    return model.folded()
 
 
 def in_training(doc_id: Column) -> Column:
@@ -170,31 +187,41 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` labelled rows of each language at most, chosen by the hash of doc_id.
+def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> DataFrame:
+    """About ``rows`` labelled rows of each language at most, and ``total`` in all, chosen by the hash of doc_id.
 
     The share of each language follows from counts over all rows, so no language is sorted or
-    gathered; the filter and the bound on the sum of all languages keep the sample small.
+    gathered, and no language is left out while there is one row in ``total`` for it.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(in_training(F.col("doc_id")), F.lit(False)))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "lang").limit(MAX_LANGUAGES)
+    counts, languages = counted(labelled.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n")))
+    each = max(1, min(rows, total // max(1, languages)))
     place = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000))
-    picked = labelled.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang")  # at most MAX_LANGUAGES rows
-    return picked.filter(place * F.col("__n") < F.lit(rows * 1_000_000)).select("doc_id", "lang", "text")
+    base = labelled.select("doc_id", "lang", "text")
+    picked = base.join(broadcast_if_small(counts, languages, BROADCAST_LANGUAGES), base["lang"] == counts["__lang"])
+    return picked.filter(place * F.col("__n") < F.lit(each * 1_000_000)).select("doc_id", "lang", "text")
+
+
+def _count_subwords(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts(batches):
+        found = [subword_counts(t) for t in encoded(part["text"])]
+        yield pd.DataFrame({"lang": part["lang"].array, "buckets": [b.astype(np.int32) for b, _ in found], "times": [n.astype(np.int32) for _, n in found]})
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Train on a bounded sample: at most about ``rows`` texts of ``MAX_LANGUAGES`` languages."""
-    sample = training_sample(docs, rows).toPandas().sort_values(["lang", "doc_id", "text"])
-    order = np.random.default_rng(3).permutation(len(sample))
-    sample = sample.iloc[order]
-    return train(encoded(sample["text"]), sample["lang"].tolist())
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> LanguageModel:
+    """Train on the bounded sample of :func:`training_sample`."""
+    sample = training_sample(docs, rows, total).mapInPandas(_count_subwords, "lang string, buckets array<int>, times array<int>").toPandas()
+    features = [(np.asarray(b, np.int32), np.asarray(n, np.int64)) for b, n in zip(sample["buckets"], sample["times"], strict=True)]
+    # an order that doesn't depend on how the rows were dealt
+    keys = [(x, zlib.crc32(b.tobytes()), zlib.crc32(n.tobytes())) for x, (b, n) in zip(sample["lang"], features, strict=True)]
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)[np.random.default_rng(3).permutation(len(keys))]
+    return train([features[i] for i in order], [sample["lang"][i] for i in order])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row of ``docs``."""
     model = model or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x WIDTH, and a column for each language
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -224,7 +251,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """The rows of ``docs`` that are not rejected, unchanged and with all of their columns."""
     model = model or fit(docs.select("doc_id", "lang", "text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x WIDTH, and a column for each language
     at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

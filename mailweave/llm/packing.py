@@ -2,12 +2,14 @@
 
 A document is its token ids and a closing id 0; documents longer than a sequence are cut. The
 pieces shorter than a sequence are dealt by hash into shards of bounded size. On each shard
-several islands evolve populations of packings: crossover injects whole well-filled bins of one
+several islands evolve populations of packings that start from best fit in random orders, some
+bins above what is possible; the search brings them down: crossover injects whole well-filled bins of one
 parent into the other, bins of the other that hold a document twice are dissolved, and the
 displaced documents are placed by best fit. Between epochs the best packing of each island
 migrates to the next island of its shard (a join); at the end the best island gives the
 shard's packing. The documents of badly filled bins of all shards meet again in a next level of
-shards, until they fit one shard, so cutting the work into shards costs next to nothing.
+shards, until they fit one shard or a level leaves as many open as it was given, so cutting the
+work into shards costs next to nothing.
 
 Defined results: null and empty texts are one piece that holds id 0; rows that repeat are
 packed each; an empty table gives no rows; other columns are ignored.
@@ -15,7 +17,6 @@ packed each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,20 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import blocks, encoded, held, materialize, parts, prefix_hash, span_hash, word_spans
+from mailweave.llm.common import blocks, encoded, held, lower_ascii, materialize, parts, prefix_hash, span_hash, word_spans
 
 #: Tokens of a sequence.
 CAPACITY = 2048
 #: Pieces of a shard, islands of a shard, epochs between which elites migrate.
 SHARD_ROWS, ISLANDS, EPOCHS = 4096, 2, 2
 #: Packings of an island, generations of an epoch.
-POPULATION, GENERATIONS = 4, 6
+POPULATION, GENERATIONS = 8, 24
 #: Bins filled less than this are packed anew in the next level.
 WELL_FILLED = 0.985
-#: Levels of shards at most; the pieces that are open after the last stay in their bins.
-LEVELS = 3
-#: Distinct words, and distinct runs of letters, whose ids a Python worker remembers; bytes of a block.
-CACHE_WORDS, CACHE_RUNS, TOKEN_BLOCK = 400_000, 200_000, 1 << 20
+#: A Python worker remembers the ids of half of 2^CACHE_BITS units; bytes of a block.
+CACHE_BITS, TOKEN_BLOCK = 20, 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -47,88 +46,143 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class IdTable:
+    """Token ids of units of text by the units' 64-bit hashes: open addressing in numpy arrays."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)  # 0: free
+        self.at = np.zeros(1 << bits, np.int64)
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot that holds each key, or the free one where it belongs."""
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[slot]
+        todo = np.flatnonzero((held != keys) & (held != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[todo]]
+            todo = todo[(held != keys[todo]) & (held != 0)]
+        return slot
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """New distinct keys and the ids of each, as bytes of unsigned 32-bit numbers."""
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = len(self.first) + np.arange(len(keys))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.uint32)])
+        todo = np.arange(len(keys))
+        while len(todo):
+            slot = self.slots(keys[todo])
+            slot, won = np.unique(slot, return_index=True)
+            self.keys[slot], self.at[slot] = keys[todo[won]], place[todo[won]]
+            todo = np.delete(todo, won)
+
+
+def _kinds() -> np.ndarray:
+    """Bytes of Latin letters (1; of two bytes up to U+017F too), of signs but the apostrophe (2), and others (0)."""
+    out = np.zeros(256, np.uint8)
+    out[33:127] = 2
+    out[[39, *range(48, 58)]] = 0
+    out[65:91] = out[97:123] = out[0x80:0xC0] = out[0xC3:0xC6] = 1
+    return out
+
+
+_KIND = _kinds()
+
+
 class WordTokenizer:
-    """Ids of whole texts from remembered ids of their words.
+    """Ids of whole texts from remembered ids of their units.
 
     The tokenizer drops white space, lowers letters and then splits runs of letters from runs of
     signs, so the ids of a text are those of its words in order, and the ids of a Latin word with
-    closing signs are those of the lowered letters and of the signs. Words of a block are looked
-    up by hash in a sorted table; unknown letter runs are encoded together, where a run ends at
-    the token that closes a word. Other words are encoded alone.
+    closing signs are those of the lowered letters and of the signs: such a word is two units,
+    any other word is one. Units are found in numpy and looked up by hash; unknown runs are
+    encoded together, where a run ends at the token that closes a word. Other words are encoded alone.
     """
 
-    SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.first, self.count, self.ids = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint32))
+        self.table = IdTable(CACHE_BITS)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, as bytes of unsigned 32-bit numbers."""
-        split = [self.SIMPLE.fullmatch(w) for w in words]
-        if len(self.runs) > CACHE_RUNS:
-            self.runs = {}
-        runs = self.runs
-        runs[""] = b""
-        parts = [(m[1].lower(), m[2]) if m else None for m in split]
-        fresh = list({r for p in parts if p for r in p} - runs.keys())
-        for at in range(0, len(fresh), 2000):
-            some = fresh[at : at + 2000]
+    def _of_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters or of signs, as bytes of unsigned 32-bit numbers."""
+        out: list[bytes] = []
+        for at in range(0, len(runs), 2000):
+            some = runs[at : at + 2000]
             ids = self.encode(" ".join(some))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                raw, start = ids.tobytes(), 0
-                for run, end in zip(some, (4 * cuts).tolist(), strict=True):
-                    runs[run] = raw[start:end]
-                    start = end
+                raw, ends = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                out += [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             else:  # a tokenizer without one closing token for each run
-                runs.update((run, self.encode(run).tobytes()) for run in some)
-        return [runs[p[0]] + runs[p[1]] if p else self.encode(w).tobytes() for w, p in zip(words, parts, strict=True)]
+                out += [self.encode(run).tobytes() for run in some]
+        return out
 
     def batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text and a closing 0."""
         out: list[np.ndarray] = []
-        for _, _, data, offsets in blocks(texts, TOKEN_BLOCK):
+        for _, _, raw, offsets in blocks(texts, TOKEN_BLOCK):
+            data = lower_ascii(raw)
             start, end, upto = word_spans(data, offsets)
-            hashes = span_hash(prefix_hash(data), start, end)
-            at = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
-            missing = self.keys[at] != hashes if len(self.keys) else np.ones(len(hashes), bool)
-            if missing.any():
-                new, where = np.unique(hashes[missing], return_index=True)
-                where = np.flatnonzero(missing)[where]
-                if len(self.keys) + len(new) > CACHE_WORDS:
-                    self.forget()
-                    new, where = np.unique(hashes, return_index=True)
-                raw = data.tobytes()
-                found = self._of_words([raw[s:e].decode("utf-8") for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
-                count = np.fromiter(map(len, found), np.int64, len(found)) // 4
-                first = len(self.ids) + np.cumsum(count) - count
-                self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
-                place = np.searchsorted(self.keys, new)
-                self.keys = np.insert(self.keys, place, new)
-                self.first, self.count = np.insert(self.first, place, first), np.insert(self.count, place, count)
-                at = np.searchsorted(self.keys, hashes)
-            size = self.count[at]
+            kind = _KIND[data]
+            # the three two-byte characters below U+0180 that aren't letters or aren't lowered to one
+            pair = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0))
+            kind[pair] = kind[pair + 1] = 0
+            letters, others = (np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)]) for k in (1, 0))
+            run = start + letters[end] - letters[start]
+            simple = (others[end] == others[start]) & (run > start) & (letters[run] - letters[start] == run - start)
+            two = simple & (run < end)
+            # units in order: a word, or its letters and its signs
+            place = np.arange(len(start)) + np.cumsum(two) - two
+            n = len(start) + int(two.sum())
+            u_start, u_end, alone = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
+            u_start[place], u_end[place], alone[place] = start, np.where(two, run, end), ~simple
+            u_start[place[two] + 1], u_end[place[two] + 1] = run[two], end[two]
+            keys = np.maximum(span_hash(prefix_hash(data), u_start, u_end), np.uint64(1))
+            slot = self.table.slots(keys)
+            missing = np.flatnonzero(self.table.keys[slot] != keys)
+            if len(missing):
+                new, where = np.unique(keys[missing], return_index=True)
+                where = missing[where]
+                if 2 * (len(self.table.first) + len(new)) > 1 << self.table.bits:
+                    new, where = np.unique(keys, return_index=True)
+                    self.table = IdTable(max(CACHE_BITS, int(len(new)).bit_length() + 2))
+                whole = data.tobytes()
+                words = [whole[s:e].decode("utf-8") for s, e in zip(u_start[where].tolist(), u_end[where].tolist(), strict=True)]
+                single = alone[where]
+                ids = np.empty(len(words), object)
+                ids[~single] = _objects(self._of_runs([w.lower() for w, one in zip(words, single.tolist(), strict=True) if not one]))
+                ids[single] = _objects([self.encode(w).tobytes() for w, one in zip(words, single.tolist(), strict=True) if one])
+                self.table.add(new, ids.tolist())
+                slot = self.table.slots(keys)
+            at = self.table.at[slot]
+            size = self.table.count[at]
             before = np.concatenate([[0], np.cumsum(size)])
-            flat = self.ids[np.repeat(self.first[at] - before[:-1], size) + np.arange(before[-1])]
-            closed = np.insert(flat, before[upto[1:]], 0)
-            cut = before[upto] + np.arange(len(upto))
+            flat = self.table.ids[np.repeat(self.table.first[at] - before[:-1], size) + np.arange(before[-1])]
+            cut = before[np.concatenate([place, [n]])[upto]]
+            closed = np.insert(flat, cut[1:], 0)
+            cut = cut + np.arange(len(cut))
             out += [closed[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return out
 
 
+def _objects(items: list) -> np.ndarray:
+    out = np.empty(len(items), object)
+    out[:] = items
+    return out
+
+
 def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
 
@@ -157,8 +211,8 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -
     )
 
 
-def best_fit(length: np.ndarray, todo: np.ndarray, assign: np.ndarray, fill: list[int], capacity: int) -> None:
-    """Place the documents ``todo``, longest first, each into the fullest bin that has room.
+def best_fit(length: np.ndarray, order: np.ndarray, assign: np.ndarray, fill: list[int], capacity: int) -> None:
+    """Place documents in the given order, each into the fullest bin that has room.
 
     ``assign`` and ``fill`` (tokens of each bin) are changed in place.
     """
@@ -168,7 +222,6 @@ def best_fit(length: np.ndarray, todo: np.ndarray, assign: np.ndarray, fill: lis
         if f < capacity:
             room[capacity - f].append(b)
             mask |= 1 << (capacity - f)
-    order = todo[np.argsort(-length[todo], kind="stable")]
     for i, size in zip(order.tolist(), length[order].tolist(), strict=True):
         fits = mask >> size
         if fits:
@@ -210,22 +263,26 @@ def crossover(a: np.ndarray, b: np.ndarray, length: np.ndarray, capacity: int, r
     # bins of a that only held injected documents were dissolved, so ids are dense
     placed = injected | kept
     fill = np.bincount(child[placed], length[placed], minlength=int(take.sum() + (~gone).sum())).astype(int).tolist()
-    best_fit(length, np.flatnonzero(~placed), child, fill, capacity)
+    displaced = np.flatnonzero(~placed)
+    best_fit(length, displaced[np.argsort(-length[displaced], kind="stable")], child, fill, capacity)
     return np.unique(child, return_inverse=True)[1]
 
 
-def evolve(length: np.ndarray, elites: list[np.ndarray], capacity: int, seed: list[int]) -> np.ndarray:
-    """One epoch of an island, from the elites that it holds or received."""
+def evolve(length: np.ndarray, elites: list[np.ndarray], capacity: int, seed: list[int], guard: bool = False) -> np.ndarray:
+    """One epoch of an island, from the elites that it holds or received and packings in random orders.
+
+    With ``guard`` a packing by decreasing length is among them, so that the result is never worse.
+    """
     rng = np.random.default_rng(seed)
     least = -(-int(length.sum()) // capacity)
     people = [e for e in elites if e is not None]
+    if guard:
+        assign = np.full(len(length), -1, np.int64)
+        best_fit(length, np.argsort(-length, kind="stable"), assign, [], capacity)
+        people.append(assign)
     while len(people) < POPULATION:
-        noisy = length + (rng.integers(0, 64, len(length)) if people else 0)
-        assign, fill = np.full(len(length), -1, np.int64), []
-        order = np.argsort(-noisy, kind="stable")
-        half = len(order) if not people else int(len(order) * rng.uniform(0.5, 1))
-        best_fit(length, order[:half], assign, fill, capacity)
-        best_fit(length, order[half:], assign, fill, capacity)
+        assign = np.full(len(length), -1, np.int64)
+        best_fit(length, rng.permutation(len(length)), assign, [], capacity)
         people.append(assign)
     scored = sorted(((fitness(p, length), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])
     for g in range(GENERATIONS):
@@ -244,7 +301,7 @@ def _epoch(capacity: int, epoch: int):
             for row in pdf.itertuples(index=False):
                 length = np.asarray(row.lengths, np.int64)
                 elites = [np.asarray(x, np.int64) for x in (row.bins, row.migrant) if x is not None and len(x)]
-                best.append(evolve(length, elites, capacity, [epoch, int(row.shard), int(row.island)]))
+                best.append(evolve(length, elites, capacity, [epoch, int(row.shard), int(row.island)], (epoch + 1) % EPOCHS == 0))
             yield pd.DataFrame(
                 {
                     "shard": pdf["shard"],
@@ -298,8 +355,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     parts, open_rows, level = [full], rows.filter(F.col("length") < capacity), 0
     while True:
         packed = materialize(pack_shards(open_rows, level, capacity))
-        single = packed.select("shard").distinct().limit(2).count() < 2
-        last = single or level + 1 == LEVELS
+        size = packed.agg(F.count("*").alias("n"), F.max("shard").alias("shards"), F.count_if(F.col("fill") < WELL_FILLED * capacity).alias("open")).first()
+        last = not size["n"] or size["shards"] == 0 or size["open"] == size["n"]
         done = packed if last else packed.filter(F.col("fill") >= WELL_FILLED * capacity)
         where = F.lit(level << 56) + F.shiftleft(F.col("shard"), 24) + F.col("bin")
         offset = F.sum("length").over(W.partitionBy("shard", "bin").orderBy("row")) - F.col("length")
