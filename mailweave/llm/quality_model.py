@@ -4,16 +4,18 @@ The model is trained on trusted text: documents labelled good and not toxic. Cha
 folded (lower case, digits alike, any white space a blank) and an n-gram of up to ``ORDER`` of them is one
 long. Counts, continuation counts, discounts and back-off weights are DataFrame aggregations and joins
 sharded by n-gram; so are the probabilities of the n-gram types that the corpus holds, level by
-level from unigrams up. A document's perplexity is summed from the types' log-probabilities:
-through a lookup table in the tasks where the measured number of types is within
-``LOOKUP_ROWS``, and else by joining the documents' n-gram counts with the sharded types.
+level from unigrams up. A document's perplexity is the sum over the join of its n-gram counts
+with the types' log-probabilities; the types are broadcast up to ``TYPES_ROWS`` (counted), and the
+same join shuffles beyond.
 
 A document is kept if its smoothed log-perplexity is within the threshold of its language:
-a high quantile of the trusted documents and a margin above it. Short texts are drawn to their
-language's median, since few characters say little.
+a high quantile of trusted documents and a margin above it. Thresholds come from the fifth of the
+trusted documents that the model doesn't learn from, so they hold for unseen text. Short texts
+are drawn to their language's median, since few characters say little.
 
 Defined results: null, empty and blank texts have no perplexity and are not kept; null lang, and
-languages with few trusted documents, use the threshold of all; without trusted text nothing
+languages with fewer than ``MIN_DOCS`` held-out trusted documents, use median and threshold of all
+of them (of all trusted documents where none is held out); without trusted text nothing
 has a perplexity and everything with text is kept; repeated rows are scored each; an empty
 table gives no rows; other columns are ignored.
 """
@@ -27,15 +29,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import broadcast_if_small, materialize
+from mailweave.llm.common import broadcast_if_small, counted, materialize, parts
+from mailweave.session import measured
 
 #: Characters of an n-gram; bits of a character.
 ORDER, BITS = 4, 12
 #: N-grams that a task gathers before it emits their counts.
 FLUSH = 1 << 21
-#: Types of the lookup table at most.
-LOOKUP_ROWS = 3_000_000
+#: Characters of text that a task handles at once.
+PART_TEXT = 1 << 20
+#: N-gram types that are broadcast at most (a long and a double each); more are joined by a shuffle.
+TYPES_ROWS = 2_000_000
 BROADCAST_ROWS = 1_200_000
+#: One of so many trusted documents (by crc32 of doc_id) is held out for the thresholds.
+FOLDS = 5
 #: Characters that a language's median weighs in a document's score.
 PRIOR = 40
 #: Quantile of trusted documents, share of its distance from the median that is added, fewest trusted documents.
@@ -80,15 +87,8 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return gram, upto
 
 
-def _parts(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[str]]]:
-    """Runs of rows with about a million characters."""
-    texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-    first, total = 0, 0
-    for k, t in enumerate(texts):
-        total += len(t)
-        if total >= 1 << 20 or k + 1 == len(texts):
-            yield pdf.iloc[first : k + 1], texts[first : k + 1]
-            first, total = k + 1, 0
+def _texts(part: pd.DataFrame) -> list[str]:
+    return [t if isinstance(t, str) else "" for t in part["text"]]
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,14 +97,13 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def merged() -> pd.DataFrame:
         return pd.concat(held).groupby("gram", as_index=False, sort=False)["n"].sum()
 
-    for pdf in batches:
-        for _, texts in _parts(pdf):
-            values, n = np.unique(ngrams(texts)[0], return_counts=True)
-            held.append(pd.DataFrame({"gram": values, "n": n}))
-            if sum(map(len, held)) > FLUSH:
-                held = [merged()]
-                if len(held[0]) > FLUSH // 2:
-                    yield held.pop()
+    for part in parts(batches, size=PART_TEXT):
+        values, n = np.unique(ngrams(_texts(part))[0], return_counts=True)
+        held.append(pd.DataFrame({"gram": values, "n": n}))
+        if sum(map(len, held)) > FLUSH:
+            held = [merged()]
+            if len(held[0]) > FLUSH // 2:
+                yield held.pop()
     if held:
         yield merged()
 
@@ -178,135 +177,90 @@ class KneserNey:
         return p
 
 
-class Lookup:
-    """Open addressing table from n-gram to log-probability."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros(1 << self.bits, np.float32)
-        slot, todo = self._slot(keys), np.arange(len(keys))
-        while len(todo):
-            free = self.keys[slot[todo]] == -1
-            at, first = np.unique(slot[todo[free]], return_index=True)
-            won = todo[free][first]
-            self.keys[at], self.values[at] = keys[won], values[won]
-            todo = np.setdiff1d(todo, won, assume_unique=True)
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        slot = self._slot(grams)
-        wrong = np.flatnonzero(self.keys[slot] != grams)
-        while len(wrong):
-            slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
-            wrong = wrong[self.keys[slot[wrong]] != grams[wrong]]
-        return self.values[slot]
-
-
-def _score_by_lookup(docs: DataFrame, types: DataFrame, kind: str) -> DataFrame:
-    table = types.select("gram", F.log("p").alias("lp")).toArrow()  # at most LOOKUP_ROWS rows
-    shared = docs.sparkSession.sparkContext.broadcast(
-        Lookup(table.column("gram").to_numpy(), table.column("lp").to_numpy().astype(np.float32))
-    )
+def _document_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each document with the distinct n-grams of its text and how often each occurs."""
+    for part in parts(batches, size=PART_TEXT):
+        grams, upto = ngrams(_texts(part))
+        # one sort of (document, n-gram) for the whole part
+        doc = np.repeat(np.arange(len(part)), np.diff(upto))
+        order = np.lexsort((grams, doc))
+        g, d = grams[order], doc[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(g)))
+        cut = np.searchsorted(d[at], np.arange(len(part) + 1))
+        g = g[at]
+        yield part.drop(columns="text").assign(
+            n_points=np.diff(upto),
+            grams=[g[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)],
+            times=[times[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)],
+        )
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup = shared.value
-        for pdf in batches:
-            for part, texts in _parts(pdf):
-                grams, upto = ngrams(texts)
-                sums = np.concatenate([[0.0], np.cumsum(lookup(grams), dtype=np.float64)])
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].array,
-                        "lang": part["lang"].array,
-                        "trusted": part["trusted"].array,
-                        "n_points": np.diff(upto),
-                        "cost": sums[upto[:-1]] - sums[upto[1:]],
-                    }
-                )
 
-    return docs.select("doc_id", "lang", "text", "trusted").mapInPandas(
-        scan, f"doc_id {kind}, lang string, trusted boolean, n_points long, cost double"
+def document_costs(docs: DataFrame, types: DataFrame, n_types: int, types_rows: int = TYPES_ROWS) -> DataFrame:
+    """doc_id, lang, trusted, held, n_points and cost (minus log-probability of the text) of every row of ``docs``.
+
+    types: gram, p of every n-gram of the texts. The sums are taken in the tasks before the shuffle.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = docs.select("doc_id", "lang", "trusted", "held", "text").mapInPandas(
+        _document_grams, f"doc_id {kind}, lang string, trusted boolean, held boolean, n_points long, grams array<long>, times array<long>"
     )
+    row = ["row", "doc_id", "lang", "trusted", "held", "n_points"]
+    flat = each.withColumn("row", F.monotonically_increasing_id()).select(*row, F.explode_outer(F.arrays_zip("grams", "times")).alias("g"))
+    flat = flat.select(*row, F.col("g.grams").alias("gram"), F.col("g.times").alias("n"))
+    logs = broadcast_if_small(types.select("gram", F.log("p").alias("lp")), n_types, types_rows)
+    cost = F.coalesce(-F.sum(F.col("n") * F.col("lp")), F.lit(0.0)).alias("cost")
+    return flat.join(logs, "gram", "left").groupBy(*row).agg(cost).drop("row")
 
 
-def _score_by_join(docs: DataFrame, types: DataFrame, kind: str) -> DataFrame:
-    """The way for more types than a lookup table may hold: n-gram counts of each document, joined."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part, texts in _parts(pdf):
-                grams, upto = ngrams(texts)
-                counted = [np.unique(grams[a:b], return_counts=True) for a, b in zip(upto[:-1], upto[1:], strict=True)]
-                yield pd.DataFrame(
-                    {
-                        "row": part["row"].array,
-                        "doc_id": part["doc_id"].array,
-                        "lang": part["lang"].array,
-                        "trusted": part["trusted"].array,
-                        "n_points": np.diff(upto),
-                        "grams": [c[0] for c in counted],
-                        "times": [c[1] for c in counted],
-                    }
-                )
+def trusted_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, lang, text, trusted and held of every row, and how many trusted ids there are.
 
-    rows = materialize(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text", "trusted").mapInPandas(
-            scan, f"row long, doc_id {kind}, lang string, trusted boolean, n_points long, grams array<long>, times array<long>"
-        )
-    )
-    cost = (
-        rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g"))
-        .select("row", F.col("g.grams").alias("gram"), F.col("g.times").alias("n"))
-        .join(types.select("gram", F.log("p").alias("lp")), "gram")
-        .groupBy("row").agg((-F.sum(F.col("n") * F.col("lp"))).alias("cost"))
+    Trusted: labelled, never bad and never toxic. Held: the trusted ones kept for the thresholds.
+    """
+    good, n_good = counted(
+        labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id"))
+        .agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("__id", F.lit(True).alias("__good"))
     )
-    return rows.drop("grams", "times").join(cost, "row", "left").drop("row").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    base = docs.select("doc_id", "lang", "text")
+    marked = base.join(broadcast_if_small(good, n_good, BROADCAST_ROWS), base["doc_id"] == good["__id"], "left")
+    trusted = F.coalesce("__good", F.lit(False))
+    held = trusted & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0)
+    return marked.select("doc_id", "lang", "text", trusted.alias("trusted"), F.coalesce(held, F.lit(False)).alias("held")), n_good
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, types_rows: int = TYPES_ROWS) -> DataFrame:
     """doc_id, n_points, perplexity, threshold (of the smoothed perplexity) and kept of every row."""
-    good = (
-        labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("__id", F.lit(True).alias("__good"))
+    marked, n_good = trusted_rows(docs, labels)
+    model = KneserNey(marked.filter("trusted and not held"))
+    types, n_types = counted(model.probabilities(materialize(gram_counts(docs))))
+    scored, seen = measured(
+        document_costs(marked, types, n_types, types_rows), held=F.count_if(F.col("held") & (F.col("n_points") > 0))
     )
-    good = materialize(good)
-    n_good = good.count()
-    marked = docs.join(broadcast_if_small(good, n_good, BROADCAST_ROWS), docs["doc_id"] == good["__id"], "left").select(
-        "doc_id", "lang", "text", F.coalesce("__good", F.lit(False)).alias("trusted")
-    )
-    model = KneserNey(marked.filter("trusted"))
-    types = materialize(model.probabilities(materialize(gram_counts(docs))))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    n_types = types.count()
-    score = _score_by_lookup if n_types <= lookup_rows else _score_by_join
-    scored = materialize(score(marked, types, kind))
     each = F.col("cost") / F.col("n_points")
-    seen = scored.filter("trusted and n_points > 0")
-    middle = materialize(seen.groupBy("lang").agg(F.percentile_approx(each, 0.5, 1000).alias("mid"), F.count("*").alias("rows")))
-    everything = seen.agg(F.percentile_approx(each, 0.5, 1000).alias("mid")).first()["mid"]
-    n_langs = middle.count()
-    known = middle.filter(F.col("rows") >= MIN_DOCS).select(F.col("lang").alias("__lang"), "mid")
+    judge = F.col("held" if seen["held"] else "trusted") & (F.col("n_points") > 0)
+    known = scored.filter(judge)
+    median = F.percentile_approx(each, 0.5, 1000).alias("mid")
+    middle, n_langs = counted(
+        known.filter("lang is not null").groupBy(F.col("lang").alias("__lang")).agg(median, F.count("*").alias("rows")).filter(F.col("rows") >= MIN_DOCS).drop("rows")
+    )
+    everything = known.agg(median).first()["mid"]
     smooth = (F.col("cost") + PRIOR * F.col("mid")) / (F.col("n_points") + PRIOR)
-    drawn = scored.join(
-        broadcast_if_small(known, n_langs, 100_000), F.col("lang").eqNullSafe(F.col("__lang")), "left"
-    ).withColumn("mid", F.coalesce("mid", F.lit(everything).cast("double"))).withColumn("score", smooth)
-    kept_of = drawn.filter("trusted and n_points > 0")
-    top = F.percentile_approx("score", QUANTILE, 10000)
-    per = kept_of.groupBy("__lang").agg(top.alias("top"), F.percentile_approx("score", 0.5, 10000).alias("half"), F.count("*").alias("k"))
-    per = materialize(per.filter(F.col("k") >= MIN_DOCS).select(F.col("__lang").alias("__of"), (F.col("top") + REACH * (F.col("top") - F.col("half"))).alias("own")))
-    row = kept_of.agg(top.alias("top"), F.percentile_approx("score", 0.5, 10000).alias("half")).first()
-    common = None if row["top"] is None else row["top"] + REACH * (row["top"] - row["half"])
-    out = drawn.join(broadcast_if_small(per, n_langs, 100_000), F.col("__lang").eqNullSafe(F.col("__of")), "left")
-    limit = F.coalesce("own", F.lit(common).cast("double"))
+    drawn = scored.join(broadcast_if_small(middle, n_langs, 100_000), F.col("lang") == F.col("__lang"), "left")
+    drawn = drawn.withColumn("mid", F.coalesce("mid", F.lit(everything).cast("double"))).withColumn("score", smooth)
+    top, half = F.percentile_approx("score", QUANTILE, 10000), F.percentile_approx("score", 0.5, 10000)
+    limit = (top + REACH * (top - half)).alias("own")
+    per = materialize(drawn.filter(judge & F.col("__lang").isNotNull()).groupBy(F.col("__lang").alias("__of")).agg(limit))
+    common = drawn.filter(judge).agg(limit).first()["own"]
+    out = drawn.join(broadcast_if_small(per, n_langs, 100_000), F.col("__lang") == F.col("__of"), "left")
+    threshold = F.coalesce("own", F.lit(common).cast("double"))
     blank = F.col("n_points") == 0
     return out.select(
         "doc_id",
         "n_points",
         F.when(~blank & F.lit(n_good > 0), F.exp(each)).alias("perplexity"),
-        F.exp(limit).alias("threshold"),
-        F.when(blank, False).otherwise(F.coalesce(F.col("score") <= limit, F.lit(True))).alias("kept"),
+        F.exp(threshold).alias("threshold"),
+        F.when(blank, False).otherwise(F.coalesce(F.col("score") <= threshold, F.lit(True))).alias("kept"),
     )

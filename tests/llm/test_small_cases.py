@@ -138,10 +138,10 @@ def test_quality_model(docs, empty, spark):
     labels = spark.createDataFrame([(6, 1, 0), (3, 1, 0), (9, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality_model.score_quality(docs, labels).collect()}
     assert got[0]["perplexity"] is None and not got[0]["kept"] and got[6]["kept"]
-    other = {r["doc_id"]: r for r in quality_model.score_quality(docs, labels, lookup_rows=0).collect()}
+    other = {r["doc_id"]: r for r in quality_model.score_quality(docs, labels, types_rows=0).collect()}
     for i, r in got.items():
         if r["perplexity"] is not None:
-            assert other[i]["perplexity"] == pytest.approx(r["perplexity"], rel=1e-4)
+            assert other[i]["perplexity"] == pytest.approx(r["perplexity"], rel=1e-9) and other[i]["kept"] == r["kept"]
     none = quality_model.score_quality(docs, labels.limit(0)).collect()
     assert all(r["perplexity"] is None for r in none)
     assert quality_model.score_quality(empty, labels).count() == 0
