@@ -5,9 +5,11 @@ Water filling gives each source a target. A document enters its source's mix
 with the fractional inclusion probability. The cube method decides these fractions: the flight
 phase moves three undecided probabilities at a time along the null space of the two balancing
 equations (words and documents), so both totals keep their expectation exactly, until at most
-two documents of a block are undecided. Blocks of a source are flown independently, the
-undecided rest of all blocks meets in the next round, and the last block of a source lands: of
-the few remaining roundings the one nearest to the balanced totals is taken.
+two documents of a block are undecided. Large documents are decided first, so the rest is small.
+Blocks of a source are flown independently, the undecided rest of all blocks meets in the next
+round, and the last block of a source lands: when ``LANDING`` documents are left, of all their
+roundings the one nearest to the balanced totals is taken, and while it brings the words nearer,
+two of the block's documents are decided anew, one in and one out.
 
 Blocks are dealt by hash, so a hot source becomes many blocks of bounded size. The generator of
 a block is seeded by source, round and block and rows are ordered by hash: reruns agree.
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailweave.llm.common import broadcast_if_small, materialize, word_count
+from mailweave.llm.common import broadcast_if_small, counted, materialize, word_count
+from mailweave.session import measured
 
 #: Weights of the sources in order, repeated (fixed by the contract of the query).
 WEIGHTS = (3, 1, 2)
@@ -32,6 +35,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 #: Documents that one block of the flight holds.
 BLOCK_ROWS = 4096
+#: Undecided documents of a source whose roundings are all tried.
+LANDING = 12
 BROADCAST_SOURCES = 100_000
 
 
@@ -63,18 +68,20 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     )
 
 
-def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flight phase of one block: probabilities of which at most two are still fractional.
+def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, rest: int = 2) -> np.ndarray:
+    """Flight phase of one block: probabilities of which about ``rest`` (or two) are still fractional.
 
     Both ``sum(p)`` and ``sum(p * size)`` are kept but for rounding errors.
     """
     p = p.astype(float).copy()
     z = size.astype(float)
-    pool = [i for i in range(len(p)) if 0 < p[i] < 1][::-1]
+    pool = [i for i in np.argsort(size, kind="stable").tolist() if 0 < p[i] < 1]  # the last are taken first
     draws = rng.random(len(p) + 1)
     step, tiny = 0, 1e-12
     live: list[int] = []
     while True:
+        if len(live) + len(pool) <= rest:
+            return p
         while len(live) < 3 and pool:
             live.append(pool.pop())
         if len(live) < 3:
@@ -113,14 +120,37 @@ def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
+def swap(size: np.ndarray, p: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Exchange pairs of one taken and one left document while the words come nearer to ``wanted``."""
+    p = p.copy()
+    z = size.astype(float)
+    miss = float(((wanted - p) * z).sum())
+    for _ in range(len(p)):
+        taken, left = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if not len(taken) or not len(left):
+            break
+        left = left[np.argsort(z[left], kind="stable")]
+        at = np.searchsorted(z[left], z[taken] + miss)
+        other = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(left) - 1)])
+        off = np.abs(z[left[other]] - z[taken] - miss)
+        k, i = np.unravel_index(int(off.argmin()), off.shape)
+        if off[k, i] >= abs(miss):
+            break
+        j = left[other[k, i]]
+        miss -= z[j] - z[taken[i]]
+        p[taken[i]], p[j] = 0.0, 1.0
+    return p
+
+
 def _flight(number: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["dealt", "doc_id", "size"], kind="stable")
         rng = np.random.default_rng([number, int(key[0]), int(key[1])])
         size = pdf["size"].to_numpy(np.int64)
-        p = fly(size, pdf["p"].to_numpy(float), rng)
-        if pdf["n_blocks"].iloc[0] == 1:
-            p = land(size, p)
+        last = pdf["n_blocks"].iloc[0] == 1
+        p = fly(size, pdf["p"].to_numpy(float), rng, LANDING if last else 2)
+        if last:
+            p = swap(size, land(size, p), pdf["p"].to_numpy(float))
         return pdf.assign(p=p)[["place", "doc_id", "text_hash", "size", "dealt", "p"]]
 
     return run
@@ -131,8 +161,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     sized = materialize(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     )
-    targets = materialize(source_targets(sized, weights, share, most))
-    n_sources = targets.count()
+    targets, n_sources = counted(source_targets(sized, weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     plan = targets.select("place", F.col("source").alias("of"), rate.alias("rate"))
@@ -175,13 +204,21 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` repeated as often as the mix takes them, with all of their columns.
 
-    Rows are matched by doc_id and text; rows equal in both share their copies evenly.
+    Rows are matched by doc_id and text; what rows equal in both take together is dealt out among
+    them, so that their copies differ by one at most.
     """
-    plan = mix_sources(docs.select("doc_id", "text", "source"), **settings)
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
-        F.round(F.avg("copies")).cast("int").alias("__copies")
-    ).filter("__copies > 0")
-    hit = docs.join(
-        plan, docs["doc_id"].eqNullSafe(plan["__id"]) & (F.xxhash64(docs["text"]) == plan["__hash"]), "inner"
+    plan, seen = measured(
+        mix_sources(docs.select("doc_id", "text", "source"), **settings)
+        .groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"))
+        .agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")),
+        repeated=F.count_if(F.col("rows") > 1),
     )
-    return hit.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    # the row travels as one value, so no column of it can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))
+    hit = rows.join(plan.filter("copies > 0"), F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash")))
+    taken = hit.filter("rows = 1").select("row", F.col("copies").alias("n"))
+    if seen["repeated"]:
+        place = F.row_number().over(W.partitionBy("id", "text_hash").orderBy(F.xxhash64("row")))
+        share = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("place") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+        taken = taken.unionByName(hit.filter("rows > 1").withColumn("place", place).select("row", share.cast("long").alias("n")).filter("n > 0"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).select("row.*")
