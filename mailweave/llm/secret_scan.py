@@ -37,7 +37,7 @@ KINDS = ("assign", "access", "hex", "crf")
 BUCKETS = 1 << 14
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Generated lines that training sees, passes over them, step size.
-LINES, EPOCHS, RATE = 1500, 4, 0.3
+LINES, EPOCHS, RATE = 3000, 4, 0.3
 #: Least characters of a span that the field adds.
 LEAST = 8
 
@@ -83,7 +83,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     upto = np.searchsorted(start, offsets)
     n = len(start)
     if not n:
-        return Tokens(start, end, upto, np.zeros((0, 10), np.int32))
+        return Tokens(start, end, upto, np.zeros((0, 12), np.int32))
 
     def total(flags: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(data) + 1, np.int32)
@@ -102,6 +102,10 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         word = word * np.uint64(257) + np.where(k < size, folded[np.minimum(start + k, len(data))], 0).astype(np.uint64)
         word = word * np.uint64(263) + np.where(k < size, folded[np.maximum(end - 1 - k, 0)], 0).astype(np.uint64)
     word = mix(word + size.astype(np.uint64))
+    head = np.zeros(n, np.uint64)  # the first four bytes, as they are: well-known prefixes of keys
+    plain = np.concatenate([data, np.zeros(16, np.uint8)])
+    for k in range(4):
+        head = head * np.uint64(256) + np.where(k < size, plain[np.minimum(start + k, len(data))], 0).astype(np.uint64)
     text = np.searchsorted(offsets, start, side="right") - 1
     first, last = start == start[upto[text]], np.zeros(n, bool)
     last[upto[1:][np.diff(upto) > 0] - 1] = True
@@ -138,6 +142,9 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         (before % np.uint64(1 << 40)).astype(np.int64) * 4 + sep,
         file_kind[text] * 16 + length,
         sep * 1024 + shape,
+        (head.astype(np.int64) << 4) + length,
+        # a dot right before ties the parts of a key
+        shape * 4 + glued * 2 + (plain[np.maximum(start - 1, 0)] == 46),
         np.zeros(n, np.int64),
     ]
     features = np.stack(
@@ -253,30 +260,40 @@ def generated_line(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]
         w = chars(low + "aeioun" * 3 + "\u00e9\u00fc\u00f1\u00f3", int(rng.integers(2, 14) if rng.random() < 0.9 else rng.integers(14, 26)))
         return [w, w.capitalize(), w, w.upper(), w + rng.choice([".", ",", "!!", "&&&", "###"])][int(rng.integers(0, 5))]
 
+    def name() -> str:
+        return chars(low, int(rng.integers(3, 9)))
+
     def plain() -> str:
-        pick = int(rng.integers(0, 8))
         return [
-            word,
             lambda: chars(digit, int(rng.integers(1, 17))),
             lambda: ".".join(chars(digit, 3) for _ in range(4)),
-            lambda: f"{word().lower()}@{chars(low, 6)}.example.com",
-            lambda: f"https://{chars(low, 8)}.example.com/{chars(low, 6)}/{chars(low, 9)}",
-            lambda: "-".join(chars(low, 5) for _ in range(3)),
-            lambda: f"{rng.choice(['width', 'colour', 'size', 'name', 'title'])} = {chars(low, 7)}",
+            lambda: f"{word().lower()}@{name()}.example.com",
+            lambda: f"https://{name()}.example.com/{name()}/{name()}",
+            lambda: "-".join(name() for _ in range(3)),
+            lambda: "_".join(name() for _ in range(int(rng.integers(2, 5)))),
+            lambda: f"{rng.choice(['width', 'colour', 'size', 'name', 'title', 'user', 'id'])} = {name()}",
             lambda: f"+1 ({chars(digit, 3)}) {chars(digit, 3)}-{chars(digit, 4)}",
-        ][pick if rng.random() < 0.4 else 0]()
+            lambda: "-".join(chars(digit + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+            lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(0, 24):02d}:{rng.integers(0, 60):02d}",
+            lambda: f"/{name()}/{name()}/{name()}_{rng.integers(0, 99)}.{name()[:3]}",
+            lambda: "".join(name().capitalize() for _ in range(int(rng.integers(2, 5)))),
+            lambda: f"{name()}{rng.integers(0, 9999)}",
+            lambda: f"v{rng.integers(0, 20)}.{rng.integers(0, 20)}.{rng.integers(0, 20)}",
+            lambda: f"{chars(up, 2)}{chars(digit, 2)} {chars(digit, 4)} {chars(digit, 4)} {chars(digit, 4)}",
+            lambda: chars(up, int(rng.integers(2, 16))),
+        ][int(rng.integers(0, 16))]() if rng.random() < 0.4 else word()
 
     def secret() -> str:
-        pick = int(rng.integers(0, 7))
+        mixed = low + up + digit
         return [
             lambda: chars(digit + "abcdef", int(rng.choice([32, 40, 64]))),
             lambda: "AKIA" + chars(up + digit, 16),
-            lambda: rng.choice(["ghp_", "sk-", "xoxb-", "glpat-"]) + chars(low + up + digit, int(rng.integers(20, 40))),
-            lambda: chars(low + up + digit + "+/", int(rng.integers(24, 48))),
-            lambda: chars(low + up + digit + "_-", int(rng.integers(16, 32))),
-            lambda: "-".join(chars(digit + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+            lambda: str(rng.choice(["ghp_", "gho_", "sk-", "xoxb-", "glpat-", "npm_", "pypi-", "hf_"])) + chars(mixed, int(rng.integers(20, 40))),
+            lambda: chars(mixed + "+/", int(rng.integers(24, 48))),
+            lambda: chars(mixed + "_-", int(rng.integers(20, 36))),
             lambda: chars(up + digit, int(rng.integers(20, 32))),
-        ][pick]()
+            lambda: ".".join("eyJ" * (k < 2) + chars(mixed + "_-", int(rng.integers(20, 44))) for k in range(3)),
+        ][int(rng.integers(0, 7))]()
 
     parts, spans, size = [], [], 0
 
@@ -289,9 +306,13 @@ def generated_line(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]
 
     for _ in range(int(rng.integers(3, 25))):
         if rng.random() < 0.06:
-            name = rng.choice(["password", "token", "secret", "api_key", "key", "auth", "bearer", "credential", "pwd", "access"])
-            add(str(name) + str(rng.choice([" = ", ": ", "=", " ", ':"', " = '"])))
-            add(secret(), True)
+            label = rng.choice(["password", "token", "secret", "api_key", "key", "auth", "bearer", "credential", "pwd", "access"])
+            add(str(label) + str(rng.choice([" = ", ": ", "=", " ", ':"', " = '"])))
+            # what stands after such a name is a secret if it looks like one
+            if rng.random() < 0.7:
+                add(secret(), True)
+            else:
+                add(plain())
         elif rng.random() < 0.04:
             add(secret(), True)
         else:
@@ -301,21 +322,36 @@ def generated_line(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]
 
 
 def _spans(text: str, raw: bytes, at: int, start: np.ndarray, end: np.ndarray, tags: np.ndarray) -> list[tuple[int, str, int]]:
-    """Base spans and the field's spans that no base span overlaps."""
+    """Base spans and the field's spans that no base span overlaps. One pass over the text."""
     found = base_spans(text)
     hit = np.flatnonzero(tags)
     taken = sorted((s, e) for s, _, e in found)
-    k = 0
+    added, k, b, seen, points = [], 0, 0, 0, 0
     while k < len(hit):
         last = k
-        while last + 1 < len(hit) and hit[last + 1] == hit[last] + 1 and tags[hit[last + 1]] == INSIDE:
+        # parts of one key touch but for one sign
+        while last + 1 < len(hit) and hit[last + 1] == hit[last] + 1 and tags[hit[last + 1]] == INSIDE and start[hit[last + 1]] - end[hit[last]] == 1:
             last += 1
-        s = len(raw[: int(start[hit[k]]) - at].decode("utf-8", "ignore"))
-        e = s + len(raw[int(start[hit[k]]) - at : int(end[hit[last]]) - at].decode("utf-8", "ignore"))
-        if e - s >= LEAST and not any(a < e and s < b for a, b in taken):
-            found.append((s, "crf", e))
+        first, stop = int(start[hit[k]]) - at, int(end[hit[last]]) - at
+        points += len(raw[seen:first].decode("utf-8", "ignore"))
+        s = points
+        points += len(raw[first:stop].decode("utf-8", "ignore"))
+        seen = stop
+        while b < len(taken) and taken[b][1] <= s:
+            b += 1
+        if points - s >= LEAST and not _overlaps(taken, b, s, points):
+            added.append((s, "crf", points))
         k = last + 1
-    return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
+    return sorted(found + added, key=lambda x: (x[0], KINDS.index(x[1])))
+
+
+def _overlaps(taken: list[tuple[int, int]], first: int, s: int, e: int) -> bool:
+    """Whether one of the sorted spans from ``first`` on overlaps [s, e)."""
+    while first < len(taken) and taken[first][0] < e:
+        if taken[first][1] > s:
+            return True
+        first += 1
+    return False
 
 
 def scan_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
