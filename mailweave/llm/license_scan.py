@@ -6,10 +6,13 @@ are aligned in the same way, where other words are unique. Coverage is the share
 words that are aligned.
 
 A text can hold a notice several times, or among words that repeat, so alignment runs on
-regions: stretches around the template's key words (those that are rare in prose) no longer
-than twice the template. A set of key words is large enough that a text without any of them
+regions: stretches around the template's key words (those that are rare in prose), of up to three
+times the template. A set of key words is large enough that a text without any of them
 cannot reach the coverage, so texts in which an automaton finds none are settled unread.
 
+Every region of every template is found; of regions that overlap, the one with the most aligned
+words stays, so a notice counts as the most specific of the templates that it matches.
+
 Defined results: null and empty texts hold no license; repeated rows are scanned each; an empty
 table gives no rows; other columns are ignored.
 """
@@ -28,7 +31,22 @@ from mailweave.llm.common import held, parts
 
 #: Share of a template's words that must be aligned.
 COVERAGE = 0.85
-#: Notices of well-known public licenses.
+#: The clauses that two licenses share, and the third of one of them.
+_BSD = """
+    Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution. {third} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+    IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+    PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+    INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+    SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY
+    OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+    OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+    promote products derived from this software without specific prior written permission."""
+#: Notices and texts of well-known public licenses.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
@@ -56,6 +74,48 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "proprietary": "All rights reserved. No part of this work may be reproduced without written permission.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "lgpl-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation"
+    ),
+    "agpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation"
+    ),
+    "mit-text": """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc-text": """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+    "zlib-text": """
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the
+        original software. If you use this software in a product, an acknowledgment in the product documentation would be
+        appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+        distribution.""",
+    "boost-1.0-notice": """
+        Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+        and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+        Software is furnished to do so, all subject to the following""",
+    "bsd-2-clause-text": _BSD.format(third=""),
+    "bsd-3-clause-text": _BSD.format(third=_BSD_THIRD),
 }
 #: Words that are too common in prose to be key words.
 COMMON = frozenset(
@@ -154,7 +214,7 @@ class Scanner:
         for i, w in enumerate(words):
             if w in every:
                 places.setdefault(w, []).append(i)
-        out = []
+        every_region: list[tuple[int, float, int, int, str]] = []
         for name, template in self.templates.items():
             hits = sorted(i for w in self.keys[name] for i in places.get(w, ()))
             reach, found, k = len(template), [], 0
@@ -184,8 +244,14 @@ class Scanner:
             for share, first, end in sorted(set(found), key=lambda x: (-x[0], x[2] - x[1], x[1])):
                 if all(end <= f or first >= e for f, e, _ in kept):
                     kept.append((first, end, share))
-            out += [(name, share, spans[f][0], spans[e - 1][1]) for f, e, share in sorted(kept)]
-        return out
+            every_region += [(-round(share * len(template)), -share, f, e, name) for f, e, share in kept]
+        # the most aligned words first, then the higher coverage, the earlier place and the name
+        best: list[tuple[int, int, str, float]] = []
+        for _, less, f, e, name in sorted(every_region):
+            at = bisect.bisect_left(best, (f,))
+            if (at == len(best) or best[at][0] >= e) and (not at or best[at - 1][1] <= f):
+                best.insert(at, (f, e, name, -less))
+        return [(name, share, spans[f][0], spans[e - 1][1]) for f, e, name, share in best]
 
 
 
