@@ -3,6 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns the columns of the document table, the last
 one the packed pieces. ``run`` writes what a stage returns as Parquet and reads it again as the
 next stage's documents.
+
+Defined results, for every stage: other columns pass through whatever their names; an empty table
+gives no rows. Rows are told apart by doc_id and text, so missing and repeated ids do no harm.
+
+- language: null, empty and letterless texts go, and texts that the identifier rejects; without
+  labelled rows every text with letters stays.
+- exact: one row stays of the texts that are equal without white space, repeated rows too; null is
+  equal to empty.
+- near: one row stays of each component by 5-word shingles and 0.8; texts without words all stay.
+- mix: a row is repeated as often as the mix takes it, never more than twice; repeated rows share.
+- pack: null and empty texts are one piece; each row, repeated ones too, is packed.
 """
 
 from __future__ import annotations
