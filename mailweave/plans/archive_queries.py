@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailweave.functions import text
 from mailweave.operators import algebra
 from mailweave.plans import derived, listing, reports, semantic, tags
 from mailweave.plans.listing import Filters
-from mailweave.plans.registry import query
+from mailweave.plans.registry import _POSTINGS, query
 from mailweave.tables import Archive, driver_archive, load
 
 # --- algebra -------------------------------------------------------------------------------
@@ -157,6 +158,64 @@ def grouped_pages(a: Archive) -> DataFrame:
     return out
 
 
+@query("""SELECT id, CAST(place AS INTEGER) AS place, n > 5 AS truncated FROM (SELECT message_id AS id, row_number() OVER (ORDER BY sent_at NULLS LAST, message_id) AS place, count(*) OVER () AS n
+FROM message_threads JOIN messages ON id = message_id WHERE thread_id = 't7') WHERE place <= 5""")
+def conversation_reading(a: Archive) -> DataFrame:
+    return listing.thread_reading(a, "t7", 5).select("id", "place", "truncated")
+
+
+@query(f"""WITH {_POSTINGS}, kept AS (SELECT id, score FROM score WHERE k = 3 AND id IN (SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey))
+SELECT id, score FROM kept ORDER BY score DESC, id LIMIT 50""", archive=False)
+def searched_with_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words decide the order, filters what is left of the hits."""
+    index = listing.postings(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return listing.search(driver_archive(spark, sf_dir), Filters(text="the for WITH", has_attachments=True), index).select("id", "score")
+
+
+@query("SELECT id FROM messages ORDER BY sent_at DESC NULLS LAST, id LIMIT 50")
+def searched_for_nothing(a: Archive) -> DataFrame:
+    """Nothing asked: the newest."""
+    return listing.search(a, Filters()).select("id")
+
+
+@query("""SELECT filename, count(DISTINCT l_orderkey) AS messages FROM (SELECT l_orderkey, CASE p_partkey % 3 WHEN 0 THEN 'a.DOCX' WHEN 1 THEN 'b.zip' ELSE 'none' END AS filename
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type LIKE 'ECONOMY%' OR p_type LIKE 'PROMO%') GROUP BY 1""")
+def facet_untyped_names(a: Archive) -> DataFrame:
+    from dataclasses import replace
+
+    # an empty type counts as none
+    rows = _typed(a).withColumn("content_type", F.when(F.col("content_type") != "", F.col("content_type")))
+    return listing.facet_untyped_names(replace(a, message_attachments=rows))
+
+
+@query("""SELECT round((SELECT count(DISTINCT message_id) FROM message_attachments) * 1.0 / count(*), 6) AS with_files,
+round((SELECT count(DISTINCT child) FROM replies) * 1.0 / count(*), 6) AS answers, round((SELECT count(*) FROM messages WHERE id IS NULL) * 1.0 / count(*), 6) AS unidentified FROM messages""")
+def dashboard_shares(a: Archive) -> DataFrame:
+    n = lambda df, c, name: df.agg(F.count_distinct(c).alias(name))
+    rows = a.messages.agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("u"))
+    rows = rows.join(F.broadcast(n(a.message_attachments, "message_id", "f"))).join(F.broadcast(n(a.replies, "child", "r")))  # one row each
+    share = lambda c: F.round(reports.share(F.col(c), F.col("n")), 6)
+    return rows.select(share("f").alias("with_files"), share("r").alias("answers"), share("u").alias("unidentified"))
+
+
+# --- scalar functions ----------------------------------------------------------------------
+
+
+@query("""SELECT k AS id, CAST(i AS INTEGER) AS band, (h >> (16 * i)) & 65535 AS value FROM (SELECT o_orderkey AS k, o_orderkey * 2654435761 AS h FROM orders), range(4) t(i)""", archive=False)
+def fingerprint_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four bands of a fingerprint."""
+    prints = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * F.lit(2654435761)).alias("h"))
+    return prints.select("id", F.posexplode(text.bands(F.col("h"))).alias("band", "value"))
+
+
+@query("""SELECT c_custkey AS id, n_name AS domain, replace(lower(c_name), '#', '@x.') AS local FROM customer JOIN nation ON c_nationkey = n_nationkey""", archive=False)
+def address_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain and local part; only what follows the last @ is the domain."""
+    people = load(spark, sf_dir, "customer").join(F.broadcast(load(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    address = F.concat(F.regexp_replace(F.lower("c_name"), "#", "@x."), F.lit("@"), "n_name")
+    return people.select(F.col("c_custkey").alias("id"), text.domain_of(address).alias("domain"), text.local_part_of(address).alias("local"))
+
+
 # --- tags and trust ------------------------------------------------------------------------
 
 

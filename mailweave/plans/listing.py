@@ -179,11 +179,12 @@ def conversation_members(a: Archive, threads: DataFrame, cap: int = THREAD_CAP)
     return rows.withColumn("place", place).filter(F.col("place") <= cap).select("thread_id", "id", "place")
 
 
-def thread_reading(a: Archive, thread, limit: int = THREAD_CAP) -> tuple[DataFrame, bool]:
-    """A thread oldest first, and whether it goes on."""
-    rows = a.message_threads.filter(F.col("thread_id") == thread).select(F.col("message_id").alias("id")).join(a.messages, "id")
+def thread_reading(a: Archive, thread, limit: int = THREAD_CAP) -> DataFrame:
+    """A thread oldest first with its place, and in ``truncated`` whether it goes on; one job."""
+    rows = a.message_threads.filter(F.col("thread_id") == thread).select(F.col("message_id").alias("id")).distinct().join(a.messages, "id")
     page = top(rows, F.asc_nulls_last("sent_at"), F.asc("id"), limit=limit + 1)
-    return page.limit(limit), page.count() > limit
+    placed = page.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last("sent_at"), "id")))  # a page
+    return placed.withColumn("truncated", F.count("*").over(W.partitionBy()) > limit).filter(F.col("place") <= limit)
 
 
 def memberships(a: Archive, page: DataFrame, mode: str, **found: DataFrame) -> DataFrame:
