@@ -314,3 +314,14 @@ def searched_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that no text holds together find nothing."""
     index = listing.postings(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return semantic.search("fulltext", "zzzzqq the", index, index).select("id", F.col("score").cast("int").alias("score"))
+
+
+@query("SELECT true AS enough", archive=False)
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether searches by cells from every id divisible by 100 find nine tenths of what brute force finds."""
+    vectors = driver_archive(spark, sf_dir).vectors
+    asked = vectors.filter("id % 100 = 0")
+    index = semantic.cell_index(vectors)
+    truth = semantic.nearest_of_all(vectors, 10, queries=asked)
+    found = index.search(asked, 10).select("left", "right", F.lit(1).alias("hit"))
+    return truth.join(found, ["left", "right"], "left").agg((F.count("hit") >= F.count("*") * F.lit(0.9)).alias("enough"))

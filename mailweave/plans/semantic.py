@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 from mailweave.operators.algebra import merge, top
 from mailweave.plans.listing import full_text
+from mailweave.session import cut
 
 SIMILAR, NEIGHBOURS, BATCH = 0.82, 5, 32
 #: Rows of a block of the all-pairs search.
 BLOCK = 2048
+#: Vectors of a model that centres are fitted on at most, centres at most; queries that tune the probes; share that has to be found.
+SAMPLE_VECTORS, CELLS, QUERIES, RECALL = 20_000, 1024, 200, 0.95
 
 
 class SemanticError(RuntimeError):
@@ -55,27 +59,114 @@ def nearest_of_all(vectors: DataFrame, k: int = NEIGHBOURS, blocks: int | None =
         asked.select("*", F.lit(0).alias("side"), every.alias("other")).select("model", F.col("block").alias("q"), F.col("other").alias("c"), "side", "id", "vector")
         .unionByName(dealt.select("*", F.lit(1).alias("side"), every.alias("other")).select("model", F.col("other").alias("q"), F.col("block").alias("c"), "side", "id", "vector"))
     )
-    kind = vectors.schema["id"].dataType.simpleString()
+    return _best(sides, ["model", "q", "c"], k, vectors.schema["id"].dataType.simpleString(), own)
+
+
+def _best(sides: DataFrame, block: list[str], k: int, kind: str, own: bool) -> DataFrame:
+    """(left, right, distance): the ``k`` nearest candidates (side 1) of each query (side 0) over all blocks."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0].sort_values("id"), pdf[pdf["side"] == 1].sort_values("id")
         if left.empty or right.empty:
             return pd.DataFrame({"left": [], "right": [], "distance": []})
-        unit = lambda x: (m := np.stack(x["vector"].to_numpy()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        d = np.round(1 - unit(left) @ unit(right).T, 9)
-        same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
+        d = np.round(1 - _unit(left["vector"]) @ _unit(right["vector"]).T, 9)
         if not own:
-            d[same] = np.inf
+            d[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = np.inf
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
         at = np.repeat(np.arange(len(left)), order.shape[1])
         out = pd.DataFrame({"left": left["id"].to_numpy()[at], "right": right["id"].to_numpy()[order.reshape(-1)], "distance": d[at, order.reshape(-1)]})
         return out[np.isfinite(out["distance"])]
 
-    best = sides.groupBy("model", "q", "c").applyInPandas(compare, f"left {kind}, right {kind}, distance double")
+    best = sides.groupBy(*block).applyInPandas(compare, f"left {kind}, right {kind}, distance double")
     place = F.row_number().over(W.partitionBy("left").orderBy("distance", "right"))
     return best.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 
 
+def _unit(vectors) -> np.ndarray:
+    m = np.stack(list(vectors)).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """Vectors by the nearest of their model's centres: the search for models too large for all pairs.
+
+    Every vector is indexed; only the centres are fitted on a sample. ``probes`` is how many cells a
+    query looks into.
+    """
+
+    rows: DataFrame  # id, model, vector, cell
+    centres: dict[str, np.ndarray]
+    probes: int
+
+    def search(self, queries: DataFrame, k: int = NEIGHBOURS, own: bool = False, probes: int | None = None) -> DataFrame:
+        """(left, right, distance): about the ``k`` nearest of each query (id, model, vector) within its model."""
+        asked = _dealt(queries, self.centres, probes or self.probes)
+        # a cell of any size is compared in blocks, and its queries go to each
+        sizes = self.rows.groupBy("model", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        candidates = self.rows.join(sizes, ["model", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        columns = ["model", "cell", "block", "side", "id", "vector"]
+        each = asked.join(sizes, ["model", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sides = each.withColumn("side", F.lit(0)).select(*columns).unionByName(candidates.withColumn("side", F.lit(1)).select(*columns))
+        return _best(sides, ["model", "cell", "block"], k, self.rows.schema["id"].dataType.simpleString(), own)
+
+
+def _dealt(rows: DataFrame, centres: dict[str, np.ndarray], count: int) -> DataFrame:
+    """Each vector with its ``count`` nearest cells, a row for each."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)  # at most CELLS centres of each model
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for model, part in pdf.groupby("model"):
+                near = shared.value.get(model)
+                if near is None:
+                    continue
+                cells = np.argsort(-_unit(part["vector"]) @ near.T, axis=1, kind="stable")[:, :count]
+                at = np.repeat(np.arange(len(part)), cells.shape[1])
+                yield pd.DataFrame({"id": part["id"].to_numpy()[at], "model": model, "vector": part["vector"].to_numpy()[at], "cell": cells.reshape(-1).astype(np.int32)})
+
+    return rows.filter(F.col("vector").isNotNull()).select("id", "model", "vector").mapInPandas(scan, f"id {kind}, model string, vector array<float>, cell int")
+
+
+def cell_index(vectors: DataFrame, k: int = NEIGHBOURS, least: float = RECALL, sample: int = SAMPLE_VECTORS) -> CellIndex:
+    """Fit centres on at most about ``sample`` vectors of each model, index every vector, and tune ``probes``.
+
+    The probes are the fewest (doubling) at which a bounded sample of queries finds at least ``least``
+    of what brute force finds.
+    """
+    vectors = vectors.filter(F.col("vector").isNotNull())
+    sizes = {r["model"]: r["n"] for r in vectors.groupBy("model").agg(F.count("*").alias("n")).collect()}  # a row per model
+    share = F.element_at(F.create_map(*[F.lit(x) for m, n in sizes.items() for x in (m, min(1.0, sample / n))]), F.col("model")) if sizes else F.lit(0.0)
+    place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
+    picked = vectors.filter(place < share).select("id", "model", "vector").toPandas()  # bounded by ``sample`` a model
+    centres = {m: _centres(_unit(part.sort_values("id")["vector"]), min(CELLS, max(1, round(sizes[m] ** 0.5)))) for m, part in picked.groupby("model")}
+    index = CellIndex(cut(_dealt(vectors, centres, 1)), centres, 1)
+    most = max((len(c) for c in centres.values()), default=1)
+    asked = cut(vectors.filter(place < share * F.lit(min(1.0, QUERIES / max(1, sample)))))
+    truth = cut(nearest_of_all(vectors, k, queries=asked))
+    wanted, probes = truth.count(), 1
+    while probes < most:
+        hit = truth.join(index.search(asked, k, probes=probes), ["left", "right"], "left_semi").count()
+        if hit >= least * wanted:
+            break
+        probes *= 2
+    return replace(index, probes=min(probes, most))
+
+
+def _centres(unit: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means; a cell that loses its vectors keeps its centre."""
+    rng = np.random.default_rng(5)
+    centres = unit[np.sort(rng.choice(len(unit), min(count, len(unit)), replace=False))]
+    for _ in range(rounds):
+        nearest = (unit @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, unit)
+        held = np.bincount(nearest, minlength=len(centres)) > 0
+        centres[held] = sums[held] / np.maximum(np.linalg.norm(sums[held], axis=1, keepdims=True), 1e-300)
+    return centres
+
+
 def topic_pairs(vectors: DataFrame, least: float = SIMILAR, k: int = NEIGHBOURS) -> DataFrame:
     """(src, dst, method, weight): similar pairs, as edges that topics accept. Each pair once."""
     near = nearest_of_all(vectors, k).filter("right > left").filter(F.col("distance") <= 1 - least)

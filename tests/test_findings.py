@@ -107,3 +107,22 @@ def test_periods():
         "this_year": (date(2024, 1, 1), day), "last_year": (date(2023, 1, 1), date(2023, 12, 31)), "last_12_months": (date(2023, 3, 1), day),
     }
     assert {p: questions.window_of(p, day) for p in want} == want
+
+
+def test_cells_find_what_brute_force_finds(spark):
+    """Clustered vectors of two models: few probes are enough, and every vector is in the index."""
+    import numpy as np
+
+    from mailweave.plans import semantic
+
+    rng = np.random.default_rng(1)
+    middle = rng.normal(size=(12, 16))
+    rows = [(i, f"m{i % 2}", (middle[i % 12] + 0.15 * rng.normal(size=16)).tolist()) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "id long, model string, vector array<float>").repartition(3)
+    index = semantic.cell_index(vectors, sample=200)
+    assert index.rows.count() == 600 and index.probes < 16
+    asked = vectors.filter("id % 20 = 0")
+    truth = {(r["left"], r["right"]) for r in semantic.nearest_of_all(vectors, 5, queries=asked).collect()}
+    found = {(r["left"], r["right"]) for r in index.search(asked, 5).collect()}
+    assert len(truth & found) >= 0.9 * len(truth) and len(truth) == 150
+    assert semantic.cell_index(vectors.limit(0)).search(asked, 5).count() == 0
