@@ -11,6 +11,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailweave.functions.files import resolve_families
 from mailweave.plans.listing import Filters
 
 # Words of a mention that identify nobody, and the bounds of a match and of a day.
@@ -32,6 +33,7 @@ class Intent:
     after: str = ""
     before: str = ""
     has_attachments: bool | None = None
+    file_mentions: tuple[str, ...] = ()
     newest: bool = False
 
 
@@ -95,8 +97,23 @@ def valid_day(value: str, today: date) -> date | None:
     return day if EARLIEST <= day <= today + timedelta(days=1) else None
 
 
-def resolve(intent: Intent, directory: DataFrame, accounts: dict[str, str], today: date) -> Resolved:
-    """Nothing is invented: what matches nothing goes back into the text and is named."""
+def resolve_account(accounts: dict[str, str], mention: str) -> str | None:
+    """The one account (value: label) that a mention matches best, scored as addresses are; none if several do."""
+    words = tokens(mention)
+    scores = {}
+    for value, label in accounts.items():
+        text = folded(f"{value} {label}")
+        whole = set(re.findall(r"[^\W_]+", text))
+        scores[value] = sum(2 if w in whole else int(w in text) for w in words)
+    best = [v for v, n in scores.items() if n and n == max(scores.values())]
+    return best[0] if len(best) == 1 else None
+
+
+def resolve(intent: Intent, directory: DataFrame, accounts: dict[str, str], today: date, offered: list[str] | None = None) -> Resolved:
+    """Nothing is invented: what matches nothing goes back into the text and is named.
+
+    ``offered``: the file families that the archive holds (``listing.facet_families``).
+    """
     notes, unresolved = [], []
     people: dict[str, list[str]] = {}
     for side, mentions in (("from", intent.from_mentions), ("to", intent.to_mentions)):
@@ -108,10 +125,11 @@ def resolve(intent: Intent, directory: DataFrame, accounts: dict[str, str], toda
                 unresolved.append(m)
     account = None
     if intent.account_mention:
-        hits = [k for k, name in accounts.items() if all(w in folded(name) for w in tokens(intent.account_mention))]
-        account = hits[0] if len(hits) == 1 else None
+        account = resolve_account(accounts, intent.account_mention)
         if account is None:
             unresolved.append(intent.account_mention)
+    families, words = resolve_families(list(intent.file_mentions), offered or [])
+    unresolved += words
     start, end = "", ""
     if intent.period:
         a, b = window_of(intent.period, today)
@@ -126,12 +144,15 @@ def resolve(intent: Intent, directory: DataFrame, accounts: dict[str, str], toda
             else:
                 end = day.isoformat()
     text = " ".join([intent.text, *unresolved]).strip()
-    structural = bool(people["from"] or people["to"] or account or start or end or intent.has_attachments is not None)
+    structural = bool(people["from"] or people["to"] or account or start or end or families or intent.has_attachments is not None)
     if intent.newest and structural and text:
         notes.append(f"newest first, so these words were left out: {text}")
         text = ""
     return Resolved(
-        Filters(text=text, senders=people["from"], recipients=people["to"], account=account, sent_from=start or None, sent_until=end or None, has_attachments=intent.has_attachments),
+        Filters(
+            text=text, senders=people["from"], recipients=people["to"], account=account, sent_from=start or None, sent_until=end or None,
+            has_attachments=intent.has_attachments, families=families,
+        ),
         tuple(unresolved),
         tuple(notes),
     )

@@ -233,7 +233,7 @@ def file_filter(a: Archive) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 _POSTINGS = r"""t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),

@@ -126,3 +126,21 @@ def test_cells_find_what_brute_force_finds(spark):
     found = {(r["left"], r["right"]) for r in index.search(asked, 5).collect()}
     assert len(truth & found) >= 0.9 * len(truth) and len(truth) == 150
     assert semantic.cell_index(vectors.limit(0)).search(asked, 5).count() == 0
+
+
+def test_accounts_and_files_of_a_question(spark):
+    from datetime import date
+
+    accounts = {"ann@x.org": "Gmail privat", "ann@work.example": "Office", "info@work.example": "Office desk"}
+    assert questions.resolve_account(accounts, "my Gmail") == "ann@x.org"
+    assert questions.resolve_account(accounts, "office") is None  # two match alike
+    assert questions.resolve_account(accounts, "desk office") == "info@work.example"
+    people = spark.createDataFrame([("bob@x.org", "Bob")], "id string, name string")
+    read = {"text": "plan", "file_mentions": ["Tabellen", "Hologramm"], "account_mention": "gmail"}
+    intent = questions.Intent(text="plan", file_mentions=("Tabellen", "Hologramm"), account_mention="gmail")
+    got = questions.resolve(intent, people, accounts, date(2024, 5, 1), ["spreadsheet", "pdf"])
+    assert got.filters.families == ["spreadsheet"] and got.filters.account == "ann@x.org" and got.filters.text == "plan Hologramm"
+    none = questions.interpret("?", lambda q: read, people, accounts, date(2024, 5, 1))
+    assert none.unresolved == ("Tabellen", "Hologramm") and none.filters.families == []
+    with pytest.raises(TypeError):
+        questions.interpret("?", lambda q: {"unheard": 1}, people, accounts, date(2024, 5, 1))
