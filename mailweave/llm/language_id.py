@@ -135,8 +135,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def subword_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and how often each occurs."""
-    return np.unique(buckets_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0], return_counts=True)
+    """Distinct buckets of a text in order, and how often each occurs."""
+    bucket, n = np.unique(buckets_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0], return_counts=True)
+    return bucket.astype(np.uint16), n.astype(np.float32)
+
+
+def packed_counts(counts: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """The counts of a text in a byte or two for each bucket: gaps between buckets, and numbers, deflated."""
+    bucket, n = counts
+    return zlib.compress(np.diff(bucket, prepend=np.uint16(0)).astype("<u2").tobytes() + n.astype("<u4").tobytes())
+
+
+def unpacked_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    size = len(raw) // 6
+    return np.cumsum(np.frombuffer(raw, "<u2", size), dtype=np.uint16), np.frombuffer(raw, "<u4", size, 2 * size).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> LanguageModel:
@@ -204,18 +217,15 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPL
 
 def _count_subwords(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts(batches):
-        found = [subword_counts(t) for t in encoded(part["text"])]
-        yield pd.DataFrame({"lang": part["lang"].array, "buckets": [b.astype(np.int32) for b, _ in found], "times": [n.astype(np.int32) for _, n in found]})
+        yield pd.DataFrame({"lang": part["lang"].array, "counts": [packed_counts(subword_counts(t)) for t in encoded(part["text"])]})
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> LanguageModel:
     """Train on the bounded sample of :func:`training_sample`."""
-    sample = training_sample(docs, rows, total).mapInPandas(_count_subwords, "lang string, buckets array<int>, times array<int>").toPandas()
-    features = [(np.asarray(b, np.int32), np.asarray(n, np.int64)) for b, n in zip(sample["buckets"], sample["times"], strict=True)]
+    sample = training_sample(docs, rows, total).mapInPandas(_count_subwords, "lang string, counts binary").toPandas()
     # an order that doesn't depend on how the rows were dealt
-    keys = [(x, zlib.crc32(b.tobytes()), zlib.crc32(n.tobytes())) for x, (b, n) in zip(sample["lang"], features, strict=True)]
-    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)[np.random.default_rng(3).permutation(len(keys))]
-    return train([features[i] for i in order], [sample["lang"][i] for i in order])
+    sample = sample.sort_values(["lang", "counts"]).iloc[np.random.default_rng(3).permutation(len(sample))]
+    return train([unpacked_counts(x) for x in sample["counts"]], sample["lang"].tolist())
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:

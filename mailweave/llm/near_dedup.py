@@ -375,10 +375,10 @@ def _exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule:
     if not sets.filter(wide).limit(1).count():
         return materialize(narrow)
     broad = sets.filter(wide).withColumn("n_blocks", n_blocks).withColumn("block", block)
-    # Of each block's first document by hash, the first PIVOTS of the cluster join all of its blocks.
+    # The first document by hash of each of a cluster's first blocks joins all of its blocks.
     place = F.struct(F.xxhash64("cid", F.lit(9)).alias("h"), "cid")
-    first = broad.groupBy("cluster", "block").agg(F.min(place).alias("p")).groupBy("cluster").agg(F.slice(F.array_sort(F.collect_list("p")), 1, PIVOTS).alias("p"))
-    pivots = broad.join(first.select(F.explode("p.cid").alias("cid")), "cid", "left_semi")
+    first = broad.filter(F.col("block") < PIVOTS).groupBy("cluster", "block").agg(F.min(place).alias("p")).select("p.cid")
+    pivots = broad.join(first, "cid", "left_semi")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
     inside = (
         broad.select("cluster", "block", "cid", "items").unionByName(pivots.withColumn("block", every).select("cluster", "block", "cid", "items"))

@@ -197,3 +197,11 @@ def test_kneser_ney_sums_to_one(spark):
     all_next = spark.createDataFrame([((context << quality_model.BITS) | int(c),) for c in codes], "gram long")
     total = sum(r["p"] for r in model.probabilities(all_next).collect())
     assert total == pytest.approx(1, abs=1e-3)
+
+
+@given(st.binary(max_size=400))
+@settings(max_examples=50, deadline=None)
+def test_packed_subword_counts(text):
+    counts = language_id.subword_counts(text)
+    again = language_id.unpacked_counts(language_id.packed_counts(counts))
+    assert all((a == b).all() for a, b in zip(counts, again, strict=True))
