@@ -11,9 +11,9 @@ both layers is a table (bucket, language); for more the tasks take both layers,
 stays small with any number of languages. Prediction reads whole texts.
 
 Rejection is calibrated on rows that the training did not see: a temperature that maximises
-their likelihood, and the confidence that only ``REJECT_SHARE`` of them stay under, but never more
-than ``SURE``: a text with a language that is likelier than all others together stays. Texts
-without letters are rejected always.
+their likelihood, and a confidence half-way between chance and what only ``REJECT_SHARE`` of them
+stay under, or ``SURE`` if that is less: on texts of known languages a low confidence alone is no
+ground to drop them. Texts without letters are rejected always.
 
 Defined results: null, empty and letterless texts get ``und`` with score 0 and are rejected;
 null lang is never learned from; repeated rows are predicted each; without any labelled row
@@ -40,7 +40,7 @@ BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (2, 3, 4)
 EPOCHS, RATE, BATCH = 12, 4.0, 32
 #: Share of unseen labelled rows that calibrated rejection may turn away.
 REJECT_SHARE = 0.001
-#: Confidence that is never rejected.
+#: Confidence above which the quantile of the unseen rows no longer counts.
 SURE = 0.5
 UNKNOWN = "und"
 #: Languages whose counts are broadcast at most.
@@ -191,7 +191,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
         loss = [-(target * np.log(softmax(logits / t) + 1e-12)).sum(1).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         confidence = softmax(logits / model.temperature).max(1)
-        model.reject_below = float(min(np.quantile(confidence, REJECT_SHARE), SURE))
+        chance = 1 / max(1, len(languages))
+        model.reject_below = float(chance + max(0.0, min(np.quantile(confidence, REJECT_SHARE), SURE) - chance) / 2)
     return model.folded()
 
 
