@@ -9,6 +9,7 @@ from mailweave.llm.common import documents
 from mailweave.llm.exact_dedup import exact_groups
 from mailweave.llm.language_id import identify
 from mailweave.llm.license_scan import scan_licenses
+from mailweave.llm.merkle_manifest import build_manifest, folded, proof_digest
 from mailweave.llm.mixing import mix_sources
 from mailweave.llm.near_dedup import near_components
 from mailweave.llm.packing import pack
@@ -81,6 +82,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    cut = F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    made = build_manifest(documents(spark, sf_dir), {"text": cut})
+    made = made.withColumns({"proof_sha256": proof_digest(F.col("path")), "folded_root": folded(F.col("leaf_now"), F.col("path"))})
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -164,6 +173,54 @@ FROM r JOIN v USING (rid)
 """
 
 
+#: CRC-32 of the bytes ``bs`` (a list of numbers) by its table, which DuckDB builds from the polynomial.
+_CRC_TABLE = "[list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR n IN range(256)]"
+
+
+def _crc(bs: str, table: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bs}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_OP13 = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+         [CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END FOR v IN [doc_id::VARCHAR, source, lang, n_chars::VARCHAR]].array_to_string('') AS head,
+         text, {_crc("[ord(x) FOR x IN string_split(doc_id::VARCHAR, '')]", "crc.t")} % 2 = 0 AS chosen
+  FROM documents, crc),
+l AS MATERIALIZED (
+  SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN chosen THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS other
+  FROM d),
+r AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+up(level, source, i, n, h) AS (
+  SELECT 0, source, i, n, leaf FROM r
+  UNION ALL SELECT level + 1, source, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY level, source, i // 3),
+s AS MATERIALIZED (SELECT source, level, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+over_all(level, i, n, h) AS (
+  SELECT 0, i, n, h FROM s
+  UNION ALL SELECT level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM over_all WHERE n > 1 GROUP BY level, i // 3),
+steps AS MATERIALIZED (
+  SELECT r.rid, u.level AS step, string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < r.i // pow(3, u.level)::BIGINT) AS lefts,
+         string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > r.i // pow(3, u.level)::BIGINT) AS rights
+  FROM r JOIN up u ON u.source IS NOT DISTINCT FROM r.source AND u.n > 1 AND u.i // 3 = r.i // pow(3, u.level + 1)::BIGINT
+  GROUP BY ALL
+  UNION ALL
+  SELECT r.rid, s.level + o.level, string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < s.i // pow(3, o.level)::BIGINT),
+         string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > s.i // pow(3, o.level)::BIGINT)
+  FROM r JOIN s ON s.source IS NOT DISTINCT FROM r.source JOIN over_all o ON o.n > 1 AND o.i // 3 = s.i // pow(3, o.level + 1)::BIGINT
+  GROUP BY ALL),
+folds(rid, step, h) AS (
+  SELECT rid, 0, coalesce(other, leaf) FROM r
+  UNION ALL SELECT f.rid, f.step + 1, sha256(coalesce(lefts, '') || f.h || coalesce(rights, '')) FROM folds f JOIN steps USING (rid, step)),
+ends AS (SELECT rid, arg_max(h, step) AS h FROM folds GROUP BY rid),
+proofs AS (SELECT rid, string_agg(coalesce(lefts, '') || coalesce(rights, ''), '' ORDER BY step) AS p FROM steps GROUP BY rid)
+SELECT r.doc_id, leaf, s.h AS subroot, o.h AS root, sha256(coalesce(p, '')) AS proof_sha256, e.h AS folded_root, e.h = o.h AS verified
+FROM r JOIN s ON s.source IS NOT DISTINCT FROM r.source JOIN over_all o ON o.n = 1 JOIN ends e ON e.rid = r.rid LEFT JOIN proofs p ON p.rid = r.rid
+"""
+
+
 def queries() -> dict:
     return {
         "op1_quality_model": op1_quality_model,
@@ -176,9 +233,10 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_source_mix": op9_source_mix,
         "op10_near_dedup": op10_near_dedup,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": _OP6, "op7_quality_rules": _op7()}
+    return {"op6_exact_dedup": _OP6, "op7_quality_rules": _op7(), "op13_merkle_manifest": _OP13}
