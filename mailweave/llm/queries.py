@@ -16,6 +16,7 @@ from mailweave.llm.packing import pack
 from mailweave.llm.quality_model import score_quality
 from mailweave.llm.quality_rules import MIN_ROWS, RATIOS, REACH, apply_rules
 from mailweave.llm.secret_scan import scan_secrets
+from mailweave.llm.sharding import NEAR, ROW_BYTES, SHARDS, shard_by_bytes
 from mailweave.llm.substring_dedup import remove_repeats
 
 
@@ -82,6 +83,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op12_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_by_bytes(documents(spark, sf_dir), carry=["doc_id"])
+    return placed.select(
+        "doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").alias("shard"),
+        F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     cut = F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -181,6 +190,30 @@ def _crc(bs: str, table: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bs}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+#: Numbers of a text's UTF-8 bytes, from its hexadecimal form.
+_UTF8 = "[instr('0123456789ABCDEF', h[1]) * 16 + instr('0123456789ABCDEF', h[2]) - 17 FOR h IN regexp_extract_all(hex(encode(t)), '..')]"
+
+_OP12 = rf"""
+WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + {ROW_BYTES} AS size,
+         ('0x' || left(md5(coalesce(text, '')), 15))::BIGINT AS k1, ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 15))::BIGINT AS k2 FROM documents),
+c AS MATERIALIZED (SELECT *, (sum(size) OVER (ORDER BY k1, k2, rid ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM d),
+a AS MATERIALIZED (SELECT max(upto) AS total, max(size) AS largest FROM c),
+b AS (SELECT 0 AS pos, true AS whole UNION ALL SELECT upto, lead(k1) OVER (ORDER BY upto) IS DISTINCT FROM k1 FROM c),
+n AS (
+  SELECT i, total, largest, arg_min(pos, (abs(pos * {SHARDS} - i * total), pos)) AS row_at,
+         arg_min(pos, (abs(pos * {SHARDS} - i * total), pos)) FILTER (whole) AS group_at
+  FROM b, a, range(1, {SHARDS}) AS x(i) GROUP BY ALL),
+s AS (
+  SELECT i, max(CASE WHEN {2 * NEAR} * abs(group_at * {SHARDS} - i * total) <= greatest({NEAR * SHARDS} * largest, total) THEN group_at ELSE row_at END)
+              OVER (ORDER BY i) AS pos FROM n),
+p AS (SELECT c.*, (SELECT count(*) FROM s WHERE s.pos <= c.upto - c.size)::INTEGER AS shard FROM c)
+SELECT doc_id, size, {_crc(_UTF8.replace("(t)", "(p.t)"), "crc.t")} AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY k1, k2, rid) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM p, crc
+"""
+
 _OP13 = rf"""
 WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
 d AS MATERIALIZED (
@@ -233,10 +266,11 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_source_mix": op9_source_mix,
         "op10_near_dedup": op10_near_dedup,
+        "op12_histogram_sort": op12_histogram_sort,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": _OP6, "op7_quality_rules": _op7(), "op13_merkle_manifest": _OP13}
+    return {"op6_exact_dedup": _OP6, "op7_quality_rules": _op7(), "op12_histogram_sort": _OP12, "op13_merkle_manifest": _OP13}
