@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailweave.llm.common import documents
 from mailweave.llm.exact_dedup import exact_groups
+from mailweave.llm.hard_negatives import mine_negatives
 from mailweave.llm.language_id import identify
 from mailweave.llm.license_scan import scan_licenses
 from mailweave.llm.merkle_manifest import build_manifest, folded, proof_digest
@@ -83,6 +84,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(documents(spark, sf_dir), carry=["doc_id"])
     return placed.select(
@@ -190,6 +196,21 @@ def _crc(bs: str, table: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bs}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+_OP11 = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, b.rid, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.arid, p.rid ORDER BY s.score DESC, s.other)::INTEGER AS rank,
+       s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.arid = p.arid AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
 #: Numbers of a text's UTF-8 bytes, from its hexadecimal form.
 _UTF8 = "[instr('0123456789ABCDEF', h[1]) * 16 + instr('0123456789ABCDEF', h[2]) - 17 FOR h IN regexp_extract_all(hex(encode(t)), '..')]"
 
@@ -266,6 +287,7 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_source_mix": op9_source_mix,
         "op10_near_dedup": op10_near_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_histogram_sort": op12_histogram_sort,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
@@ -273,4 +295,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": _OP6, "op7_quality_rules": _op7(), "op12_histogram_sort": _OP12, "op13_merkle_manifest": _OP13}
+    return {"op6_exact_dedup": _OP6, "op7_quality_rules": _op7(), "op11_hard_negatives": _OP11, "op12_histogram_sort": _OP12, "op13_merkle_manifest": _OP13}
