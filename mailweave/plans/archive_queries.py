@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from mailweave.functions import text
 from mailweave.operators import algebra
-from mailweave.plans import derived, listing, reports, semantic, tags
+from mailweave.plans import derived, listing, neighbours, reports, semantic, tags
 from mailweave.plans.listing import Filters
 from mailweave.plans.registry import _POSTINGS, query
+from mailweave.session import cut
 from mailweave.tables import Archive, driver_archive, load
 
 # --- algebra -------------------------------------------------------------------------------
@@ -302,11 +303,37 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.search("semantic", "words", vectors, vectors, first["model"], lambda texts: [first["vector"]], 10).withColumn("score", F.round("score", 4))
 
 
-@query("""SELECT least(l, r) AS src, greatest(l, r) AS dst, round(1 - d, 6) AS weight FROM (
-SELECT l.vec_id AS l, r.vec_id AS r, round(1 - list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 9) AS d
-FROM embeddings l JOIN embeddings r ON l.label = r.label AND l.vec_id <> r.vec_id QUALIFY row_number() OVER (PARTITION BY l.vec_id ORDER BY d, r.vec_id) <= 5) WHERE d <= 0.18 AND r > l""", archive=False)
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector of each document that SQL can make too: its words by first and last letter and length, in 64 places."""
+    words = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
+    place = F.pmod(F.ascii("w") * 7 + F.ascii(F.right("w", F.lit(1))) * 3 + F.length("w"), F.lit(64))
+    held = words.groupBy("id", place.alias("place")).agg(F.count("*").alias("n")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("held"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0)).cast("float"))
+    return held.select("id", F.lit("letters").alias("model"), every.alias("vector"))
+
+
+_LETTERS = """w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
+c AS (SELECT id, (ascii(w) * 7 + ascii(right(w, 1)) * 3 + length(w)) % 64 AS place, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT id, list_transform(range(64), lambda k: coalesce(map_from_entries(list((place, n)))[k], 0)::DOUBLE) AS v FROM c GROUP BY id)"""
+
+
+@query(f"""WITH {_LETTERS} SELECT l AS src, r AS dst, round(1 - d, 6) AS weight FROM (
+SELECT l.id AS l, r.id AS r, round(1 - list_cosine_similarity(l.v, r.v), 9) AS d FROM v l JOIN v r ON l.id <> r.id
+QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY d, r.id) <= 5) WHERE d <= 0.02 AND r > l""", archive=False)
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.topic_pairs(driver_archive(spark, sf_dir).vectors).select("src", "dst", "weight")
+    """Documents of nearly the same words, each against all others."""
+    found = neighbours.topic_pairs(cut(_letters(spark, sf_dir)), 0.98, small=1 << 62)
+    return found.select("src", "dst", "weight")
+
+
+@query("SELECT true AS enough", archive=False)
+def neighbour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the neighbour graph of all documents holds 0.95 of the five nearest of every id divisible by 100."""
+    vectors = cut(_letters(spark, sf_dir))
+    made = neighbours.neighbour_graph(vectors, 5, small=256)
+    truth = semantic.nearest_of_all(vectors, 5, queries=vectors.filter("id % 100 = 0"))
+    found = made.pairs.select("left", "right", F.lit(1).alias("hit"))
+    return truth.join(found, ["left", "right"], "left").agg((F.count("hit") >= F.count("*") * F.lit(0.95)).alias("enough"))
 
 
 @query("""SELECT id, score FROM (SELECT doc_id AS id, 1 AS score FROM documents) WHERE id < 0""", archive=False)
@@ -321,7 +348,7 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether searches by cells from every id divisible by 100 find nine tenths of what brute force finds."""
     vectors = driver_archive(spark, sf_dir).vectors
     asked = vectors.filter("id % 100 = 0")
-    index = semantic.cell_index(vectors)
+    index = semantic.cell_index(vectors, 10)
     truth = semantic.nearest_of_all(vectors, 10, queries=asked)
     found = index.search(asked, 10).select("left", "right", F.lit(1).alias("hit"))
     return truth.join(found, ["left", "right"], "left").agg((F.count("hit") >= F.count("*") * F.lit(0.9)).alias("enough"))

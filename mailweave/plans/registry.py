@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mailweave.functions import text
 from mailweave.operators import algebra, graph
-from mailweave.plans import derived, explorer, listing, reports, semantic, tags
+from mailweave.plans import derived, explorer, listing, neighbours, reports, semantic, tags
 from mailweave.plans.listing import Filters
 from mailweave.sources import mail
 from mailweave.session import spread
@@ -472,7 +472,7 @@ def betweenness(a: Archive) -> DataFrame:
 def _similar(a: Archive) -> DataFrame:
     """Pairs of messages with similar vectors."""
     known = lambda c: a.messages.select(F.col("id").alias(c))
-    return semantic.topic_pairs(a.vectors).join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi")
+    return neighbours.topic_pairs(a.vectors).join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi")
 
 
 def _topics(a: Archive) -> tuple[DataFrame, DataFrame]:

@@ -18,8 +18,8 @@ from mailweave.session import cut
 SIMILAR, NEIGHBOURS, BATCH = 0.82, 5, 32
 #: Rows of a block of the all-pairs search.
 BLOCK = 2048
-#: Vectors of a model that centres are fitted on at most, centres at most; queries that tune the probes; share that has to be found.
-SAMPLE_VECTORS, CELLS, QUERIES, RECALL = 20_000, 1024, 200, 0.95
+#: Vectors that centres are fitted on at most, of a model and in all; centres at most; queries that tune the probes; share that has to be found.
+SAMPLE_VECTORS, SAMPLE_TOTAL, CELLS, QUERIES, RECALL = 20_000, 200_000, 1024, 200, 0.95
 
 
 class SemanticError(RuntimeError):
@@ -91,16 +91,19 @@ def _unit(vectors) -> np.ndarray:
 class CellIndex:
     """Vectors by the nearest of their model's centres: the search for models too large for all pairs.
 
-    Every vector is indexed; only the centres are fitted on a sample. ``probes`` is how many cells a
-    query looks into.
+    Every vector is indexed; only the centres are fitted on a sample. ``probes`` is how many cells of
+    each model a query looks into, tuned for ``k`` neighbours at most.
     """
 
     rows: DataFrame  # id, model, vector, cell
     centres: dict[str, np.ndarray]
-    probes: int
+    probes: dict[str, int]
+    k: int
 
-    def search(self, queries: DataFrame, k: int = NEIGHBOURS, own: bool = False, probes: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = NEIGHBOURS, own: bool = False, probes: dict[str, int] | None = None) -> DataFrame:
         """(left, right, distance): about the ``k`` nearest of each query (id, model, vector) within its model."""
+        if k > self.k:
+            raise ValueError(f"the probes are tuned for {self.k} neighbours, not for {k}")
         asked = _dealt(queries, self.centres, probes or self.probes)
         # a cell of any size is compared in blocks, and its queries go to each
         sizes = self.rows.groupBy("model", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -111,8 +114,8 @@ class CellIndex:
         return _best(sides, ["model", "cell", "block"], k, self.rows.schema["id"].dataType.simpleString(), own)
 
 
-def _dealt(rows: DataFrame, centres: dict[str, np.ndarray], count: int) -> DataFrame:
-    """Each vector with its ``count`` nearest cells, a row for each."""
+def _dealt(rows: DataFrame, centres: dict[str, np.ndarray], counts: dict[str, int]) -> DataFrame:
+    """Each vector with as many nearest cells as ``counts`` has for its model (else one), a row for each."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)  # at most CELLS centres of each model
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -122,36 +125,66 @@ def _dealt(rows: DataFrame, centres: dict[str, np.ndarray], count: int) -> DataF
                 near = shared.value.get(model)
                 if near is None:
                     continue
-                cells = np.argsort(-_unit(part["vector"]) @ near.T, axis=1, kind="stable")[:, :count]
+                cells = np.argsort(-_unit(part["vector"]) @ near.T, axis=1, kind="stable")[:, : counts.get(model, 1)]
                 at = np.repeat(np.arange(len(part)), cells.shape[1])
                 yield pd.DataFrame({"id": part["id"].to_numpy()[at], "model": model, "vector": part["vector"].to_numpy()[at], "cell": cells.reshape(-1).astype(np.int32)})
 
     return rows.filter(F.col("vector").isNotNull()).select("id", "model", "vector").mapInPandas(scan, f"id {kind}, model string, vector array<float>, cell int")
 
 
-def cell_index(vectors: DataFrame, k: int = NEIGHBOURS, least: float = RECALL, sample: int = SAMPLE_VECTORS) -> CellIndex:
-    """Fit centres on at most about ``sample`` vectors of each model, index every vector, and tune ``probes``.
+def model_sizes(vectors: DataFrame) -> dict[str, int]:
+    return {r["model"]: r["n"] for r in vectors.groupBy("model").agg(F.count("*").alias("n")).collect()}  # a row per model
 
-    The probes are the fewest (doubling) at which a bounded sample of queries finds at least ``least``
-    of what brute force finds.
+
+def sampled(vectors: DataFrame, sizes: dict[str, int], count: int, salt: int) -> DataFrame:
+    """About ``count`` vectors of each model, or all of a smaller one, chosen by their ids."""
+    if not sizes:
+        return vectors.limit(0)
+    share = F.element_at(F.create_map(*[F.lit(x) for m, n in sizes.items() for x in (m, min(1.0, count / n))]), F.col("model"))
+    return vectors.filter(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) / 1_000_000 < share)
+
+
+def fitted_centres(vectors: DataFrame, sizes: dict[str, int], sample: int, most: int = SAMPLE_TOTAL, small: int = 0) -> dict[str, np.ndarray]:
+    """Centres of each model, from about ``sample`` of its vectors and ``most`` of all models together at most.
+
+    A model of at most ``small`` vectors gets one centre.
+    """
+    each = max(1, min(sample, most // max(1, len(sizes))))
+    picked = sampled(vectors, sizes, each, 3).select("id", "model", "vector").toPandas()  # bounded by ``most``
+    count = {m: 1 if n <= small else min(CELLS, max(1, round(n**0.5))) for m, n in sizes.items()}
+    return {m: _centres(_unit(part.sort_values("id")["vector"]), count[m]) for m, part in picked.groupby("model")}
+
+
+def recall_by_model(truth: DataFrame, found: DataFrame, queries: DataFrame) -> dict[str, float]:
+    """Share of ``truth`` (left, right, distance) that ``found`` holds, by the model of the query (id, model)."""
+    hit = truth.join(found.select("left", "right", F.lit(1).alias("hit")), ["left", "right"], "left")
+    rows = hit.join(queries.select(F.col("id").alias("left"), "model"), "left").groupBy("model").agg((F.count("hit") / F.count("*")).alias("share"))
+    return {r["model"]: r["share"] for r in rows.collect()}
+
+
+def cell_index(vectors: DataFrame, k: int = NEIGHBOURS, least: float = RECALL, sample: int = SAMPLE_VECTORS, small: int = BLOCK) -> CellIndex:
+    """Fit centres on at most about ``sample`` vectors of each model, index every vector, and tune the probes.
+
+    The probes of a model are the fewest (doubling) at which a bounded sample of queries finds at
+    least ``least`` of what brute force finds for ``k`` neighbours, in a second sample too that the
+    tuning didn't use. A model of at most ``small`` vectors is one cell, so its search is exact.
     """
     vectors = vectors.filter(F.col("vector").isNotNull())
-    sizes = {r["model"]: r["n"] for r in vectors.groupBy("model").agg(F.count("*").alias("n")).collect()}  # a row per model
-    share = F.element_at(F.create_map(*[F.lit(x) for m, n in sizes.items() for x in (m, min(1.0, sample / n))]), F.col("model")) if sizes else F.lit(0.0)
-    place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
-    picked = vectors.filter(place < share).select("id", "model", "vector").toPandas()  # bounded by ``sample`` a model
-    centres = {m: _centres(_unit(part.sort_values("id")["vector"]), min(CELLS, max(1, round(sizes[m] ** 0.5)))) for m, part in picked.groupby("model")}
-    index = CellIndex(cut(_dealt(vectors, centres, 1)), centres, 1)
-    most = max((len(c) for c in centres.values()), default=1)
-    asked = cut(vectors.filter(place < share * F.lit(min(1.0, QUERIES / max(1, sample)))))
-    truth = cut(nearest_of_all(vectors, k, queries=asked))
-    wanted, probes = truth.count(), 1
-    while probes < most:
-        hit = truth.join(index.search(asked, k, probes=probes), ["left", "right"], "left_semi").count()
-        if hit >= least * wanted:
+    sizes = model_sizes(vectors)
+    centres = fitted_centres(vectors, sizes, sample, small=small)
+    index = CellIndex(cut(_dealt(vectors, centres, {})), centres, {m: 1 for m in centres}, k)
+    tuned = {m: n for m, n in sizes.items() if m in centres and len(centres[m]) > 1}
+    for salt in (5, 7):
+        if not tuned:
             break
-        probes *= 2
-    return replace(index, probes=min(probes, most))
+        asked = cut(sampled(vectors.filter(F.col("model").isin(list(tuned))), tuned, QUERIES, salt))
+        truth = cut(nearest_of_all(vectors.filter(F.col("model").isin(list(tuned))), k, queries=asked))
+        open_ = set(tuned)
+        while open_:
+            found = recall_by_model(truth, index.search(asked, k), asked)
+            open_ = {m for m in open_ if found.get(m, 1.0) < least and index.probes[m] < len(centres[m])}
+            index = replace(index, probes={m: min(len(centres[m]), 2 * p) if m in open_ else p for m, p in index.probes.items()})
+    return index
 
 
 def _centres(unit: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
@@ -167,12 +200,6 @@ def _centres(unit: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def topic_pairs(vectors: DataFrame, least: float = SIMILAR, k: int = NEIGHBOURS) -> DataFrame:
-    """(src, dst, method, weight): similar pairs, as edges that topics accept. Each pair once."""
-    near = nearest_of_all(vectors, k).filter("right > left").filter(F.col("distance") <= 1 - least)
-    return near.select(F.col("left").alias("src"), F.col("right").alias("dst"), F.lit("embedding").alias("method"), F.round(1 - F.col("distance"), 6).alias("weight"))
-
-
 def coverage(messages: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     """Messages, those with a vector of the model, with one of another, and with nothing to embed."""
     best = vectors.groupBy("id").agg(F.max((F.col("model") == model).cast("int")).alias("own"))
