@@ -119,8 +119,8 @@ def test_cells_find_what_brute_force_finds(spark):
     middle = rng.normal(size=(12, 16))
     rows = [(i, f"m{i % 2}", (middle[i % 12] + 0.15 * rng.normal(size=16)).tolist()) for i in range(600)]
     vectors = spark.createDataFrame(rows, "id long, model string, vector array<float>").repartition(3)
-    index = semantic.cell_index(vectors, sample=200)
-    assert index.rows.count() == 600 and index.probes < 16
+    index = semantic.cell_index(vectors, sample=200, small=50)
+    assert index.rows.count() == 600 and max(index.probes.values()) < 16
     asked = vectors.filter("id % 20 = 0")
     truth = {(r["left"], r["right"]) for r in semantic.nearest_of_all(vectors, 5, queries=asked).collect()}
     found = {(r["left"], r["right"]) for r in index.search(asked, 5).collect()}
@@ -128,6 +128,47 @@ def test_cells_find_what_brute_force_finds(spark):
     assert semantic.cell_index(vectors.limit(0)).search(asked, 5).count() == 0
 
 
+def test_cells_of_vectors_without_clusters(spark):
+    """Where nothing is near anything, probes go up until enough is found, for each model and the k that was asked for."""
+    import numpy as np
+
+    from mailweave.plans import semantic
+
+    rng = np.random.default_rng(2)
+    rows = [(i, "wide" if i % 4 else "flat", (rng.normal(size=24) * ([1] * 24 if i % 4 else [1, 1] + [0.01] * 22)).tolist()) for i in range(800)]
+    vectors = spark.createDataFrame(rows, "id long, model string, vector array<float>").repartition(3)
+    index = semantic.cell_index(vectors, 10, small=50)
+    assert index.probes["flat"] < index.probes["wide"] <= len(index.centres["wide"])
+    asked = vectors.filter("id % 10 = 0")
+    truth = semantic.nearest_of_all(vectors, 10, queries=asked)
+    found = semantic.recall_by_model(truth, index.search(asked, 10), asked)
+    assert min(found.values()) >= 0.9
+    with pytest.raises(ValueError):
+        index.search(asked, 11)
+    whole = semantic.cell_index(vectors, 3)
+    assert semantic.recall_by_model(semantic.nearest_of_all(vectors, 3, queries=asked), whole.search(asked, 3), asked) == {"wide": 1.0, "flat": 1.0}
+
+
+def test_neighbour_graph_by_descent(spark):
+    """Clustered vectors are found with few comparisons; a model that can't be is compared whole; small ones always are."""
+    import numpy as np
+
+    from mailweave.plans import neighbours, semantic
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(160, 12))
+    rows = [(i, "near", (middle[i % 160] + 0.2 * rng.normal(size=12)).tolist()) for i in range(6400)]
+    rows += [(10_000 + i, "far", rng.normal(size=40).tolist()) for i in range(400)] + [(20_000 + i, "few", [float(i), 1.0]) for i in range(30)] + [(30_000, "few", None)]
+    vectors = spark.createDataFrame(rows, "id long, model string, vector array<float>").repartition(4)
+    made = neighbours.neighbour_graph(vectors, 5, small=100)
+    assert made.whole == ("far", "few") and made.recall["near"] >= 0.95 and made.share["near"] < 0.1
+    asked = vectors.filter("id % 50 = 0 AND vector is not null")
+    found = semantic.recall_by_model(semantic.nearest_of_all(vectors, 5, queries=asked), made.pairs, asked)
+    assert found["near"] >= 0.93 and found["far"] == found["few"] == 1.0
+    assert made.pairs.groupBy("left").count().filter("count != 5").count() == 0
+    assert neighbours.neighbour_graph(vectors.limit(0)).pairs.count() == 0
+
+
 def test_accounts_and_files_of_a_question(spark):
     from datetime import date
 
