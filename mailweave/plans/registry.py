@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from mailweave.functions import text
 from mailweave.operators import algebra, graph
 from mailweave.plans import derived, explorer, listing, neighbours, reports, semantic, tags
 from mailweave.plans.listing import Filters
+from mailweave.plans.postings import PostingsIndex
 from mailweave.sources import mail
-from mailweave.session import spread
+from mailweave.session import scratch_dir, spread
 from mailweave.tables import Archive, driver_archive, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,6 +252,17 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.full_text(listing.postings(_texts(spark, sf_dir)), "the for WITH", 50)
 
 
+@query(f"WITH {_POSTINGS} SELECT id, score FROM score WHERE k = 3 ORDER BY score DESC, id LIMIT 50", archive=False)
+def full_text_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index that was written in three batches, two of them merged."""
+    texts = _texts(spark, sf_dir)
+    index = PostingsIndex(spark, f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}")
+    for k in range(3):
+        index.add(texts.filter(F.pmod(F.col("id"), F.lit(3)) == k), f"batch-{k}")
+    index.merge("merged", ["batch-0", "batch-1"])
+    return index.search("the for WITH", 50)
+
+
 @query(f"""WITH {_POSTINGS}, page AS (SELECT id, score FROM score WHERE k = 3 ORDER BY score DESC, id LIMIT 50)
 SELECT id, round(score / max(score) OVER (), 6) AS score FROM page""", archive=False)
 def full_text_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
