@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import email.parser
 import email.policy
 import email.utils
 import hashlib
@@ -150,6 +151,34 @@ def parsed_messages(raw: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.when(F.col("error").isNull(), canonical_id(mid, F.col("sent_at_raw"), F.col("sender"), F.col("subject"), F.col("body_text"))))
 
 
+_KEYED = "path string, content binary, message_id string, sent_at_raw string, sender string, subject string, body_text string, error string"
+
+
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in _KEYED.split(", ")]
+    for pdf in batches:
+        rows = []
+        for path, raw in zip(pdf["path"], pdf["content"], strict=True):
+            raw = bytes(raw) if raw is not None else b""
+            row = {"path": path, "content": raw}
+            try:
+                head = email.parser.BytesHeaderParser(policy=email.policy.default).parsebytes(raw)
+                own = _header(head, "Message-ID")
+                # only mail without an id of its own is read whole for its key
+                row |= _storable({"message_id": own} if own else {k: v for k, v in parse_message(raw).items() if k in names})
+            except Exception as e:  # the full parse will make a dead letter of it
+                row["error"] = type(e).__name__
+            rows.append(row)
+        yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+
+
+def keyed_mail(raw: DataFrame) -> DataFrame:
+    """(path, content, key) of raw messages: the canonical id, or the path of what has none; mostly from the headers alone."""
+    rows = raw.select("path", "content").mapInPandas(_keys, _KEYED)
+    own = canonical_id(normalise_message_id(F.col("message_id")), F.col("sent_at_raw"), F.col("sender"), F.col("subject"), F.col("body_text"))
+    return rows.select("path", "content", F.coalesce(F.when(F.col("error").isNull(), own), F.concat(F.lit("\n"), "path")).alias("key"))
+
+
 def dead_letters(parsed: DataFrame) -> DataFrame:
     return parsed.filter("error is not null").select("path", "error")
 

@@ -19,19 +19,20 @@ def eml_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) ->
     )
 
 
-def archive_batch(out: str):
-    """Sink of a micro-batch. Each table has one folder per batch, which a replay overwrites.
+def archive_batch(out: str, known: bool = False):
+    """Sink of a micro-batch, which returns its messages. Each table has one folder per batch, which a replay overwrites.
 
-    Messages whose id an earlier batch holds are left out, so at-least-once delivery archives once.
+    Messages whose id an earlier batch holds are left out, so at-least-once delivery archives once;
+    with ``known`` the stream has seen to that.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
+    def write(batch: DataFrame, number: int) -> DataFrame:
         spark = batch.sparkSession
         parsed = parsed_messages(batch).persist()
         put = lambda name, df: df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         try:
             tables = ground_truth(parsed)
-            fresh = _unseen(spark, out, number, tables["messages"]).persist()
+            fresh = (tables["messages"] if known else _unseen(spark, out, number, tables["messages"])).persist()
             try:
                 ids = fresh.select(F.col("id").alias("message_id"))
                 put("dead_letters", parsed.filter("error is not null").select("path", "error"))
@@ -47,6 +48,7 @@ def archive_batch(out: str):
                 fresh.unpersist()
         finally:
             parsed.unpersist()
+        return spark.read.parquet(f"{out}/messages/batch={number}")
 
     return write
 
