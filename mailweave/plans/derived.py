@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations as combinations_of
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,12 +11,11 @@ from pyspark.sql import functions as F
 
 from mailweave.functions.text import hamming
 from mailweave.operators import graph
-from mailweave.operators.algebra import combinations
-from mailweave.session import cut
+from mailweave.session import cut, measured
 
-# What a shared value is worth, where joining starts, and the bounds of the work.
+# What a shared value is worth, where joining starts, and from where on a value is boilerplate.
 SIGNALS = {"ref": 1.0, "conversation": 0.9, "thread": 0.8, "subject": 0.5, "attachment": 0.4, "participants": 0.2}
-TOPIC_SCORE, BUCKET_CAP, WEAK_PAIRS = 0.5, 200, 2_000_000
+TOPIC_SCORE, BUCKET_CAP = 0.5, 200
 DISTANCE, BAND_BITS, OCCURRENCES = 5, 16, 3
 COMMUNITY_SIZE, CIRCLE_SHARE = 3, 0.5
 KEYWORDS = 8
@@ -43,12 +44,11 @@ def digest_id(kind: str, member: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.left(F.sha2(F.concat_ws("|", F.count("*"), F.min(text), F.max(text), *sums), 256), F.lit(32)))
 
 
-def signal_buckets(facts: DataFrame) -> DataFrame:
-    """(signal, key, id) of every value that messages share, for buckets of 2 to the cap."""
+def shared_values(facts: DataFrame) -> DataFrame:
+    """(signal, key, id) of every value that a message could share with another."""
     none = F.array().cast("array<string>")
-    has_refs = "refs" in facts.columns
     values = {
-        "ref": F.col("refs") if has_refs else none,
+        "ref": F.col("refs") if "refs" in facts.columns else none,
         "thread": F.array("thread_id"),
         "subject": F.array("subject_norm"),
         "attachment": F.col("attachments"),
@@ -58,44 +58,55 @@ def signal_buckets(facts: DataFrame) -> DataFrame:
     def marked(signal: str):
         return lambda x: F.struct(F.lit(signal).alias("signal"), x.cast("string").alias("key"))
 
-    pairs = F.flatten(F.array(*[F.transform(v, marked(s)) for s, v in values.items()]))
-    rows = facts.select("id", F.explode(pairs).alias("b")).select("b.signal", "b.key", "id").filter("key is not null and key != ''").distinct()
-    # A bucket's size is counted with map-side combine; only ids of kept buckets are shuffled again.
-    kept = rows.groupBy("signal", "key").agg(F.count("*").alias("size")).filter(F.col("size").between(2, BUCKET_CAP))
-    return rows.join(kept, ["signal", "key"])
+    pairs = F.flatten(F.array(*[F.transform(F.coalesce(v.cast("array<string>"), none), marked(s)) for s, v in values.items()]))
+    return facts.select("id", F.explode(pairs).alias("b")).select("b.signal", "b.key", "id").filter("key is not null and key != ''").distinct()
+
+
+def signal_buckets(facts: DataFrame, cap: int | None = BUCKET_CAP, counts: dict[str, int] | None = None) -> DataFrame:
+    """(signal, key, id, size, hub) of every value that messages share; hub is the smallest id that has it.
+
+    A value that more than ``cap`` messages share is boilerplate and joins nothing; None keeps all.
+    ``counts`` gets how many such values there are, and how many times messages have them.
+    """
+    rows = shared_values(facts)
+    # a bucket's size is counted with map-side combine; only ids of kept buckets are shuffled again
+    sizes = rows.groupBy("signal", "key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1")
+    if counts is not None:
+        large = F.lit(False) if cap is None else F.col("size") > cap
+        sizes, seen = measured(sizes, dropped=F.count_if(large), members=F.coalesce(F.sum(F.when(large, F.col("size"))), F.lit(0)))
+        counts |= {"dropped_buckets": seen["dropped"], "dropped_bucket_members": seen["members"]}
+    return rows.join(sizes if cap is None else sizes.filter(F.col("size") <= cap), ["signal", "key"])
 
 
 def strong_edges(buckets: DataFrame) -> DataFrame:
     """A star per bucket of a signal that joins alone: (src, dst, method, weight)."""
-    strong = [s for s, w in SIGNALS.items() if w >= TOPIC_SCORE]
-    rows = buckets.filter(F.col("signal").isin(strong))
-    hub = rows.groupBy("signal", "key").agg(F.min("id").alias("src"))
+    strong = {s: w for s, w in SIGNALS.items() if w >= TOPIC_SCORE}
     weight = F.element_at(F.create_map(*[F.lit(x) for s in SIGNALS.items() for x in s]), F.col("signal"))
-    return rows.join(hub, ["signal", "key"]).filter("id != src").select("src", F.col("id").alias("dst"), F.col("signal").alias("method"), weight.alias("weight"))
+    rows = buckets.filter(F.col("signal").isin(list(strong))).filter("id != hub")
+    return rows.select(F.col("hub").alias("src"), F.col("id").alias("dst"), F.col("signal").alias("method"), weight.alias("weight"))
 
 
-def weak_edges(buckets: DataFrame, budget: int = WEAK_PAIRS) -> DataFrame:
-    """Pairs that several weak signals join together; each signal counts once per pair.
+def weak_edges(buckets: DataFrame) -> DataFrame:
+    """Links of messages that share enough weak signals together, as stars: (src, dst, method, weight).
 
-    Buckets are taken smallest first while the pairs that they add stay within the budget; the
-    first that overflows ends it.
+    Each set of weak signals that reaches the score makes a key of a value of each; who shares such
+    a key shares all of them. So the links of a key are a star, no pairs are made, and none is left out.
     """
-    weak = [s for s, w in SIGNALS.items() if w < TOPIC_SCORE]
-    sizes = buckets.filter(F.col("signal").isin(weak)).select("signal", "key", "size").distinct()
-    # the order over buckets of one size class is summed per size first, so no single task sees all buckets
-    by_size = sizes.groupBy("size").agg((F.count("*") * F.col("size") * (F.col("size") - 1) / 2).alias("pairs"))
-    upto = by_size.select("size", F.sum("pairs").over(W.orderBy("size")).alias("upto"), "pairs")
-    within = upto.withColumn("left", F.lit(budget) - F.col("upto") + F.col("pairs")).filter("left > 0")
-    place = F.row_number().over(W.partitionBy("size").orderBy("signal", "key"))
-    taken = (
-        sizes.join(F.broadcast(within), "size").withColumn("place", place)  # one row per size, at most the cap
-        .filter(F.col("place") * F.col("size") * (F.col("size") - 1) / 2 <= F.col("left")).select("signal", "key")
-    )
-    members = buckets.join(taken, ["signal", "key"]).groupBy("signal", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most the cap
-    pairs = members.select("signal", F.explode(combinations(F.col("ids"))).alias("p")).select("signal", "p.left", "p.right").distinct()
-    weight = F.element_at(F.create_map(*[F.lit(x) for s in SIGNALS.items() for x in s]), F.col("signal"))
-    joined = pairs.groupBy("left", "right").agg(F.sum(weight).alias("weight"), F.max_by("signal", weight).alias("method"))
-    return joined.filter(F.col("weight") >= TOPIC_SCORE - 1e-9).select(F.col("left").alias("src"), F.col("right").alias("dst"), "method", "weight")
+    weak = {s: w for s, w in SIGNALS.items() if w < TOPIC_SCORE and s != "conversation"}
+    sets = [c for n in range(2, len(weak) + 1) for c in combinations_of(sorted(weak), n) if sum(weak[s] for s in c) >= TOPIC_SCORE - 1e-9]
+    found = None
+    for signals in sets:
+        keys = [f"key{k}" for k in range(len(signals))]
+        rows = None
+        for signal, key in zip(signals, keys):
+            own = buckets.filter(F.col("signal") == signal).select("id", F.col("key").alias(key))
+            rows = own if rows is None else rows.join(own, "id")
+        rows = cut(rows)
+        star = rows.groupBy(*keys).agg(F.min("id").alias("src"), F.count("*").alias("size")).filter("size > 1")
+        best, weight = max(signals, key=weak.get), round(sum(weak[s] for s in signals), 6)
+        edges = rows.join(star, keys).filter("id != src").select("src", F.col("id").alias("dst"), F.lit(best).alias("method"), F.lit(weight).alias("weight"))
+        found = edges if found is None else found.unionByName(edges)
+    return found.distinct()
 
 
 def conversation_edges(facts: DataFrame, replies: DataFrame) -> DataFrame:
@@ -109,9 +120,12 @@ def conversation_edges(facts: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def topics(facts: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Topics (id, label, method, score, message_count, first and last date) and members (topic_id, id, method, score)."""
-    buckets = cut(signal_buckets(facts))
+def topics(facts: DataFrame, extra: DataFrame | None = None, cap: int | None = BUCKET_CAP, counts: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Topics (id, label, method, score, message_count, first and last date) and members (topic_id, id, method, score).
+
+    ``cap`` and ``counts`` as in :func:`signal_buckets`.
+    """
+    buckets = cut(signal_buckets(facts, cap, counts))
     edges = strong_edges(buckets).unionByName(weak_edges(buckets))
     if extra is not None:
         edges = edges.unionByName(extra.filter((F.col("weight") >= TOPIC_SCORE) & (F.col("src") != F.col("dst"))).select("src", "dst", "method", "weight"))

@@ -80,7 +80,7 @@ def rebuild(
         except SemanticError as e:  # nothing to search by: topics do without these edges
             logger.warning("similar messages are left out: %s", e)
             out.counts["similar_skipped"] = 1
-    topics, topic_members = derived.topics(facts, extra)
+    topics, topic_members = derived.topics(facts, extra, counts=out.counts)
     topic_members = out.put("topic_members", cut(topic_members))
     if bodies is not None:
         words = derived.keywords(topic_members, bodies.select("id", "text"))
