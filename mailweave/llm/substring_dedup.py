@@ -7,8 +7,8 @@ make a hull. Four steps decide which windows start in another place too:
 
 1. Counting quotient filters, one per scan task and merged by sorted remainders, give the hashes
    of cores that occur more than once. Everything else is settled: no window of it repeats.
-2. Hulls are counted by their bytes with map-side aggregation, so copies collapse before any
-   shuffle. All windows of a hull that occurs twice repeat.
+2. Hulls are counted by their bytes, first inside each text, then with map-side aggregation, so
+   copies collapse before any shuffle. All windows of a hull that occurs twice repeat.
 3. A hull that occurs once, beside other hulls of its core, needs sorting. All distinct hulls are
    dealt to shards by core; a shard writes each hull as its left flank, one symbol for the bytes
    of its core and its right flank, and sorts all suffixes by linear grouping: groups of suffixes
@@ -46,6 +46,8 @@ WIDTH = LENGTH - CORE + 1
 PIECE = 1 << 18
 #: Hulls of a shard, and of one suffix sort: short texts sort faster, and cores don't share windows.
 SHARD_HULLS, SORT_HULLS = 4000, 256
+#: Hulls of a text that are held before they go out, a core's at most besides.
+HULLS_OUT = 1 << 15
 #: Windows that are compared with their neighbours at once.
 COMPARED = 1 << 13
 #: Texts whose removed spans are broadcast at most; more are joined by a shuffle, as all else is.
@@ -83,28 +85,64 @@ def _core_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"fp": np.concatenate(found).view(np.int64)})
 
 
+#: Where a core is in a text: first window, windows and bytes before the core of each of its hulls there.
+_PLACED = np.dtype([("first", "<i4"), ("windows", "<i2"), ("left", "<i2")])
+
+
 def _scan_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each core of a text, with all its places there: a text that repeats itself has few cores."""
     for part in parts(batches):
-        found, row = [], []
+        cores, row, places = [], [], []
         for k, text in enumerate(encoded(part["text"])):
-            for piece in anchors(text):
-                found.append(piece)
-                row.append(np.full(len(piece[0]), k))
-        if found:
+            found = list(anchors(text))
+            if not found:
+                continue
             core, start, windows, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(core, kind="stable")
+            core = core[order]
+            packed = np.empty(len(order), _PLACED)
+            packed["first"], packed["windows"], packed["left"] = start[order], windows[order], (place - start)[order]
+            cuts = np.flatnonzero(np.r_[True, core[1:] != core[:-1]])
+            raw, ends = packed.tobytes(), _PLACED.itemsize * np.r_[cuts, len(order)]
+            places += [raw[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            cores.append(core[cuts])
+            row.append(np.full(len(cuts), k))
+        if cores:
             at = np.concatenate(row)
             yield pd.DataFrame(
-                {
-                    "doc_id": part["doc_id"].iloc[at].array,
-                    "text_hash": part["text_hash"].to_numpy()[at],
-                    "core": core.view(np.int64),
-                    "first": start.astype(np.int32),
-                    "windows": windows.astype(np.int16),
-                    "left": (place - start).astype(np.int16),
-                }
+                {"doc_id": part["doc_id"].iloc[at].array, "text_hash": part["text_hash"].to_numpy()[at], "core": np.concatenate(cores).view(np.int64), "places": places}
             )
 
 
+def _cut_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct hulls of each text, how often it has them, and where first. Rows go out before they fill the memory."""
+
+    def frame(rows: dict, k: int, part: pd.DataFrame) -> pd.DataFrame:
+        core, windows, left, data = zip(*rows, strict=True)
+        n, first = zip(*rows.values(), strict=True)
+        return pd.DataFrame(
+            {
+                "doc_id": part["doc_id"].iloc[[k] * len(n)].array, "text_hash": part["text_hash"].iat[k], "core": core, "windows": np.array(windows, np.int16),
+                "left": np.array(left, np.int16), "bytes": data, "n": n, "first": np.array(first, np.int32),
+            }
+        )
+
+    for part in parts(batches):
+        for k, text in enumerate(encoded(part["text"])):
+            rows: dict = {}
+            for x in part["cores"].iat[k]:
+                core = x["core"]
+                for first, windows, left in np.frombuffer(x["places"], _PLACED).tolist():
+                    key = (core, windows, left, text[first : first + windows + LENGTH - 1])
+                    n, at = rows.get(key, (0, first))
+                    rows[key] = (n + 1, at)
+                if len(rows) >= HULLS_OUT:  # hulls of other cores are other hulls
+                    yield frame(rows, k, part)
+                    rows = {}
+            if rows:
+                yield frame(rows, k, part)
+
+
 def suffix_array(text: list[int]) -> list[int]:
     """Suffix array by linear grouping. The last symbol must be the only smallest one.
 
@@ -305,34 +343,24 @@ def _sort_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame:
-    """doc_id, text_hash and ``spans`` (array of first, end) of the texts with repeated windows.
-
-    The spans of a text may overlap; their union is what repeats.
-    """
+def repeated_bounds(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame:
+    """doc_id, text_hash and ``bounds`` (first, end, first, end, …) of what repeats in each text that has repeated windows."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(F.octet_length("text") >= LENGTH)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = keyed.mapInPandas(_scan_anchors, f"doc_id {kind}, text_hash long, core long, first int, windows short, left short")
+    found = keyed.mapInPandas(_scan_anchors, f"doc_id {kind}, text_hash long, core long, places binary")
     cores = repeated_fingerprints(keyed.select("text"), of=_core_hashes).select(F.col("fp").alias("core"))
-    # places of cores that occur more than once, by text; a text's places are bounded by its length
+    # places of cores that occur more than once, by text; eight bytes a place, and a text's places are bounded by its length
     held = materialize(
         found.join(materialize(cores), "core", "left_semi").groupBy("doc_id", "text_hash")
-        .agg(F.collect_set(F.struct("core", "first", "windows", "left")).alias("places"))
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "places")
-    )
-    raw = F.col("text").cast("binary")
-    place = lambda x: F.struct(
-        x["core"].alias("core"), x["first"].alias("first"), x["windows"].alias("windows"), x["left"].alias("left"),
-        F.substring(raw, x["first"] + 1, x["windows"].cast("int") + (LENGTH - 1)).alias("bytes"),
-    )
-    placed = (
-        keyed.join(held, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-        .select("doc_id", "text_hash", F.explode(F.transform("places", place)).alias("x")).select("doc_id", "text_hash", "x.*")
+        .agg(F.collect_set(F.struct("core", "places")).alias("cores"))
+        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "cores")
     )
+    placed = keyed.join(held, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "text", "cores")
+    placed = placed.mapInPandas(_cut_hulls, f"doc_id {kind}, text_hash long, core long, windows short, left short, bytes binary, n long, first int")
     # Columns of first() are used where one place is all that there is.
     row = ["doc_id", "text_hash", "first"]
     hulls = materialize(
-        placed.groupBy("core", "windows", "left", "bytes").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in row])
+        placed.groupBy("core", "windows", "left", "bytes").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in row])
     )
     shards = max(1, -(-hulls.count() // shard_hulls))
     wide = materialize(hulls.groupBy("core").agg(F.count("*").alias("hulls")).filter(F.col("hulls") > shard_hulls))
@@ -349,33 +377,41 @@ def repeated_spans(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame
     cross = sorted_.filter("window is not null")
     twice = cross.groupBy("window").agg(F.count("*").alias("k")).filter("k > 1").select("window")
     across = cross.filter("asks").join(twice, "window", "left_semi")
-    single = hulls.filter("n = 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("first").alias("__first"))
-    again = held.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), F.explode("places").alias("x")).select("doc_id", "text_hash", "x.first", "x.windows")
-    whole = again.join(
-        single, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("first") == F.col("__first")), "left_anti"
-    )
-    pieces = (
-        whole.select("doc_id", "text_hash", "first", (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end"))
+    # all places of a text repeat whole but those of hulls that occur once (an end of -1), of which only the spans found do
+    marks = (
+        hulls.filter("n = 1").select("doc_id", "text_hash", "first", F.lit(-1).alias("end"))
         .unionByName(sorted_.filter("window is null").select("doc_id", "text_hash", "first", "end"))
         .unionByName(across.select("doc_id", "text_hash", "first", "end"))
     )
-    return pieces.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    marks = marks.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("marks"))
+    both = held.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    places = F.transform("cores", lambda x: x["places"]).alias("places")
+    marked = both.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), places, F.col("marks.first").alias("firsts"), F.col("marks.end").alias("ends"))
+    return marked.mapInPandas(_bound_rows, f"doc_id {kind}, text_hash long, bounds array<int>").filter(F.size("bounds") > 0)
 
 
-def _merge(spans) -> list[int]:
+def _union(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Bounds of the union of some spans: first, end, first, end, …"""
-    out: list[int] = []
-    for s, e in sorted((x["first"], x["end"]) for x in spans):
-        if out and s <= out[-1]:
-            out[-1] = max(out[-1], e)
-        else:
-            out += [s, e]
-    return out
+    if not len(first):
+        return np.zeros(0, np.int32)
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.r_[True, first[1:] > reach[:-1]])
+    return np.stack([first[new], reach[np.r_[new[1:], len(first)] - 1]], 1).reshape(-1).astype(np.int32)
 
 
-def _merge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bound_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf[["doc_id", "text_hash"]].assign(bounds=[_merge(x) for x in pdf["spans"]])
+        bounds = []
+        for places, firsts, ends in zip(pdf["places"], pdf["firsts"], pdf["ends"], strict=True):
+            at = np.frombuffer(b"".join(places), _PLACED)
+            first, end = at["first"].astype(np.int64), at["first"].astype(np.int64) + at["windows"] - 1 + LENGTH
+            if firsts is not None:
+                f, e = np.asarray(firsts, np.int64), np.asarray(ends, np.int64)
+                whole = ~np.isin(first, f[e < 0])
+                first, end = np.r_[first[whole], f[e >= 0]], np.r_[end[whole], e[e >= 0]]
+            bounds.append(_union(first, end))
+        yield pdf[["doc_id", "text_hash"]].assign(bounds=bounds)
         release()
 
 
@@ -396,9 +432,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def remove_repeats(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes ``kept`` of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bounds = materialize(
-        repeated_spans(docs, shard_hulls).mapInPandas(_merge_rows, f"doc_id {kind}, text_hash long, bounds array<int>")
-    ).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "bounds")
+    bounds = materialize(repeated_bounds(docs, shard_hulls)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "bounds")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return (
         keyed.join(
