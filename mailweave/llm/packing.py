@@ -2,10 +2,11 @@
 
 A document is its token ids and a closing id 0; documents longer than a sequence are cut. The
 pieces shorter than a sequence are dealt by hash into shards of bounded size. On each shard
-several islands evolve populations of packings that start from best fit in random orders, some
-bins above what is possible; the search brings them down: crossover injects whole well-filled bins of one
-parent into the other, bins of the other that hold a document twice are dissolved, and the
-displaced documents are placed by best fit. Between epochs the best packing of each island
+several islands evolve populations of packings that start from best fit by decreasing length: crossover
+injects whole well-filled bins of one parent into the other, bins of the other that hold a document twice are
+dissolved with the emptiest ones, and the displaced documents refill bins: each bin takes what fills
+it best among many documents, found by their possible sums, and best fit places the rest. An island
+whose best packing needs no more than the lower bound is done. Between epochs the best packing of each island
 migrates to the next island of its shard (a join); at the end the best island gives the
 shard's packing. The documents of badly filled bins of all shards meet again in a next level of
 shards, until they fit one shard or a level leaves as many open as it was given, so cutting the
@@ -18,6 +19,7 @@ packed each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,10 @@ from mailweave.llm.common import blocks, encoded, held, lower_ascii, materialize
 CAPACITY = 2048
 #: Pieces of a shard, islands of a shard, epochs between which elites migrate.
 SHARD_ROWS, ISLANDS, EPOCHS = 4096, 2, 2
-#: Packings of an island, generations of an epoch.
-POPULATION, GENERATIONS = 8, 24
+#: Packings of an island, generations of an epoch at most, and how many may pass without a better packing.
+POPULATION, GENERATIONS, PATIENCE = 8, 60, 20
+#: Documents that a bin chooses among; a bin filled less by its choice is left to best fit.
+CHOICES, FULL = 64, 0.995
 #: Bins filled less than this are packed anew in the next level.
 WELL_FILLED = 0.985
 #: A Python worker remembers the ids of half of 2^CACHE_BITS units; bytes of a block.
@@ -241,21 +245,78 @@ def best_fit(length: np.ndarray, order: np.ndarray, assign: np.ndarray, fill: li
 
 
 def fitness(assign: np.ndarray, length: np.ndarray) -> tuple[int, float]:
-    """Bins, then how unevenly they are filled: both smaller is better."""
+    """Bins, then how unevenly they are filled: both smaller is better, so full bins beside an empty one win."""
     fill = np.bincount(assign, length)
     return len(fill), -float((fill**2).sum())
 
 
+def lower_bound(length: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs: by all tokens, and by documents that can't share a bin with those above a size."""
+    count = np.bincount(length, minlength=capacity + 1)[: capacity + 1]
+    total = np.arange(capacity + 1) * count
+    upto, tokens = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(total)]
+    k = np.arange(capacity // 2 + 1)  # smallest size that counts
+    large = upto[-1] - upto[capacity - k + 1]  # alone in a bin, as what counts doesn't fit beside them
+    half = upto[capacity - k + 1] - upto[capacity // 2 + 1]  # a bin each, with room beside them
+    room = half * capacity - (tokens[capacity - k + 1] - tokens[capacity // 2 + 1])
+    small = tokens[capacity // 2 + 1] - tokens[k]
+    return int((large + half + np.maximum(0, -(-(small - room) // capacity))).max())
+
+
+def fullest(sizes: list[int], room: int) -> list[int]:
+    """Places in ascending ``sizes`` whose sizes add up to as much of ``room`` as they can; large ones go first."""
+    mask = (1 << (room + 1)) - 1
+    sums = [1]  # bit k of the n-th: the first n sizes can add up to k
+    for size in sizes:
+        last = sums[-1]
+        sums.append((last | last << size) & mask)
+    left, out = sums[-1].bit_length() - 1, []
+    for k in range(len(sizes) - 1, -1, -1):
+        if left >= sizes[k] and sums[k] >> (left - sizes[k]) & 1:
+            out.append(k)
+            left -= sizes[k]
+    return out
+
+
+def refill(length: np.ndarray, items: np.ndarray, assign: np.ndarray, fill: list[int], capacity: int) -> None:
+    """Place documents into new bins, the largest first with those that fill its bin best, and the rest by best fit.
+
+    ``assign`` and ``fill`` are changed in place. A bin chooses among ``CHOICES`` documents: the
+    largest that fit, and others of all sizes below.
+    """
+    order = items[np.argsort(length[items], kind="stable")].tolist()
+    sizes = length[order].tolist()
+    rest: list[int] = []
+    while order:
+        i, size = order.pop(), sizes.pop()
+        room = capacity - size
+        fit = bisect_right(sizes, room)
+        near = max(0, fit - CHOICES // 2)
+        step = max(1, -(-near // (CHOICES // 2)))
+        among = [*range(0, near, step), *range(near, fit)]
+        taken = sorted((among[k] for k in fullest([sizes[x] for x in among], room)), reverse=True)
+        held = size + sum(sizes[k] for k in taken)
+        if held < FULL * capacity:
+            rest.append(i)
+            continue
+        for x in [i, *(order[k] for k in taken)]:
+            assign[x] = len(fill)
+        for k in taken:
+            del order[k], sizes[k]
+        fill.append(held)
+    best_fit(length, np.array(rest, np.int64), assign, fill, capacity)
+
+
 def crossover(a: np.ndarray, b: np.ndarray, length: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Inject well-filled bins of ``b`` into ``a``, dissolve what they double, best-fit the rest."""
+    """Inject well-filled bins of ``b`` into ``a``, dissolve what they double, and refill with the displaced documents."""
     fill_a, fill_b = np.bincount(a, length), np.bincount(b, length)
     good = fill_b >= np.quantile(fill_b, 0.5)
-    take = good & (rng.random(len(fill_b)) < rng.uniform(0.2, 0.8))
+    take = good & (rng.random(len(fill_b)) < rng.uniform(0.1, 0.6))
     injected = take[b]
     gone = np.zeros(len(fill_a), bool)
     gone[a[injected]] = True
-    # mutation: the emptiest bins are dissolved too
-    gone |= (fill_a <= np.quantile(fill_a, 0.02)) | (rng.random(len(fill_a)) < 0.01)
+    # mutation: the emptiest bins are dissolved too, and a few others, so that there is something to choose from
+    gone |= (fill_a <= np.quantile(fill_a, rng.uniform(0.02, 0.2))) | (rng.random(len(fill_a)) < 0.03)
     kept = ~injected & ~gone[a]
     child = np.full(len(a), -1, np.int64)
     child[injected] = (np.cumsum(take) - 1)[b[injected]]
@@ -263,34 +324,45 @@ def crossover(a: np.ndarray, b: np.ndarray, length: np.ndarray, capacity: int, r
     # bins of a that only held injected documents were dissolved, so ids are dense
     placed = injected | kept
     fill = np.bincount(child[placed], length[placed], minlength=int(take.sum() + (~gone).sum())).astype(int).tolist()
-    displaced = np.flatnonzero(~placed)
-    best_fit(length, displaced[np.argsort(-length[displaced], kind="stable")], child, fill, capacity)
+    refill(length, np.flatnonzero(~placed), child, fill, capacity)
     return np.unique(child, return_inverse=True)[1]
 
 
-def evolve(length: np.ndarray, elites: list[np.ndarray], capacity: int, seed: list[int], guard: bool = False) -> np.ndarray:
-    """One epoch of an island, from the elites that it holds or received and packings in random orders.
+def by_decreasing_length(length: np.ndarray, capacity: int) -> np.ndarray:
+    """Best fit, longest first: what the search starts from."""
+    assign = np.full(len(length), -1, np.int64)
+    best_fit(length, np.argsort(-length, kind="stable"), assign, [], capacity)
+    return assign
+
+
+def evolve(length: np.ndarray, elites: list[np.ndarray], capacity: int, seed: list[int]) -> np.ndarray:
+    """One epoch of an island, from the elites that it holds or received; at first from best fit by decreasing length.
 
-    With ``guard`` a packing by decreasing length is among them, so that the result is never worse.
+    The other packings of the population are best fit in orders that are near to decreasing, and
+    refills. It ends at the lower bound, and sooner where generations bring nothing.
     """
     rng = np.random.default_rng(seed)
-    least = -(-int(length.sum()) // capacity)
-    people = [e for e in elites if e is not None]
-    if guard:
-        assign = np.full(len(length), -1, np.int64)
-        best_fit(length, np.argsort(-length, kind="stable"), assign, [], capacity)
-        people.append(assign)
+    least = lower_bound(length, capacity)
+    people = [e for e in elites if e is not None] or [by_decreasing_length(length, capacity)]
+    if min(fitness(p, length)[0] for p in people) <= least:
+        return min(people, key=lambda p: fitness(p, length))
     while len(people) < POPULATION:
         assign = np.full(len(length), -1, np.int64)
-        best_fit(length, rng.permutation(len(length)), assign, [], capacity)
+        if len(people) % 2:
+            refill(length, rng.permutation(len(length)), assign, [], capacity)
+        else:
+            best_fit(length, np.argsort(-length * rng.uniform(0.8, 1.2, len(length))), assign, [], capacity)
         people.append(assign)
     scored = sorted(((fitness(p, length), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])
+    last = 0
     for g in range(GENERATIONS):
-        if scored[0][0][0] <= least:
+        if scored[0][0][0] <= least or g - last > PATIENCE:
             break
-        one, two = sorted(rng.choice(len(scored), 2, replace=False))
+        one, two = rng.choice(len(scored), 2, replace=False)
         child = crossover(scored[one][2], scored[two][2], length, capacity, rng)
+        best = scored[0][0]
         scored = sorted([*scored, (fitness(child, length), len(people) + g, child)], key=lambda x: x[:2])[:POPULATION]
+        last = g if scored[0][0] < best else last
     return scored[0][2]
 
 
@@ -301,7 +373,7 @@ def _epoch(capacity: int, epoch: int):
             for row in pdf.itertuples(index=False):
                 length = np.asarray(row.lengths, np.int64)
                 elites = [np.asarray(x, np.int64) for x in (row.bins, row.migrant) if x is not None and len(x)]
-                best.append(evolve(length, elites, capacity, [epoch, int(row.shard), int(row.island)], (epoch + 1) % EPOCHS == 0))
+                best.append(evolve(length, elites, capacity, [epoch, int(row.shard), int(row.island)]))
             yield pd.DataFrame(
                 {
                     "shard": pdf["shard"],

@@ -69,22 +69,54 @@ def test_flight_keeps_totals():
     assert set(mixing.land(size, out).tolist()) <= {0.0, 1.0}
 
 
-def test_packing_keeps_documents_and_capacity():
-    rng = np.random.default_rng(2)
-    length = rng.integers(400, 1500, 700)
-    best = packing.evolve(length, [packing.evolve(length, [], 2048, [1])], 2048, [2], guard=True)
-    assert np.bincount(best, length).max() <= 2048 and len(best) == 700
-    fill: list = []
-    plain = np.full(700, -1)
-    packing.best_fit(length, np.argsort(-length, kind="stable"), plain, fill, 2048)
-    assert best.max() + 1 <= len(fill)
-    other = packing.evolve(length, [], 2048, [2])
-    # from random orders alone one epoch takes most of the way down to that
-    start = np.full(700, -1)
-    packing.best_fit(length, rng.permutation(700), start, [], 2048)
-    assert start.max() >= len(fill) + 10 and other.max() < len(fill) + 3
-    child = packing.crossover(best, other, length, 2048, rng)
-    assert np.bincount(child, length).max() <= 2048 and (child >= 0).all()
+def hard_lengths(name, n, seed):
+    """Lengths of which best fit by decreasing length leaves a gap: nothing small fills what is left over."""
+    r = np.random.default_rng(seed)
+    if name == "triplets":
+        a = r.integers(780, 1004, n // 3)
+        b = np.array([r.integers(512, (2048 - x) // 2 + 1) for x in a])
+        return np.concatenate([a, b, 2048 - a - b])
+    return r.integers(*{"middling": (400, 1000), "wide": (300, 1400)}[name], n)
+
+
+@pytest.mark.parametrize("name", ["triplets", "middling", "wide"])
+def test_search_saves_bins(name):
+    """On every shard with a gap the search needs fewer sequences than best fit by decreasing length, by at least half of the gap."""
+    improved = 0
+    for seed in range(3):
+        length = hard_lengths(name, 1200, seed)
+        least, plain = packing.lower_bound(length, 2048), packing.by_decreasing_length(length, 2048).max() + 1
+        assert plain >= least + 5
+        first = [packing.evolve(length, [], 2048, [0, seed, i]) for i in range(2)]
+        best = min((packing.evolve(length, [first[i], first[1 - i]], 2048, [1, seed, i]) for i in range(2)), key=lambda x: packing.fitness(x, length))
+        assert np.bincount(best, length).max() <= 2048 and len(best) == len(length) and (best >= 0).all()
+        improved += 2 * (best.max() + 1 - least) <= plain - least
+    assert improved == 3
+
+
+def test_search_ends_at_the_bound():
+    """Where best fit by decreasing length meets the lower bound nothing is left to search."""
+    length = np.random.default_rng(5).integers(1, 400, 900)
+    plain = packing.by_decreasing_length(length, 2048)
+    assert packing.lower_bound(length, 2048) == plain.max() + 1
+    assert (packing.evolve(length, [], 2048, [1]) == plain).all()
+    for some in ([2047] * 5, [1024] * 4 + [1025] * 3, [1500, 600, 600, 600], [1]):
+        bound = packing.lower_bound(np.array(some), 2048)
+        assert bound == packing.evolve(np.array(some), [], 2048, [1]).max() + 1
+
+
+def test_fullest_and_crossover():
+    r = np.random.default_rng(6)
+    for _ in range(40):
+        sizes = sorted(r.integers(1, 60, 9).tolist())
+        room = int(r.integers(0, 150))
+        taken = packing.fullest(sizes, room)
+        sums = {sum(sizes[k] for k in range(9) if m >> k & 1) for m in range(512)}
+        assert len(set(taken)) == len(taken) and sum(sizes[k] for k in taken) == max(x for x in sums if x <= room)
+    length = hard_lengths("middling", 700, 1)
+    a, b = packing.by_decreasing_length(length, 2048), packing.evolve(length, [], 2048, [3])
+    child = packing.crossover(a, b, length, 2048, r)
+    assert np.bincount(child, length).max() <= 2048 and (child >= 0).all() and len(child) == 700
 
 
 def test_word_tokenizer_equals_tokenizer():
