@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,7 +182,7 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, betweenness): Brandes' dependencies summed over the given sources (id), all at once.
 
     Levels go forward with path counts per (source, node) until nothing new is reached, then back
-    with dependencies. Rows grow with sources times nodes: on a large graph give a sample.
+    with dependencies. Rows grow with sources times nodes: on a large graph use :func:`sampled_betweenness`.
     """
     both = cut(undirected(edges.select("src", "dst").filter("src != dst").distinct()).distinct())
     level = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
@@ -207,3 +209,83 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     if total is None:
         total = lower.select("v", "dep")
     return total.groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("betweenness"))
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with ``number`` from 0 without gaps, and how many there are; only a count for each partition is gathered."""
+    rows = cut(rows)
+    at = rows.withColumn("at", F.monotonically_increasing_id())
+    part, before, offsets = F.shiftright("at", 33), 0, []
+    for r in at.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per partition
+        offsets += [F.lit(r["part"]), F.lit(before)]
+        before += r["n"]
+    if not before:
+        return rows.withColumn("number", F.lit(0).cast("long")), 0
+    place = F.element_at(F.create_map(*offsets), part) + F.col("at").bitwiseAND((1 << 33) - 1)
+    return cut(at.withColumn("number", place.cast("long")).drop("at")), before
+
+
+def sampled_betweenness(edges: DataFrame, error: float = 0.01, risk: float = 0.1, seed: int = 1) -> tuple[DataFrame, float]:
+    """(id, betweenness) from sampled shortest paths, and a bound of its error that holds but for ``risk``.
+
+    Pairs of nodes are drawn, and of each pair one of its shortest paths, all alike; a node's share of
+    paths that lead through it estimates its betweenness. Samples double until, for all nodes at
+    once, the empirical Bernstein bound of that share is at most ``error``. Rows grow with samples times
+    nodes that a search meets before its target, never with the square of the nodes.
+    """
+    both = cut(undirected(edges.select("src", "dst").filter("src != dst").distinct()).distinct())
+    nodes, n = numbered(both.select(F.col("src").alias("id")).distinct())
+    if n < 3:
+        return nodes.select("id", F.lit(0.0).alias("betweenness")), 0.0
+    hits, drawn, rounds = None, 0, 0
+    size = max(16, math.ceil(3 * math.log(3 * n / risk) / error / 4))
+    while True:
+        rounds += 1
+        through = _paths_through(both, nodes, n, drawn, size, seed)
+        hits = through if hits is None else hits.unionByName(through)
+        hits = cut(hits.groupBy("id").agg(F.sum("times").alias("times")))
+        drawn, size = drawn + size, drawn + size
+        most = hits.agg(F.max(F.col("times") * (drawn - F.col("times")))).first()[0] or 0
+        # the risk is shared by nodes and by the bounds of all rounds
+        odds = math.log(3 * n * rounds * (rounds + 1) / risk)
+        reach = math.sqrt(2 * most / drawn**2 * odds / drawn) + 3 * odds / drawn
+        if reach <= error:
+            break
+    pairs = n * (n - 1)
+    share = F.coalesce("times", F.lit(0)) * (pairs / drawn)
+    return nodes.select("id").join(hits, "id", "left").select("id", share.alias("betweenness")), reach * pairs
+
+
+def _paths_through(both: DataFrame, nodes: DataFrame, n: int, first: int, size: int, seed: int) -> DataFrame:
+    """(id, times): inner nodes of one shortest path for each of ``size`` drawn pairs."""
+    draw = lambda k: F.pmod(F.xxhash64("s", F.lit(k), F.lit(seed)), F.lit(n if k == 1 else n - 1))
+    pairs = nodes.sparkSession.range(first, first + size).withColumnRenamed("id", "s").withColumns({"a": draw(1), "b": draw(2)})
+    pairs = pairs.withColumn("b", F.when(F.col("b") >= F.col("a"), F.col("b") + 1).otherwise(F.col("b")))  # another node
+    named = lambda k, name: nodes.select(F.col("number").alias(k), F.col("id").alias(name))
+    pairs = cut(pairs.join(named("a", "v"), "a").join(named("b", "target"), "b").select("s", "v", "target"))
+    level = cut(pairs.withColumn("paths", F.lit(1.0)))
+    levels, seen, ends = [level], level.select("s", "v"), []
+    while True:
+        # samples that met their target don't go on
+        level = cut(
+            level.join(both, level["v"] == both["src"]).groupBy("s", "target", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+            .join(seen, ["s", "v"], "left_anti")
+        )
+        met = cut(level.filter("v = target").select("s", "v"))
+        ends.append(met)
+        levels.append(level)
+        level = level.join(met.select("s"), "s", "left_anti")
+        seen = cut(seen.unionByName(levels[-1].select("s", "v")))
+        if not level.limit(1).count():
+            break
+    found, at = None, ends[-1]
+    for k in range(len(levels) - 1, 1, -1):
+        # a node before is taken in proportion to its paths: the least of as many exponential draws
+        before = levels[k - 1].select("s", F.col("v").alias("dst"), "paths")
+        chance = -F.log((F.pmod(F.xxhash64("s", "dst", F.lit(seed + 7)), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("paths")
+        at = cut(at.join(both, at["v"] == both["src"]).join(before, ["s", "dst"]).groupBy("s").agg(F.min_by("dst", chance).alias("v")))
+        found = at.select("v") if found is None else found.unionByName(at.select("v"))
+        at = at.unionByName(ends[k - 2])
+    if found is None:
+        return nodes.select("id", F.lit(0).cast("long").alias("times")).limit(0)
+    return found.groupBy(F.col("v").alias("id")).agg(F.count("*").alias("times"))
