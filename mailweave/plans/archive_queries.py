@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave.functions import text
-from mailweave.operators import algebra
+from mailweave.operators import algebra, graph
 from mailweave.plans import derived, listing, neighbours, reports, semantic, tags
 from mailweave.plans.listing import Filters
 from mailweave.plans.registry import _POSTINGS, query
@@ -326,6 +326,31 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("src", "dst", "weight")
 
 
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey = 3 THEN 'Renamed' ELSE c_name END AS name FROM customer""", archive=False)
+def renamed_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tag keeps its id under another name."""
+    rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tag_id"), F.col("c_name").alias("name"))
+    return tags.rename_tag(rows, 3, "Renamed").withColumnRenamed("tag_id", "id")
+
+
+@query("SELECT tag_id, count(*) AS members FROM message_tags WHERE tag_id <> 'tag:toxic' GROUP BY 1")
+def deleted_tag(a: Archive) -> DataFrame:
+    """A tag goes with all of its memberships."""
+    known, left = tags.delete_tag(a.message_tags.select("tag_id").distinct(), a.message_tags, "tag:toxic")
+    return known.join(left, "tag_id").groupBy("tag_id").agg(F.count("*").alias("members"))
+
+
+@query("SELECT true AS within")
+def betweenness_sampled(a: Archive) -> DataFrame:
+    """Whether betweenness from sampled paths is within its bound of the exact one, for every person."""
+    edges = reports.addressed_pairs(a).select(F.col("left").alias("src"), F.col("right").alias("dst"))
+    edges = cut(edges)
+    exact = graph.betweenness(edges, edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
+    found, bound = graph.sampled_betweenness(edges, 0.02)
+    near = F.abs(F.col("betweenness") - F.coalesce("exact", F.lit(0.0))) <= bound
+    return found.join(exact.withColumnRenamed("betweenness", "exact"), "id", "left").agg(F.bool_and(near).alias("within"))
+
+
 @query("SELECT true AS enough", archive=False)
 def neighbour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the neighbour graph of all documents holds 0.95 of the five nearest of every id divisible by 100."""

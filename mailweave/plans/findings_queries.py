@@ -239,6 +239,21 @@ def tag_view(a: Archive, f: Findings) -> DataFrame:
     return _seen(findings.tag_view(a, f, "tag:good"))
 
 
+@read(_view(
+    f"""SELECT id, 'topic', label FROM topics WHERE id = {_TOPIC} UNION ALL SELECT CAST(id AS VARCHAR), 'message', subject_norm FROM ({_TOPIC_MAIL}) JOIN messages USING (id)
+    UNION ALL SELECT address_id, 'address', address_id FROM ({_TOPIC_PEOPLE})""",
+    f"SELECT CAST(id AS VARCHAR), {_TOPIC}, 'ABOUT' FROM ({_TOPIC_MAIL}) UNION ALL SELECT address_id, {_TOPIC}, 'PARTICIPATES' FROM ({_TOPIC_PEOPLE})",
+))
+def expanded_topic(a: Archive, f: Findings) -> DataFrame:
+    """One hop out of a topic; its view, as a picture lays it over what is drawn."""
+    return _seen(findings.expand(a, f, reports.addressed_pairs(a), f.topics.agg(F.min("id")).first()[0], "topic"))
+
+
+@read(_view(f"SELECT 'tag:good', 'tag', 'Good' UNION ALL SELECT CAST(id AS VARCHAR), 'message', '' FROM ({_TAGGED})", f"SELECT CAST(id AS VARCHAR), 'tag:good', 'TAGGED' FROM ({_TAGGED})"))
+def expanded_tag(a: Archive, f: Findings) -> DataFrame:
+    return _seen(findings.expand(a, f, reports.addressed_pairs(a), "tag:good", "tag"))
+
+
 _CIRCLE_PEOPLE = f"SELECT id FROM community_members WHERE community_id = {_CIRCLE} ORDER BY rank DESC, id LIMIT 100"
 _CIRCLE_MAIL = f"SELECT id FROM community_messages WHERE community_id = {_CIRCLE} ORDER BY score DESC, id LIMIT 100"
 
