@@ -13,6 +13,8 @@ DAMPING, PASSES = 0.85, 20
 LABEL_ROUNDS = 20
 #: Iterations between two checkpoints.
 EVERY = 5
+#: A vertex with more edges than HOT_EDGES and than a HOT_PART-th of all is hot, so there are at most HOT_PART of them.
+HOT_EDGES, HOT_PART = 10_000, 1_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -21,11 +23,32 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
 
+def hot_vertices(degrees: DataFrame, edges: int) -> DataFrame:
+    """Those of ``degrees`` (id, n, …) whose edges are too many for one task: ``HOT_PART`` at most."""
+    return degrees.filter(F.col("n") > max(HOT_EDGES, edges // HOT_PART))
+
+
+def with_vertex(edges: DataFrame, end: str, values: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``edges`` beside the values (id, …) of the vertex at one end: a vertex cut.
+
+    Edges of hot vertices stay where they are and get a copy of their vertex, of which there are few;
+    only edges of other vertices are shuffled to theirs.
+    """
+    if hot is None:
+        return edges.join(values, edges[end] == values["id"]).drop("id")
+    ids = hot.select(F.col("id").alias("hot"))
+    few = values.join(F.broadcast(ids), values["id"] == ids["hot"]).drop("hot")
+    mirrored = edges.join(F.broadcast(few), edges[end] == few["id"]).drop("id")
+    rest = edges.join(F.broadcast(ids), edges[end] == ids["hot"], "left_anti")
+    return mirrored.unionByName(rest.join(values, rest[end] == values["id"]).drop("id"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of the undirected edges (src, dst): the smallest id of each component.
 
     Alternating large-star and small-star steps; about log(n) rounds, and no neighbourhood is
-    gathered in one row or task.
+    gathered in one row or task: the least neighbour combines before the shuffle, and edges of hot
+    vertices meet it where they are.
     """
     # the number of edges and the sum of their hashes, taken while they are written, tell whether anything changed
     state = {"n": F.count("*"), "h": F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))}
@@ -35,12 +58,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     alone = pairs.filter("a = b").select("a", "b")
     now, new, last = pairs.filter("a != b"), {}, None
+
+    def beside_least(rows: DataFrame) -> DataFrame:
+        """Rows with the least neighbour ``m`` of their ``a``, itself included."""
+        least = rows.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least, seen = measured(least, edges=F.coalesce(F.sum("n"), F.lit(0)), most=F.coalesce(F.max("n"), F.lit(0)))
+        hot = hot_vertices(least, seen["edges"]) if seen["most"] > HOT_EDGES else None
+        return with_vertex(rows, "a", least.select("id", F.least("id", "m").alias("m")), hot)
+
     while new != last:
         last = new
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        pairs = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        large = cut(beside_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        pairs = beside_least(large)
         now, new = measured(
             pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).union(pairs.select("a", F.col("m").alias("b")))
             .filter("a != b").distinct(), **state,
@@ -56,15 +86,16 @@ def weighted_pagerank(pairs: DataFrame, damping: float = DAMPING, passes: int =
     """
     both = undirected(pairs.filter("src != dst").select("src", "dst", F.greatest(F.col("weight"), F.lit(1)).cast("double").alias("w")))
     # sums with map-side combine, so that a hub's edges needn't meet in one task
-    whole = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("all"))
-    both = cut(both.join(whole, both["src"] == whole["id"]).select("src", "dst", (F.col("w") / F.col("all")).alias("share")))
-    nodes = cut(whole.select("id"))
-    n = nodes.count()
+    whole = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("all"), F.count("*").alias("n"))
+    whole, seen = measured(whole, nodes=F.count(F.lit(1)), edges=F.coalesce(F.sum("n"), F.lit(0)), most=F.coalesce(F.max("n"), F.lit(0)))
+    hot = cut(hot_vertices(whole, seen["edges"]).select("id")) if seen["most"] > HOT_EDGES else None
+    both = cut(with_vertex(both, "src", whole.select("id", "all"), hot).select("src", "dst", (F.col("w") / F.col("all")).alias("share")))
+    nodes, n = whole.select("id"), seen["nodes"]
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
     for k in range(passes):
-        got = both.join(rank, both["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("r"))
+        got = with_vertex(both, "src", rank, hot).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("r"))
         rank = got.select(F.col("dst").alias("id"), (F.lit((1 - damping) / n) + damping * F.col("r")).alias("rank"))
         if (k + 1) % EVERY == 0:
             rank = cut(rank)
@@ -100,11 +131,14 @@ def label_propagation(edges: DataFrame, rounds: int = LABEL_ROUNDS) -> DataFrame
     Half of the nodes (by a digit of their digest) move in each half-round, so two nodes can't swap forever.
     """
     both = cut(undirected(edges.select("src", "dst").filter("src != dst").distinct()).distinct())
-    labels = cut(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+    degrees = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    degrees, seen = measured(degrees, edges=F.coalesce(F.sum("n"), F.lit(0)), most=F.coalesce(F.max("n"), F.lit(0)))
+    hot = cut(hot_vertices(degrees, seen["edges"]).select("id")) if seen["most"] > HOT_EDGES else None
+    labels = degrees.select("id", F.col("id").alias("label"))
     for k in range(rounds):
         before = labels
         for half in (0, 1):
-            votes = both.join(labels, both["dst"] == labels["id"]).groupBy("src", "label").agg(F.count("*").alias("n"))
+            votes = with_vertex(both, "dst", labels, hot).groupBy("src", "label").agg(F.count("*").alias("n"))
             best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("new"))
             moves = (F.left(F.md5(F.col("id").cast("string")), F.lit(1)) < "8") == (half == 0)
             labels = labels.join(best, labels["id"] == best["src"]).select("id", F.when(moves, F.col("new")).otherwise(F.col("label")).alias("label"))
