@@ -46,8 +46,8 @@ WIDTH = LENGTH - CORE + 1
 PIECE = 1 << 18
 #: Hulls of a shard, and of one suffix sort: short texts sort faster, and cores don't share windows.
 SHARD_HULLS, SORT_HULLS = 4000, 256
-#: Hulls of a text that are held before they go out, a core's at most besides.
-HULLS_OUT = 1 << 15
+#: Hulls of a text that are held before they go out, and bytes of hulls.
+HULLS_OUT, HULL_BYTES = 1 << 15, 1 << 23
 #: Windows that are compared with their neighbours at once.
 COMPARED = 1 << 13
 #: Texts whose removed spans are broadcast at most; more are joined by a shuffle, as all else is.
@@ -114,33 +114,72 @@ def _scan_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+class _Hulls:
+    """Columns of hulls, collected over texts until they go out."""
+
+    def __init__(self, part: pd.DataFrame) -> None:
+        self.part = part
+        self.clear()
+
+    def clear(self) -> None:
+        self.bytes: list[bytes] = []
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        self.rows = self.size = 0
+
+    def add(self, k: int, core: np.ndarray, placed: np.ndarray, n: np.ndarray, data: list[bytes]) -> None:
+        for column, values in zip(self.columns, (np.full(len(core), k), core, placed["windows"], placed["left"], n, placed["first"]), strict=True):
+            column.append(values)
+        self.bytes += data
+        self.rows += len(core)
+        self.size += int(placed["windows"].sum()) + (LENGTH - 1) * len(core)
+
+    def out(self) -> Iterator[pd.DataFrame]:
+        if self.rows:
+            row, core, windows, left, n, first = (np.concatenate(c) for c in self.columns)
+            yield pd.DataFrame(
+                {
+                    "doc_id": self.part["doc_id"].iloc[row].array, "text_hash": self.part["text_hash"].to_numpy()[row], "core": core,
+                    "windows": windows, "left": left, "bytes": self.bytes, "n": n, "first": first,
+                }
+            )
+        self.clear()
+
+
 def _cut_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The distinct hulls of each text, how often it has them, and where first. Rows go out before they fill the memory."""
+    for part in parts(batches):
+        held = _Hulls(part)
+        for k, (text, cores, places) in enumerate(zip(encoded(part["text"]), part["cores"], part["places"], strict=True)):
+            placed = np.frombuffer(b"".join(places), _PLACED)
+            many = np.fromiter(map(len, places), np.int64, len(places)) // _PLACED.itemsize
+            core = np.repeat(np.asarray(cores, np.int64), many)
+            alone = np.repeat(many == 1, many)  # only places of one core can have equal hulls
+            for some in np.array_split(np.flatnonzero(alone), -(-int(alone.sum()) // HULLS_OUT) or 1):
+                p = placed[some]
+                ends = p["first"] + p["windows"] + (LENGTH - 1)
+                held.add(k, core[some], p, np.ones(len(p), np.int64), [text[x:y] for x, y in zip(p["first"].tolist(), ends.tolist(), strict=True)])
+                if held.size > HULL_BYTES:
+                    yield from held.out()
+            seen: dict = {}
+            for at, (c, (first, windows, left)) in enumerate(zip(core[~alone].tolist(), placed[~alone].tolist(), strict=True)):
+                key = (c, windows, left, text[first : first + windows + LENGTH - 1])
+                if key in seen:
+                    seen[key][1] += 1
+                else:
+                    if len(seen) >= HULLS_OUT:
+                        _flush(held, k, core[~alone], placed[~alone], seen)
+                        yield from held.out()
+                        seen = {}
+                    seen[key] = [at, 1]
+            _flush(held, k, core[~alone], placed[~alone], seen)
+            if held.size > HULL_BYTES:
+                yield from held.out()
+        yield from held.out()
 
-    def frame(rows: dict, k: int, part: pd.DataFrame) -> pd.DataFrame:
-        core, windows, left, data = zip(*rows, strict=True)
-        n, first = zip(*rows.values(), strict=True)
-        return pd.DataFrame(
-            {
-                "doc_id": part["doc_id"].iloc[[k] * len(n)].array, "text_hash": part["text_hash"].iat[k], "core": core, "windows": np.array(windows, np.int16),
-                "left": np.array(left, np.int16), "bytes": data, "n": n, "first": np.array(first, np.int32),
-            }
-        )
 
-    for part in parts(batches):
-        for k, text in enumerate(encoded(part["text"])):
-            rows: dict = {}
-            for x in part["cores"].iat[k]:
-                core = x["core"]
-                for first, windows, left in np.frombuffer(x["places"], _PLACED).tolist():
-                    key = (core, windows, left, text[first : first + windows + LENGTH - 1])
-                    n, at = rows.get(key, (0, first))
-                    rows[key] = (n + 1, at)
-                if len(rows) >= HULLS_OUT:  # hulls of other cores are other hulls
-                    yield frame(rows, k, part)
-                    rows = {}
-            if rows:
-                yield frame(rows, k, part)
+def _flush(held: _Hulls, k: int, core: np.ndarray, placed: np.ndarray, seen: dict) -> None:
+    at = np.array([x for x, _ in seen.values()], np.int64)
+    held.add(k, core[at], placed[at], np.array([n for _, n in seen.values()], np.int64), [key[3] for key in seen])
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -355,7 +394,7 @@ def repeated_bounds(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFram
         .agg(F.collect_set(F.struct("core", "places")).alias("cores"))
         .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "cores")
     )
-    placed = keyed.join(held, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "text", "cores")
+    placed = keyed.join(held, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "text", F.col("cores.core").alias("cores"), F.col("cores.places").alias("places"))
     placed = placed.mapInPandas(_cut_hulls, f"doc_id {kind}, text_hash long, core long, windows short, left short, bytes binary, n long, first int")
     # Columns of first() are used where one place is all that there is.
     row = ["doc_id", "text_hash", "first"]
@@ -385,8 +424,7 @@ def repeated_bounds(docs: DataFrame, shard_hulls: int = SHARD_HULLS) -> DataFram
     )
     marks = marks.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("marks"))
     both = held.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
-    places = F.transform("cores", lambda x: x["places"]).alias("places")
-    marked = both.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), places, F.col("marks.first").alias("firsts"), F.col("marks.end").alias("ends"))
+    marked = both.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), F.col("cores.places").alias("places"), F.col("marks.first").alias("firsts"), F.col("marks.end").alias("ends"))
     return marked.mapInPandas(_bound_rows, f"doc_id {kind}, text_hash long, bounds array<int>").filter(F.size("bounds") > 0)
 
 
