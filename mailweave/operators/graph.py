@@ -15,6 +15,8 @@ LABEL_ROUNDS = 20
 EVERY = 5
 #: A vertex with more edges than HOT_EDGES and than a HOT_PART-th of all is hot, so there are at most HOT_PART of them.
 HOT_EDGES, HOT_PART = 10_000, 1_000
+#: Partial paths that are grown at first for each path asked for.
+PREFIXES = 16
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -184,7 +186,9 @@ def shortest_paths(edges: DataFrame, left, right, longest: int = 8, count: int =
     """(nodes, length): the ``count`` shortest undirected simple paths between two nodes, of at most ``longest`` hops.
 
     Lengths are tried upwards from the distance of the two until there are enough paths. For one
-    length, partial paths grow hop by hop and only by nodes that can still arrive in time.
+    length, partial paths grow hop by hop and only by nodes that can still arrive in time. Paths of a
+    length come in the order of their nodes, so only the first partial paths of each hop are grown,
+    and more of them only where these don't lead to enough paths.
     """
     both = cut(undirected(edges.select("src", "dst").filter("src != dst").distinct()).distinct())
     reach = breadth_first(both, right, longest).select(F.col("id").alias("dst"), F.col("hop").alias("left_hops"))
@@ -192,26 +196,41 @@ def shortest_paths(edges: DataFrame, left, right, longest: int = 8, count: int =
     need = reach.filter(F.col("dst") == left).first()
     if need is None:
         return both.select(F.array("src").alias("nodes"), F.lit(0).alias("length")).limit(0)
-    found = None
+    found, held = None, 0
     for length in range(need["left_hops"], longest + 1):
-        now = both.sparkSession.range(1).select(F.array(F.lit(left)).alias("nodes"))
-        for hop in range(1, length + 1):
-            at = now.withColumn("src", F.element_at("nodes", -1))
-            near = F.col("left_hops") <= length - hop
-            # the end is reached with the last hop only
-            near &= F.col("left_hops") == 0 if hop == length else F.col("left_hops") > 0
-            now = (
-                at.join(both, "src").join(reach.filter(near), "dst").filter(~F.array_contains("nodes", F.col("dst")))
-                .select(F.concat("nodes", F.array("dst")).alias("nodes"))
-            )
+        most, more = PREFIXES * count, True
+        while more:
+            now, rows, more = _paths_of(both, reach, left, length, most)
+            more = more and held + rows < count
+            most *= 8
         now = now.withColumn("length", F.lit(length))
         found = now if found is None else found.unionByName(now)
-        found = cut(found.orderBy("length", "nodes").limit(count))
-        if found.count() >= count:
+        found, seen = measured(found.orderBy("length", "nodes").limit(count), n=F.count(F.lit(1)))
+        held = seen["n"]
+        if held >= count:
             break
     return found.orderBy("length", "nodes")
 
 
+def _paths_of(both: DataFrame, reach: DataFrame, left, length: int, most: int) -> tuple[DataFrame, int, bool]:
+    """Paths of one length from the first ``most`` partial paths of each hop, their number, and whether any were left out."""
+    now, rows, left_out = both.sparkSession.range(1).select(F.array(F.lit(left)).alias("nodes")), 1, False
+    for hop in range(1, length + 1):
+        at = now.withColumn("src", F.element_at("nodes", -1))
+        near = F.col("left_hops") <= length - hop
+        # the end is reached with the last hop only
+        near &= F.col("left_hops") == 0 if hop == length else F.col("left_hops") > 0
+        grown = (
+            at.join(both, "src").join(reach.filter(near), "dst").filter(~F.array_contains("nodes", F.col("dst")))
+            .select(F.concat("nodes", F.array("dst")).alias("nodes"))
+        )
+        now, seen = measured(grown, n=F.count(F.lit(1)))
+        rows = seen["n"]
+        if rows > most and hop < length:
+            now, left_out = cut(now.orderBy("nodes").limit(most)), True
+    return now, rows, left_out
+
+
 def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, betweenness): Brandes' dependencies summed over the given sources (id), all at once.
 

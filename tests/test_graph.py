@@ -96,3 +96,24 @@ def test_betweenness(spark):
     line = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(line, spark.createDataFrame([(i,) for i in range(1, 5)], "id long")).collect()}
     assert got[2] == got[3] == pytest.approx(4) and got[1] == got[4] == 0
+
+
+def test_first_paths_of_a_dense_graph(spark, monkeypatch):
+    """Layers of 12 nodes, each joined with all of the next: few of the thousands of paths are grown."""
+    layers = [[0], *[list(range(100 * k, 100 * k + 12)) for k in (1, 2, 3)], [999]]
+    edges = [(a, b) for one, two in zip(layers, layers[1:]) for a in one for b in two]
+    grown, plain = [], graph.measured
+    monkeypatch.setattr(graph, "measured", lambda df, **m: (lambda out: grown.append(out[1]["n"]) or out)(plain(df, **m)))
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = [tuple(r["nodes"]) for r in graph.shortest_paths(df, 0, 999, 6, 3).collect()]
+    assert got == [(0, 100, 200, 300, 999), (0, 100, 200, 301, 999), (0, 100, 200, 302, 999)]
+    assert max(grown) <= 12 * graph.PREFIXES * 3
+
+
+def test_first_paths_lead_nowhere(spark, monkeypatch):
+    """The first partial paths of a length have no simple end, so more are grown until the path is found."""
+    monkeypatch.setattr(graph, "PREFIXES", 1)
+    # of four hops only 0 - 50 - 60 - 70 - 9 goes; 0 - 1 - 2 - ... could only come back through 1
+    edges = [(0, 9), (0, 1), (1, 2), (1, 3), (1, 9), (0, 50), (50, 60), (60, 70), (70, 9)]
+    got = [tuple(r["nodes"]) for r in graph.shortest_paths(spark.createDataFrame(edges, "src long, dst long"), 0, 9, 4, 3).collect()]
+    assert got == [(0, 9), (0, 1, 9), (0, 50, 60, 70, 9)]
