@@ -722,12 +722,6 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", text.html_to_text("html").alias("text"), text.remote_references(F.col("html")).alias("remote"))
 
 
-@query(archive=False)
-def body_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _texts(spark, sf_dir)
-    return rows.select("id", text.clean_body(F.coalesce("text", F.lit(""))).alias("body_clean"))
-
-
 @query(r"""SELECT sha256(html) AS sha256, left(sha256(html), 2) AS prefix, octet_length(encode(html)) AS size FROM pages GROUP BY html""", archive=False)
 def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = load(spark, sf_dir, "pages").select(F.encode("html", "UTF-8").alias("content"))
@@ -767,4 +761,4 @@ def copies_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # More queries register themselves; they import this module's ``query``.
-from mailweave.plans import archive_queries, findings_queries  # noqa: E402, F401
+from mailweave.plans import archive_queries, findings_queries, layer_queries  # noqa: E402, F401
