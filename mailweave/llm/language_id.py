@@ -10,10 +10,16 @@ counts, of at most ``BUCKETS`` subwords a row, reach the driver. For few languag
 both layers is a table (bucket, language); for more the tasks take both layers, so the model
 stays small with any number of languages. Prediction reads whole texts.
 
-Rejection is calibrated on rows that the training did not see: a temperature that maximises
-their likelihood, and a confidence half-way between chance and what only ``REJECT_SHARE`` of them
-stay under, or ``SURE`` if that is less: on texts of known languages a low confidence alone is no
-ground to drop them. Texts without letters are rejected always.
+Rejection goes by the mean confidence of a text's windows of ``WINDOW`` subwords, or by that of the
+whole text if it is higher: a text of several known languages is sure in each of its parts, and one
+with odd passages as a whole. Calibration takes rows that training did not
+see: a temperature that maximises their likelihood, and a bound for each of the lengths ``LEVELS``
+(texts are thinned to that many subwords). Languages are left out in turn, ``TURNS`` groups at most,
+and a model of the others judges them. The bound is at most a tenth of the way to chance below what
+only ``REJECT_SHARE`` of the thinned texts of known languages stay under; where ``LEFT_OUT_SHARE`` of
+the texts of left-out languages stay under less than that, it is half-way between both. Shorter texts are not rejected for their confidence; nor is
+any where there are fewer than three languages, as then none can be left out. Texts without letters
+are rejected always.
 
 Defined results: null, empty and letterless texts get ``und`` with score 0 and are rejected;
 null lang is never learned from; repeated rows are predicted each; without any labelled row
@@ -38,10 +44,14 @@ from mailweave.llm.common import PART_CHARS, blocks, broadcast_if_small, counted
 SAMPLE_ROWS, SAMPLE_TOTAL = 1200, 12_000
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (2, 3, 4)
 EPOCHS, RATE, BATCH = 12, 4.0, 32
-#: Share of unseen labelled rows that calibrated rejection may turn away.
-REJECT_SHARE = 0.001
-#: Confidence above which the quantile of the unseen rows no longer counts.
-SURE = 0.5
+#: Subwords of a window, and the lengths (in subwords) that have a bound of their own.
+WINDOW, LEVELS = 256, (16, 64, 256, 1024)
+#: Share of unseen thinned rows of known languages that may stay under the bound before its margin is taken off.
+REJECT_SHARE, MARGIN = 0.005, 0.1
+#: Share of the texts of left-out languages that should be turned away.
+LEFT_OUT_SHARE = 0.95
+#: Groups of languages that are left out in turn, rows of a language and passes that training takes for it.
+TURNS, TURN_ROWS, TURN_EPOCHS = 4, 200, 6
 UNKNOWN = "und"
 #: Languages whose counts are broadcast at most.
 BROADCAST_LANGUAGES = 100_000
@@ -101,7 +111,7 @@ class LanguageModel:
     outer: np.ndarray | None  # (WIDTH, languages) output layer
     bias: np.ndarray
     temperature: float = 1.0
-    reject_below: float = 0.0
+    reject_below: tuple[float, ...] = (0.0,) * len(LEVELS)  # by length
 
     def folded(self) -> LanguageModel:
         """The same model with one table, where that is narrower than the embeddings."""
@@ -109,24 +119,37 @@ class LanguageModel:
             return self
         return replace(self, inner=self.inner @ self.outer, outer=None)
 
-    def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of each text, and whether it has a subword at all."""
-        out, has = np.zeros((len(texts), self.inner.shape[1]), np.float32), np.zeros(len(texts), bool)
-        for first, last, data, offsets in blocks(texts):
-            bucket, upto = buckets_of(data, offsets)
-            n = np.diff(upto)
-            has[first:last] = n > 0
-            if len(bucket):
-                sums = np.add.reduceat(self.inner[bucket], np.minimum(upto[:-1], len(bucket) - 1), axis=0)
-                out[first:last] = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], 0)
-        return (out if self.outer is None else out @ self.outer) + self.bias, has
+    def hidden(self, counts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        bucket, n = counts
+        return (n @ self.inner[bucket]) / n.sum()
+
+    def probabilities(self, hidden: np.ndarray) -> np.ndarray:
+        return softmax(((hidden if self.outer is None else hidden @ self.outer) + self.bias) / self.temperature)
 
-    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        logits, has = self.logits(texts)
-        p = softmax(logits / self.temperature)
-        best = p.argmax(1) if p.shape[1] else np.zeros(len(texts), int)
-        score = p.max(1) if p.shape[1] else np.zeros(len(texts))
-        return np.where(has, best, -1), np.where(has, score, 0.0)
+    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the best language of each text (-1 without subwords), its probability, and whether the text is rejected."""
+        best, score, rejected = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts), bool)
+        bounds = np.array([0.0, *self.reject_below])
+        for first, _, data, offsets in blocks(texts):
+            bucket, upto = buckets_of(data, offsets)
+            size = np.diff(upto)
+            held = np.flatnonzero(size)
+            if not len(held):
+                continue
+            if not self.languages:  # nothing was learned: no text is named, none with subwords is rejected
+                best[first + held], rejected[first + held] = 0, False
+                continue
+            n = size[held]
+            windows = np.maximum(1, n // WINDOW)  # the last one takes the rest
+            at = np.cumsum(windows) - windows
+            start = np.repeat(upto[:-1][held] - at * WINDOW, windows) + np.arange(windows.sum()) * WINDOW
+            sums = np.add.reduceat(self.inner[bucket], start, axis=0)
+            sure = self.probabilities(sums / np.diff(start, append=len(bucket))[:, None]).max(1)
+            p = self.probabilities(np.add.reduceat(sums, at, axis=0) / n[:, None])
+            best[first + held], score[first + held] = p.argmax(1), p.max(1)
+            sure = np.maximum(np.add.reduceat(sure, at) / windows, p.max(1))
+            rejected[first + held] = sure < bounds[np.searchsorted(LEVELS, n, side="right")]
+        return best, score, rejected
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -152,18 +175,13 @@ def unpacked_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(raw, "<u2", size), dtype=np.uint16), np.frombuffer(raw, "<u4", size, 2 * size).astype(np.float32)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> LanguageModel:
-    """Fit both layers on four fifths of the rows (:func:`subword_counts` of texts), calibrate on the rest."""
-    languages = sorted(set(labels))
-    place = {x: i for i, x in enumerate(languages)}
-    y = np.array([place[x] for x in labels], np.int64)
-    held = np.arange(len(rows)) % 5 == 4
-    rng = np.random.default_rng(seed)
+def descend(rows: list, y: np.ndarray, use: list[int], count: int, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both layers and the bias for ``count`` languages, from the rows named in ``use``."""
     inner = rng.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
-    outer, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    use = [i for i in np.flatnonzero(~held) if len(rows[i][0])]
-    steps, done = max(1, EPOCHS * len(use) // BATCH), 0
-    for _ in range(EPOCHS):
+    outer, bias = np.zeros((WIDTH, count), np.float32), np.zeros(count, np.float32)
+    use = list(use)
+    steps, done = max(1, epochs * len(use) // BATCH), 0
+    for _ in range(epochs):
         for at in range(0, len(use), BATCH):
             if at == 0:
                 rng.shuffle(use)
@@ -179,21 +197,81 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
                 bucket, n = rows[i]
                 inner[bucket] -= (rate / len(some) * BATCH / 4) * (n / n.sum())[:, None].astype(np.float32) * g
             done += 1
-    model = LanguageModel(languages, inner, outer, bias)
-    check = [i for i in np.flatnonzero(held) if len(rows[i][0])]
-    if check:
-        logits = np.stack([(rows[i][1] @ inner[rows[i][0]]) / rows[i][1].sum() for i in check]) @ outer + bias
-        wanted = y[check]
-        # smoothed targets: rows that are all right don't prove certainty
-        target = np.full(logits.shape, 1 / (len(check) + 2) / max(1, len(languages) - 1))
-        target[np.arange(len(check)), wanted] = 1 - 1 / (len(check) + 2)
-        grid = np.geomspace(0.05, 5, 41)
-        loss = [-(target * np.log(softmax(logits / t) + 1e-12)).sum(1).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
-        confidence = softmax(logits / model.temperature).max(1)
-        chance = 1 / max(1, len(languages))
-        model.reject_below = float(chance + max(0.0, min(np.quantile(confidence, REJECT_SHARE), SURE) - chance) / 2)
-    return model.folded()
+    return inner, outer, bias
+
+
+def tempered(model: LanguageModel, rows: list, y: np.ndarray) -> LanguageModel:
+    """The model with the temperature that maximises the likelihood of unseen rows."""
+    if not len(rows):
+        return model
+    model = replace(model, temperature=1.0)
+    hidden = np.stack([model.hidden(r) for r in rows])
+    logits = hidden @ model.outer + model.bias
+    # smoothed targets: rows that are all right don't prove certainty
+    target = np.full(logits.shape, 1 / (len(rows) + 2) / max(1, len(model.languages) - 1))
+    target[np.arange(len(rows)), y] = 1 - 1 / (len(rows) + 2)
+    grid = np.geomspace(0.05, 5, 41)
+    loss = [-(target * np.log(softmax(logits / t) + 1e-12)).sum(1).mean() for t in grid]
+    return replace(model, temperature=float(grid[int(np.argmin(loss))]))
+
+
+def thinned_confidence(model: LanguageModel, rows: list, level: int, rng: np.random.Generator) -> np.ndarray:
+    """Mean confidence of the windows of rows that have ``level`` subwords, thinned to as many."""
+    windows, out = max(1, level // WINDOW), []
+    for bucket, n in rows:
+        if n.sum() < level:
+            continue
+        drawn = rng.multinomial(level // windows, n / n.sum(dtype=np.float64), size=windows)
+        hidden = drawn.astype(np.float32) @ model.inner[bucket] / (level // windows)
+        out.append(model.probabilities(hidden).max(1).mean())
+    return np.array(out)
+
+
+def left_out_confidence(rows: list, y: np.ndarray, count: int, rng: np.random.Generator) -> dict[int, np.ndarray]:
+    """By length, the confidence of texts of languages that the model judging them doesn't know."""
+    few = np.concatenate([np.flatnonzero(y == k)[:TURN_ROWS] for k in range(count)]) if count else np.zeros(0, int)
+    found: dict[int, list] = {level: [] for level in LEVELS}
+    turns = min(TURNS, count)
+    for turn in range(turns):
+        known = [k for k in range(count) if k % turns != turn]
+        if len(known) < 2:
+            return {}
+        place = np.full(count, -1)
+        place[known] = np.arange(len(known))
+        own = [i for i in few if place[y[i]] >= 0]
+        use, check = [i for k, i in enumerate(own) if k % 5 != 4], [i for k, i in enumerate(own) if k % 5 == 4]
+        model = LanguageModel([str(k) for k in known], *descend(rows, place[y], use, len(known), TURN_EPOCHS, rng))
+        model = tempered(model, [rows[i] for i in check], place[y[check]])
+        foreign = [rows[i] for i in few if place[y[i]] < 0]
+        for level in LEVELS:
+            found[level].append(thinned_confidence(model, foreign, level, rng))
+    return {level: np.concatenate(x) for level, x in found.items() if x}
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> LanguageModel:
+    """Fit both layers on four fifths of the rows (:func:`subword_counts` of texts), calibrate on the rest."""
+    languages = sorted(set(labels))
+    place = {x: i for i, x in enumerate(languages)}
+    y = np.array([place[x] for x in labels], np.int64)
+    full = np.array([len(r[0]) > 0 for r in rows], bool)
+    held = np.arange(len(rows)) % 5 == 4
+    rng = np.random.default_rng(seed)
+    model = LanguageModel(languages, *descend(rows, y, np.flatnonzero(~held & full).tolist(), len(languages), EPOCHS, rng))
+    check = np.flatnonzero(held & full)
+    unseen = [rows[i] for i in check]
+    model = tempered(model, unseen, y[check])
+    with_words = np.flatnonzero(full)
+    foreign = left_out_confidence([rows[i] for i in with_words], y[with_words], len(languages), rng)
+    chance, bounds = 1 / max(1, len(languages)), []
+    for level in LEVELS:
+        known = thinned_confidence(model, unseen, level, rng)
+        if not len(known) or not len(foreign.get(level, ())):
+            bounds.append(0.0)  # nothing to calibrate on
+            continue
+        low = np.quantile(known, REJECT_SHARE)
+        most = low - MARGIN * (low - chance)
+        bounds.append(float((min(np.quantile(foreign[level], LEFT_OUT_SHARE), most) + most) / 2))
+    return replace(model, reject_below=tuple(bounds)).folded()
 
 
 def in_training(doc_id: Column) -> Column:
@@ -239,7 +317,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
         names = np.array([*model.languages, UNKNOWN], object)
         for part in parts(batches):
             texts = [t if isinstance(t, str) else "" for t in part["text"]]
-            best, score = model.predict(encoded(texts))
+            best, score, rejected = model.predict(encoded(texts))
             letters = np.array([any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts], bool)
             best, score = np.where(letters, best, -1), np.where(letters, score, 0.0)
             yield pd.DataFrame(
@@ -248,7 +326,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
                     "held_out": part["held_out"].array,
                     "lang_pred": names[best],
                     "score": score.astype(float),
-                    "rejected": (best < 0) | (score < model.reject_below),
+                    "rejected": (best < 0) | rejected,
                 }
             )
 
@@ -272,9 +350,9 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> Data
             for first in range(0, whole.num_rows, step):
                 batch = whole.slice(first, step)
                 texts = [t or "" for t in batch.column(at).to_pylist()]
-                best, score = model.predict(encoded(texts))
+                best, _, rejected = model.predict(encoded(texts))
                 letters = np.array([any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts], bool)
-                yield batch.filter(pa.array((best >= 0) & (score >= model.reject_below) & letters))
+                yield batch.filter(pa.array((best >= 0) & ~rejected & letters))
             del whole, batch
             release()
 

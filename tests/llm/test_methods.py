@@ -132,11 +132,28 @@ def test_language_held_out_accuracy():
     make = lambda w: " ".join(r.choice(w.split()) for _ in range(12)).encode()
     texts = [make(en if i % 2 else fr) for i in range(200)]
     model = language_id.train([language_id.subword_counts(t) for t in texts], ["en" if i % 2 else "fr" for i in range(200)])
-    best, score = model.predict([make(en if i % 2 else fr) for i in range(100)])
+    best, score, rejected = model.predict([make(en if i % 2 else fr) for i in range(100)])
+    assert not rejected.any()  # of two languages none can be left out
     assert np.mean([model.languages[b] == ("en" if i % 2 else "fr") for i, b in enumerate(best)]) > 0.95
     assert (score <= 1).all() and (score >= 0.5).all()
 
 
+def test_language_that_was_never_learned_is_rejected():
+    """Known texts stay, short ones and such in two languages too; texts of a language that training didn't see go."""
+    r = random.Random(5)
+    sounds = {"aa": "ka lo mi tu re", "bb": "sche ung ver tz ö", "cc": "eau oi que è ç", "dd": "ción ado llo ñ ez", "ee": "szcz owa ł prz ie"}
+    words = {k: ["".join(r.choice(v.split()) for _ in range(r.randint(1, 4))) for _ in range(400)] for k, v in sounds.items()}
+    make = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n)).encode()
+    learned = ["aa", "bb", "cc", "dd"]
+    rows = [(make(k, r.choice([3, 10, 40, 200])), k) for _ in range(100) for k in learned]
+    model = language_id.train([language_id.subword_counts(t) for t, _ in rows], [k for _, k in rows])
+    known = [make(k, n) for k in learned for n in (1, 5, 60, 300) for _ in range(20)]
+    mixed = [make("aa", 150) + b" " + make("cc", 150) for _ in range(20)]
+    assert not model.predict(known)[2].any() and not model.predict(mixed)[2].any()
+    foreign = [make("ee", n) for n in (60, 300) for _ in range(50)]
+    assert model.predict(foreign)[2].mean() > 0.9
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)
