@@ -34,3 +34,40 @@ def test_keys_of_fingerprints_stay_off_the_driver(spark, tmp_path):
     near = derived.near_leaders(spark.read.parquet(str(tmp_path / "leaders")))
     near.collect()
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_shuffled_by_blocks_of_their_own_model(spark):
+    from mailweave.plans import semantic
+
+    rows = spark.range(6000).select("id", F.concat(F.lit("m"), F.col("id") % 6).alias("model"), F.array(*[F.hash("id", F.lit(k)).cast("float") for k in range(4)]).alias("vector"))
+    seen = []
+    best, semantic._best = semantic._best, lambda sides, *rest: seen.append(sides.count()) or best(sides, *rest)
+    try:
+        semantic.nearest_of_all(rows, 3)
+        semantic.nearest_of_all(rows, 3, queries=rows.filter("id % 100 = 0"))
+    finally:
+        semantic._best = best
+    assert seen == [12_000, 3_060]  # ids divisible by 100 are in three of the models
+
+
+def test_nearest_in_tiles_equals_brute_force():
+    import numpy as np
+
+    from mailweave.plans import semantic
+
+    rng = np.random.default_rng(2)
+    unit = semantic._unit(rng.integers(-2, 3, (700, 3)) + 0.0)  # many equal vectors, some zero
+    ids = np.sort(rng.integers(0, 600, 700))  # repeated ids
+    tile, semantic.TILE = semantic.TILE, (64, 50)
+    try:
+        for own in (False, True):
+            for k in (1, 5, 60):
+                at, to, d = semantic._nearest(unit[:300], unit, ids[:300], ids, k, own)
+                got = sorted(zip(at.tolist(), d.tolist(), to.tolist()))
+                want = []
+                for q in range(300):
+                    all_ = sorted((round(float(x), 9), j) for j, x in enumerate(np.round(1 - unit @ unit[q], 9)) if own or ids[j] != ids[q])
+                    want += [(q, x, j) for x, j in all_[:k]]
+                assert [(a, round(x, 8), j) for a, x, j in got] == [(a, round(x, 8), j) for a, x, j in want]
+    finally:
+        semantic.TILE = tile
