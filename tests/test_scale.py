@@ -71,3 +71,29 @@ def test_nearest_in_tiles_equals_brute_force():
                 assert [(a, round(x, 8), j) for a, x, j in got] == [(a, round(x, 8), j) for a, x, j in want]
     finally:
         semantic.TILE = tile
+
+
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_ranks_and_labels_are_alike_whether_vertices_or_edges_move(few, spark, monkeypatch):
+    from mailweave.operators import graph
+
+    edges = spark.createDataFrame([(f"a{x}", f"a{y}", x + y) for x in range(12) for y in range(12) if (x * y) % 5 == 1 and x != y], "src string, dst string, weight long")
+    made = []
+    join = graph.with_vertex
+    monkeypatch.setattr(graph, "with_vertex", lambda *x: made.append(join(*x)) or made[-1])
+    monkeypatch.setattr(graph, "FEW_VERTICES", few)
+    rank = {r["id"]: r["rank"] for r in graph.weighted_pagerank(edges).collect()}
+    label = {r["id"]: r["label"] for r in graph.label_propagation(edges).collect()}
+    sent = ["strategy=broadcast" in df._jdf.queryExecution().analyzed().toString() for df in made]
+    assert sent == [few > 0] * len(sent)
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r["src"], {}).setdefault(r["dst"], 0)
+        near.setdefault(r["dst"], {}).setdefault(r["src"], 0)
+        near[r["src"]][r["dst"]] += r["weight"]
+        near[r["dst"]][r["src"]] += r["weight"]
+    want = {v: 1 / len(near) for v in near}
+    for _ in range(graph.PASSES):
+        want = {v: 0.15 / len(near) + 0.85 * sum(want[u] * near[u][v] / sum(near[u].values()) for u in near[v]) for v in near}
+    assert {v: round(x, 8) for v, x in rank.items()} == {v: round(x, 8) for v, x in want.items()}
+    assert all(label[v] in {label[u] for u in near[v]} for v in near)
