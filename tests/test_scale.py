@@ -73,8 +73,8 @@ def test_nearest_in_tiles_equals_brute_force():
         semantic.TILE = tile
 
 
-@pytest.mark.parametrize("few", [0, 1 << 30])
-def test_ranks_and_labels_are_alike_whether_vertices_or_edges_move(few, spark, monkeypatch):
+@pytest.mark.parametrize("few, hot", [(0, 10_000), (0, 1), (1 << 30, 10_000)])
+def test_ranks_and_labels_are_alike_whether_vertices_or_edges_move(few, hot, spark, monkeypatch):
     from mailweave.operators import graph
 
     edges = spark.createDataFrame([(f"a{x}", f"a{y}", x + y) for x in range(12) for y in range(12) if (x * y) % 5 == 1 and x != y], "src string, dst string, weight long")
@@ -82,10 +82,11 @@ def test_ranks_and_labels_are_alike_whether_vertices_or_edges_move(few, spark, m
     join = graph.with_vertex
     monkeypatch.setattr(graph, "with_vertex", lambda *x: made.append(join(*x)) or made[-1])
     monkeypatch.setattr(graph, "FEW_VERTICES", few)
+    monkeypatch.setattr(graph, "HOT_EDGES", hot)
     rank = {r["id"]: r["rank"] for r in graph.weighted_pagerank(edges).collect()}
     label = {r["id"]: r["label"] for r in graph.label_propagation(edges).collect()}
     sent = ["strategy=broadcast" in df._jdf.queryExecution().analyzed().toString() for df in made]
-    assert sent == [few > 0] * len(sent)
+    assert sent == [few > 0 or hot == 1] * len(sent)  # copies of hot vertices are sent too
     near = {}
     for r in edges.collect():
         near.setdefault(r["src"], {}).setdefault(r["dst"], 0)
