@@ -10,6 +10,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from mailweave.functions.text import canonical_id, clean_text, extract_refs, html_text, normalise_address, normalise_message_id, simhash_text
 
+#: Parsed headers that a worker keeps, the longest value it keeps, messages of a frame that it hands on.
+HEADERS, HEADER_CHARS, FRAME = 1024, 512, 256
 FATAL = ("StartBoundaryNotFoundDefect", "MultipartInvariantViolationDefect")
 PARSED = (
     "path string, error string, message_id string, in_reply_to string, references array<string>, subject string, sent_at_raw string, "
@@ -32,6 +35,15 @@ def eml_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content")
 
 
+_read_header = lru_cache(HEADERS)(email.policy.default.header_factory)
+
+
+def _header_of(name: str, value: str):
+    """A parsed header; short ones are kept, as a message's are read many times and are alike in many messages."""
+    return (_read_header if len(value) <= HEADER_CHARS else email.policy.default.header_factory)(name, value)
+
+
+POLICY = email.policy.default.clone(header_factory=_header_of)
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -102,7 +114,7 @@ def parse_message(raw: bytes) -> dict:
     """The fields of one RFC 5322 message; ValueError if there is nothing to read."""
     if not raw or not raw.strip():
         raise ValueError("empty message")
-    m = email.message_from_bytes(raw, policy=email.policy.default)
+    m = email.message_from_bytes(raw, policy=POLICY)
     broken = [d for part in m.walk() for d in part.defects if type(d).__name__ in FATAL]
     if broken or not m.keys():
         raise ValueError(f"broken message: {type(broken[0]).__name__ if broken else 'no headers'}")
@@ -130,7 +142,7 @@ def parse_message(raw: bytes) -> dict:
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = re.findall(r"(?:^|, )(\w+) (?=string|array|timestamp|long)", re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", PARSED))
-    for pdf in batches:
+    for pdf in _frames(batches):
         rows = []
         for path, raw in zip(pdf["path"], pdf["content"], strict=True):
             try:
@@ -141,6 +153,13 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
 
+def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``FRAME`` at most, so that few parsed messages are held at a time."""
+    for pdf in batches:
+        for at in range(0, len(pdf), FRAME):
+            yield pdf.iloc[at : at + FRAME]
+
+
 def parsed_messages(raw: DataFrame) -> DataFrame:
     """One row per raw message (path, content); ``error`` is set where it can't be read (dead letters).
 
@@ -156,13 +175,13 @@ _KEYED = "path string, content binary, message_id string, sent_at_raw string, se
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in _KEYED.split(", ")]
-    for pdf in batches:
+    for pdf in _frames(batches):
         rows = []
         for path, raw in zip(pdf["path"], pdf["content"], strict=True):
             raw = bytes(raw) if raw is not None else b""
             row = {"path": path, "content": raw}
             try:
-                head = email.parser.BytesHeaderParser(policy=email.policy.default).parsebytes(raw)
+                head = email.parser.BytesHeaderParser(policy=POLICY).parsebytes(raw)
                 own = _header(head, "Message-ID")
                 # only mail without an id of its own is read whole for its key
                 row |= _storable({"message_id": own} if own else {k: v for k, v in parse_message(raw).items() if k in names})
@@ -208,20 +227,25 @@ def storage_usage(spark: SparkSession, folder: str) -> DataFrame:
 def ground_truth(parsed: DataFrame) -> dict[str, DataFrame]:
     """Messages, recipients, addresses, replies, threads and attachments of parsed messages, deduplicated by id."""
     good = parsed.filter("error is null").dropDuplicates(["id"])
-    parent = normalise_message_id(F.coalesce(F.try_element_at("references", F.lit(-1)), F.col("in_reply_to")))
     root = normalise_message_id(F.coalesce(F.get("references", F.lit(0)), F.col("in_reply_to"), F.col("message_id")))
     people = good.select(F.col("id").alias("message_id"), F.explode("recipients").alias("r")).select("message_id", "r.role", F.col("r.address").alias("address_id"), "r.name")
-    links = good.select(F.col("id").alias("child"), F.coalesce(normalise_message_id(F.col("in_reply_to")), parent).alias("parent")).filter("parent is not null")
     return {
         "messages": good.select("id", "subject", "sent_at_raw", "sent_at", "body_text", "body_clean", "simhash", extract_refs(F.col("subject"), F.col("body_clean")).alias("refs"), "size_bytes", "eml_sha256", F.exists("attachments", lambda x: x["filename"].isNotNull() | x["content_id"].isNull()).alias("has_attachments")),
         "recipients": people.select("message_id", "address_id", "role").distinct(),
         "addresses": people.groupBy(normalise_address(F.col("address_id")).alias("id")).agg(F.sort_array(F.collect_set(F.when(F.col("name") != "", F.col("name")))).alias("display_names")),
-        "replies": links.join(good.select(F.col("id").alias("parent")), "parent", "left_semi").distinct(),
+        "replies": replies(good),
         "message_threads": good.select(F.col("id").alias("message_id"), root.alias("thread_id")).filter("thread_id is not null"),
         "message_attachments": good.select(F.col("id").alias("message_id"), F.explode("attachments").alias("f")).select("message_id", "f.*").distinct(),
     }
 
 
+def replies(good: DataFrame) -> DataFrame:
+    """(parent, child) among messages (id, in_reply_to, references), each message once."""
+    last = normalise_message_id(F.coalesce(F.try_element_at("references", F.lit(-1)), F.col("in_reply_to")))
+    links = good.select(F.col("id").alias("child"), F.coalesce(normalise_message_id(F.col("in_reply_to")), last).alias("parent")).filter("parent is not null")
+    return links.join(good.select(F.col("id").alias("parent")), "parent", "left_semi").distinct()
+
+
 def repair_threads(messages: DataFrame, message_threads: DataFrame, copies: DataFrame) -> DataFrame:
     """Threads for unthreaded messages, keyed by account and the provider's thread or own id: new rows."""
     loose = messages.select(F.col("id").alias("message_id")).join(message_threads.select("message_id"), "message_id", "left_anti")
