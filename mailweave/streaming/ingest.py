@@ -31,19 +31,20 @@ def archive_batch(out: str, known: bool = False):
         parsed = parsed_messages(batch).persist()
         put = lambda name, df: df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         try:
-            tables = ground_truth(parsed)
-            fresh = (tables["messages"] if known else _unseen(spark, out, number, tables["messages"])).persist()
+            good = parsed.filter("error is null").dropDuplicates(["id"])
+            # kept by id, so that no table of these messages is deduplicated or joined anew
+            fresh = (good if known else _unseen(spark, out, number, good)).persist()
             try:
-                ids = fresh.select(F.col("id").alias("message_id"))
+                tables = ground_truth(fresh)
                 put("dead_letters", parsed.filter("error is not null").select("path", "error"))
                 for name in ("recipients", "message_threads", "message_attachments"):
-                    put(name, tables[name].join(ids, "message_id", "left_semi"))
+                    put(name, tables[name])
                 # replies hold the raw parent; they are resolved on reading, so order of arrival doesn't matter
                 answers = parsed.filter("error is null and in_reply_to is not null").select(F.col("id").alias("child"), "in_reply_to").distinct()
-                put("reply_links", answers.join(ids.withColumnRenamed("message_id", "child"), "child", "left_semi"))
-                put("addresses", tables["addresses"])
+                put("reply_links", answers.join(fresh.select(F.col("id").alias("child")), "child", "left_semi"))
+                put("addresses", ground_truth(good)["addresses"])
                 put("blobs", blobs(batch))
-                put("messages", fresh)
+                put("messages", tables["messages"])
             finally:
                 fresh.unpersist()
         finally:
