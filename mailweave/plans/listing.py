@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mailweave.functions.files import SHRUG_TYPES, file_family
 from mailweave.functions.text import searchable_terms
 from mailweave.operators.algebra import top
+from mailweave.session import measured
 from mailweave.tables import Archive
 
 # BM25 parameters; messages of a thread shown.
@@ -97,7 +98,9 @@ def find_recent(a: Archive, limit: int = 50, offset: int = 0) -> DataFrame:
 
 def postings(texts: DataFrame) -> DataFrame:
     """Inverted index (term, id, tf, n) of texts (id, text); n is the text's length in terms."""
-    terms = texts.select("id", searchable_terms(F.col("text")).alias("t")).select("id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    # texts are dealt by id, so that a text's postings are counted where it lies; postings are several times its size
+    terms = texts.select("id", "text").repartition("id").select("id", searchable_terms(F.col("text")).alias("t"))
+    terms = terms.select("id", F.size("t").alias("n"), F.explode("t").alias("term"))
     return terms.groupBy("term", "id", "n").agg(F.count("*").alias("tf"))
 
 
@@ -106,13 +109,15 @@ def full_text(index: DataFrame, query: str, limit: int | None = 50) -> DataFrame
     words = sorted({x.lower() for x in re.findall(r"[^\W_]+", query)})
     if not words:
         raise NothingToSearch(query)
-    # a text's shares tf / n add up to one, so one pass counts texts and their mean length without a shuffle of the index
-    stats = index.agg(F.round(F.sum(F.col("tf") / F.col("n"))).alias("docs"), F.sum("tf").alias("all")).select("docs", (F.col("all") / F.col("docs")).alias("mean"))
-    hit = index.filter(F.col("term").isin(words))
+    # a text's shares tf / n add up to one, so the pass that takes the words' postings counts texts and their mean length too
+    hit, seen = measured(
+        index, F.col("term").isin(words), docs=F.coalesce(F.round(F.sum(F.col("tf") / F.col("n"))), F.lit(0.0)), tokens=F.coalesce(F.sum("tf"), F.lit(0))
+    )
+    docs, mean = F.lit(seen["docs"]), F.lit(seen["tokens"] / max(seen["docs"], 1))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))  # a row per query word
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    rows = hit.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy("id").agg(F.sum(idf * tf).alias("score"), F.count("*").alias("k"))
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
+    rows = hit.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(idf * tf).alias("score"), F.count("*").alias("k"))
     rows = rows.filter(F.col("k") == len(words)).select("id", F.round("score", 6).alias("score"))
     return rows if limit is None else top(rows, F.desc("score"), F.asc("id"), limit=limit)
 
