@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweave import snapshots
+from mailweave.functions.text import searchable_terms
 from mailweave.operators.algebra import top
-from mailweave.plans.listing import B, K1, NothingToSearch, postings
-from mailweave.session import cut, measured
+from mailweave.plans.listing import B, K1, NothingToSearch
+from mailweave.session import measured
 
-#: Folders by term, texts of a cell, cells that a search scores first, postings of a file.
-BUCKETS, CELL, FIRST, FILE = 64, 1024, 16, 2_000_000
+#: Folders by term, texts and words of a cell, cells that a search scores first, words of texts for each file of a folder.
+BUCKETS, CELL, CELL_WORDS, FIRST, FILE = 64, 1024, 1_000_000, 16, 4_000_000
 #: Scores are rounded to six digits, so a bound has to be lower by more than that to be out of reach.
 _ROUNDED = 1e-6
 
@@ -34,6 +35,12 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _dealt(blocks: DataFrame, tokens: int) -> DataFrame:
+    """Blocks beside their folder, where they will be written; a frequent term's may go to several files."""
+    part = F.pmod(F.xxhash64("cell"), F.lit(max(1, tokens // FILE)))
+    return blocks.withColumns({"bucket": _bucket(F.col("term")), "part": part}).repartition("bucket", "part")
+
+
 def share_of(tf: Column, n: Column, mean: float) -> Column:
     """What a word adds to a score for each unit of its weight; grows with tf and falls with n."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / F.lit(mean)))
@@ -57,22 +64,30 @@ class PostingsIndex:
 
     def add(self, texts: DataFrame, segment: str) -> None:
         """Index texts (id, text) as a segment; a segment of that name is replaced, so a batch may come again."""
-        rows = cut(postings(texts))
+        rows = texts.select("id", searchable_terms(F.col("text")).alias("t")).select("id", "t", F.size("t").alias("n")).filter("n > 0")
         lengths = rows.select("id", "n").distinct().withColumn("size", F.floor(F.log2("n")).cast("int"))
         lengths, seen = measured(lengths, docs=F.count(F.lit(1)), tokens=F.coalesce(F.sum("n"), F.lit(0)))
-        parts = lengths.groupBy("size").agg(F.ceil(F.count("*") / CELL).cast("long").alias("parts"))  # a row for each doubling of the length
+        parts = lengths.groupBy("size").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_WORDS)).cast("long").alias("parts"))  # a row for each doubling of the length
         size = F.floor(F.log2("n")).cast("int")
         dealt = rows.withColumn("size", size).join(F.broadcast(parts), "size")
         cell = F.col("size") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), F.col("parts"))
-        self._put(dealt.select("term", cell.alias("cell"), F.struct("id", "tf", "n").alias("p")), segment, {"docs": seen["docs"], "tokens": seen["tokens"]}, [segment])
+        # texts are dealt to their cells before they become postings, so only they are moved
+        terms = dealt.select("id", "n", cell.alias("cell"), F.array_join("t", " ").alias("t")).repartition("cell").select("id", "n", "cell", F.explode(F.split("t", " ")).alias("term"))
+        counted = terms.groupBy("cell", "term", "id", "n").agg(F.count("*").alias("tf"))
+        p = F.struct("id", "tf", "n")
+        blocks = counted.groupBy("term", "cell").agg(F.collect_list(p).alias("p"), F.max("tf").alias("top_tf"), F.min(F.col("n") / F.col("tf")).alias("least_ratio"), F.count("*").alias("docs"))  # a cell's texts at most
+        self._put(_dealt(blocks, seen["tokens"]), segment, {"docs": seen["docs"], "tokens": seen["tokens"]}, [segment])
 
     def merge(self, name: str, segments: list[str] | None = None) -> None:
         """Make one segment of several (all unless named); the others stay as they are."""
         live = self.segments()
         old = list(live) if segments is None else segments
-        blocks = self._read([live[s]["folder"] for s in old]).select("term", "cell", F.explode(F.arrays_zip("ids", "tfs", "ns")).alias("z"))
-        blocks = blocks.select("term", "cell", F.struct(F.col("z.ids").alias("id"), F.col("z.tfs").alias("tf"), F.col("z.ns").alias("n")).alias("p"))
-        self._put(blocks, name, {k: sum(live[s][k] for s in old) for k in ("docs", "tokens")}, old)
+        sums = {k: sum(live[s][k] for s in old) for k in ("docs", "tokens")}
+        p = F.transform(F.arrays_zip("ids", "tfs", "ns"), lambda z: F.struct(z["ids"].alias("id"), z["tfs"].alias("tf"), z["ns"].alias("n")))
+        # blocks are moved as they are, and join where they will be written
+        dealt = _dealt(self._read([live[s]["folder"] for s in old]).select("term", "cell", p.alias("p"), "top_tf", "least_ratio", "docs"), sums["tokens"])
+        joined = dealt.groupBy("bucket", "part", "term", "cell").agg(F.flatten(F.collect_list("p")).alias("p"), F.max("top_tf").alias("top_tf"), F.min("least_ratio").alias("least_ratio"), F.sum("docs").alias("docs"))
+        self._put(joined, name, sums, old)
 
     def _put(self, rows: DataFrame, segment: str, sums: dict[str, int], instead: list[str]) -> None:
         """Write a segment to a folder of its own, then let it live in place of others; readers see one or the other."""
@@ -89,17 +104,12 @@ class PostingsIndex:
     def _write(self, rows: DataFrame, folder: str) -> None:
         if not re.fullmatch(r"[\w.-]+", folder):
             raise ValueError(f"{folder} can't name a folder")
-        p = F.collect_list("p")
-        blocks = rows.groupBy("term", "cell").agg(p.alias("p"), F.max("p.tf").alias("top_tf"), F.min(F.col("p.n") / F.col("p.tf")).alias("least_ratio"), F.count("*").alias("docs"))  # a cell's texts at most
-        blocks, seen = measured(blocks, postings=F.coalesce(F.sum("docs"), F.lit(0)))
-        files = max(1, seen["postings"] // FILE)
-        blocks = blocks.select(
+        blocks = rows.select(
             "term", "cell", F.col("docs").cast("int").alias("docs"), F.col("top_tf").cast("int").alias("top_tf"), "least_ratio",
-            F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.n").alias("ns"), _bucket(F.col("term")).alias("bucket"),
+            F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.n").alias("ns"), "bucket",
         )
-        # a frequent term's blocks may go to several files; terms lie in order, so that readers skip by their bounds
-        salted = blocks.repartition("bucket", F.pmod(F.xxhash64("cell"), F.lit(files))).sortWithinPartitions("bucket", "term")
-        salted.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segment={folder}")
+        # terms lie in order, so that readers skip by their bounds
+        blocks.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segment={folder}")
 
     def _read(self, folders: list[str]) -> DataFrame:
         return self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/segment={f}" for f in folders])

@@ -31,3 +31,17 @@ def test_a_search_makes_the_postings_once(spark):
     found = full_text(postings(texts), "the CRANE", 5)
     assert [r["id"] for r in found.collect()] == [2, 1] and made.value == 4
     assert full_text(postings(texts.filter(F.lit(False))), "the", 5).collect() == []
+
+
+def test_an_index_moves_texts_and_whole_blocks(spark, tmp_path, monkeypatch):
+    from mailweave.plans.postings import PostingsIndex
+
+    plans, write = [], PostingsIndex._write
+    monkeypatch.setattr(PostingsIndex, "_write", lambda self, rows, folder: plans.append(planned(rows)) or write(self, rows, folder))
+    index = PostingsIndex(spark, str(tmp_path / "index"))
+    texts = spark.createDataFrame(ROWS[:5], "id long, text string")
+    for k in range(2):
+        index.add(texts.filter(F.col("id") % 2 == k), f"batch-{k}")
+    index.merge("all")
+    assert len(plans) == 3 and not any("hashpartitioning(term" in p for p in plans) and "Generate explode" not in plans[2]
+    assert [tuple(r) for r in index.search("crane the", 9).collect()] == [tuple(r) for r in full_text(postings(texts), "crane the", 9).collect()]
