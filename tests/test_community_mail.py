@@ -23,3 +23,10 @@ def test_read_uses_a_table(spark, monkeypatch, name):
     assert len(seen) == 1 and not any("lineitem" in x or "orders" in x for x in seen[0].inputFiles())
     want = findings_queries.planted(a).community_messages
     assert sorted(map(tuple, seen[0].select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pages_of_a_view_are_tables(spark):
+    a = driver_archive(spark, SF)
+    f = findings_queries.held(findings_queries.planted(a))
+    view = findings.community_view(a, f, f.community_messages.first()["community_id"])
+    assert not any("lineitem" in x or "orders" in x for x in view.edges.inputFiles())
