@@ -31,3 +31,12 @@ def wide(tmp_path_factory):
 def test_communities_hold_the_people_of_wide_messages(spark, wide):
     plain, found = (registry.queries()["communities"](spark, d).agg(F.sum("size")).first()[0] for d in (DATA, wide))
     assert found == plain + 40
+
+
+def test_importance_ranks_by_wide_messages(spark, wide, monkeypatch):
+    """Importance gets the ranks of all addressed, from edges of all messages."""
+    given, rank = [], registry.graph.weighted_pagerank
+    monkeypatch.setattr(registry.graph, "weighted_pagerank", lambda edges: given.append(edges) or rank(edges))
+    registry.queries()["importance_all"](spark, wide)
+    edges = given[0].filter("src >= 's9000' and dst <= 's9039' and length(src) = 5 and length(dst) = 5")
+    assert edges.agg(F.count("*"), F.sum("weight")).first()[:] == (40 * 39 // 2, 40 * 39 // 2)
