@@ -40,3 +40,26 @@ def test_importance_ranks_by_wide_messages(spark, wide, monkeypatch):
     registry.queries()["importance_all"](spark, wide)
     edges = given[0].filter("src >= 's9000' and dst <= 's9039' and length(src) = 5 and length(dst) = 5")
     assert edges.agg(F.count("*"), F.sum("weight")).first()[:] == (40 * 39 // 2, 40 * 39 // 2)
+
+
+@pytest.fixture(scope="module")
+def duck(wide):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{wide}/{t}.parquet'")
+    return con
+
+
+def equals_sql(name, spark, wide, duck):
+    df = registry.queries()[name](spark, wide)
+    got = {r[0]: r[1] for r in df.collect()}
+    want = dict(duck.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})").fetchall())
+    assert got.keys() == want.keys() and {"s9000", "s9039"} <= got.keys()
+    return got, want
+
+
+def test_labels_of_wide_messages(spark, wide, duck):
+    got, want = equals_sql("label_propagation", spark, wide, duck)
+    assert got == want and len({got[f"s{9000 + k}"] for k in range(40)}) == 1
