@@ -63,3 +63,8 @@ def equals_sql(name, spark, wide, duck):
 def test_labels_of_wide_messages(spark, wide, duck):
     got, want = equals_sql("label_propagation", spark, wide, duck)
     assert got == want and len({got[f"s{9000 + k}"] for k in range(40)}) == 1
+
+
+def test_ranks_of_wide_messages(spark, wide, duck):
+    got, want = equals_sql("weighted_pagerank", spark, wide, duck)
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-7
